@@ -96,6 +96,7 @@ def exact_quantiles(
     margin = 4.0 / accuracy
     low = [max(0.0, p - margin) for p in probs]
     high = [min(1.0, p + margin) for p in probs]
+    small = F.col("rows") <= accuracy
     brackets = (
         flat.groupBy(*keys)
         .agg(
@@ -111,9 +112,10 @@ def exact_quantiles(
         )
         .select(
             *keys, "rows", F.col("q.p").alias("p"),
-            # the ends of the range are exact and need no sketch
-            F.when(F.col("q.p") <= margin, F.col("least")).otherwise(F.col("q.low")).alias("low"),
-            F.when(F.col("q.p") >= 1 - margin, F.col("most")).otherwise(F.col("q.high")).alias("high"),
+            # the ends of the range are exact, and a small group is its own bracket:
+            # there the margin would be less than the two ranks a quantile needs
+            F.when((F.col("q.p") <= margin) | small, F.col("least")).otherwise(F.col("q.low")).alias("low"),
+            F.when((F.col("q.p") >= 1 - margin) | small, F.col("most")).otherwise(F.col("q.high")).alias("high"),
         )
     )
     counted = flat.groupBy(*keys, "v").agg(F.count("*").alias("c"))

@@ -290,7 +290,7 @@ def embedding_top_k(
     """
     q, _ = _packed(queries, query_key, vec, block)
     i, n_blocks = _packed(items, item_key, vec, block)
-    q = q.select(F.col("ids").alias("q_ids"), F.col("flat").alias("q_flat"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).cast("bigint").alias("block"))
+    q = q.select(F.col("ids").alias("q_ids"), F.col("flat").alias("q_flat"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_blocks - 1).cast("bigint"))).alias("block"))
     i = i.select("block", F.col("ids").alias("i_ids"), F.col("flat").alias("i_flat"))
     scored = q.join(i, "block").select("q_ids", "q_flat", "i_ids", "i_flat").mapInPandas(
         _block_top_k(k, digits), "query_id string, item_id string, score double"
