@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from affinia.functions.scalars import AFFINITY_FACTOR, MAX_INTERACTIONS, magnified_affinity
 from affinia.operators.interactions import PAIR
 from affinia.operators.scale import bucketed_row_number, slices
+from affinia.session import materialise
 
 
 def feature_rows(
@@ -83,9 +84,9 @@ def candidate_ranges(positives: DataFrame, key: str, n_items) -> DataFrame:
     the positives at most. Neighbours are found by joining rank i to rank i + 1,
     which spreads a hot key over all tasks.
     """
-    keyed = positives.select(key, "idx").distinct()
+    keyed = materialise(positives.select(key, "idx").distinct(), "positives")
     total = keyed.select(key).distinct().withColumn("n_items", n_items)
-    ranked = ranked_positives(keyed, [key], total).select(key, "idx", "rank", "n_positives", "n_items")
+    ranked = materialise(ranked_positives(keyed, [key], total), "ranked-positives")
     ends = ranked.groupBy(key).agg(F.max("n_positives").alias("n_positives"), F.max("n_items").alias("n_items"))
     left = ranked.select(key, "rank", (F.col("idx") + 1).alias("first_idx")).unionByName(
         ends.select(key, F.lit(0).cast("bigint").alias("rank"), F.lit(0).cast("bigint").alias("first_idx"))

@@ -2,7 +2,9 @@
 
 A window partitioned by a hot key, or by nothing at all, ends in a single task.
 The helpers here cut every ordered group into consecutive buckets, rank inside a
-bucket, and add the number of rows in the buckets before it.
+bucket, and add the number of rows in the buckets before it. They read their
+input more than once, so they write it to the shared folder first: without that
+the whole history of the input would be computed again for every use.
 """
 
 from __future__ import annotations
@@ -11,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from affinia.session import materialise
+
 # Rows one window task should have to sort; hotter groups are cut into more buckets.
 ROWS_PER_BUCKET = 1_000_000
 SAMPLES_PER_BUCKET = 32
@@ -44,7 +48,7 @@ def with_range_bucket(df: DataFrame, col: str, out: str = "bucket", buckets: int
 
 def dense_index(df: DataFrame, col: str, out: str = "idx") -> DataFrame:
     """Distinct values of `col` numbered 0, 1, 2 ... in ascending order."""
-    ids = df.where(F.col(col).isNotNull()).select(col).distinct()
+    ids = materialise(df.where(F.col(col).isNotNull()).select(col).distinct(), "ids")
     ranged = with_range_bucket(ids, col, "_bucket")
     sizes = (
         ranged.groupBy("_bucket").agg(F.count("*").alias("n"))
@@ -57,7 +61,7 @@ def dense_index(df: DataFrame, col: str, out: str = "idx") -> DataFrame:
         F.lit(0).cast("bigint"),
         lambda acc, s: acc + s["n"],
     )
-    return ranged.withColumn("_sizes", sizes).select(col, (local - 1 + before).alias(out))
+    return materialise(ranged.withColumn("_sizes", sizes).select(col, (local - 1 + before).alias(out)), "index")
 
 
 def bucketed_row_number(df: DataFrame, keys: list[str], bucket: str, order: list, out: str = "rn") -> DataFrame:
@@ -66,6 +70,7 @@ def bucketed_row_number(df: DataFrame, keys: list[str], bucket: str, order: list
     `bucket` has to grow with the order: every row of a lower bucket sorts before
     every row of a higher one.
     """
+    df = materialise(df, "ranked")
     sizes = df.groupBy(*keys, bucket).agg(F.count("*").alias("_n"))
     earlier = W.partitionBy(*keys).orderBy(bucket).rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select(*keys, bucket, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))

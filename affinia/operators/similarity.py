@@ -18,6 +18,7 @@ from affinia.functions.scalars import hash32, rounded
 from affinia.functions.vectors import as_doubles, dot, is_zero, l2_normalize
 from affinia.operators.interactions import top_k_per
 from affinia.operators.scale import bucketed_row_number, dense_index, slices
+from affinia.session import materialise
 
 # Signature layout of the similarity job: 25 bands of 2 rows, pairs kept from 0.5.
 NUM_HASHES, ROWS_PER_BAND, THRESHOLD = 50, 2, 0.5
@@ -161,10 +162,11 @@ def similar_businesses(
     Businesses with equal user sets are linked to their representative with
     similarity 1; other pairs are between representatives.
     """
-    groups = set_groups(edges)
+    edges = materialise(edges, "edges")
+    groups = materialise(set_groups(edges), "set-groups")
     reps = groups.where("business_id = representative").select("business_id", "size")
     rep_edges = edges.join(reps, "business_id", "left_semi")
-    signatures = minhash(rep_edges, params or hash_params()).join(reps, "business_id")
+    signatures = materialise(minhash(rep_edges, params or hash_params()).join(reps, "business_id"), "signatures")
     pairs = jaccard(lsh_candidates(signatures, rows_per_band, threshold), rep_edges, threshold)
     return pairs.unionByName(_copies(groups))
 
@@ -184,12 +186,13 @@ def jaccard_all(edges: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     share a user among the first |x| - ceil(t |x|) + 1 of either, so very active
     users, who sort last, bring few sets together.
     """
-    groups = set_groups(edges)
+    edges = materialise(edges, "edges")
+    groups = materialise(set_groups(edges), "set-groups")
     reps = groups.where("business_id = representative").select("business_id", "size")
     rep_edges = edges.join(reps, "business_id")
     frequency = rep_edges.groupBy("user_idx").agg(F.count("*").alias("f"))
     order_key = F.concat(F.lpad(F.col("f").cast("string"), 19, "0"), F.lpad(F.col("user_idx").cast("string"), 19, "0"))
-    tokens = frequency.select("user_idx", order_key.alias("order_key"))
+    tokens = materialise(frequency.select("user_idx", order_key.alias("order_key")), "tokens")
     token_rank = tokens.join(dense_index(tokens, "order_key", "token"), "order_key").select("user_idx", "token")
     n_tokens = tokens.agg(F.count("*")).scalar()
     ordered = (
@@ -198,7 +201,7 @@ def jaccard_all(edges: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     )
     placed = bucketed_row_number(ordered, ["business_id"], "bucket", ["token"], "pos")
     keep = F.col("size") - F.ceil(F.lit(threshold) * F.col("size") - F.lit(1e-9)) + 1
-    prefix = placed.where(F.col("pos") <= keep).select("business_id", "size", "token", "pos")
+    prefix = materialise(placed.where(F.col("pos") <= keep).select("business_id", "size", "token", "pos"), "prefixes")
     # overlap needed for the threshold, against what the rest of both sets can give
     needed = F.lit(threshold / (1.0 + threshold)) * (F.col("s.size") + F.col("g.size"))
     left = F.least(F.col("s.size") - F.col("s.pos"), F.col("g.size") - F.col("g.pos")) + F.least("s.pos", "g.pos")
@@ -249,6 +252,7 @@ def cosine_by_label(df: DataFrame, label: str, vec: str) -> DataFrame:
 
 def _packed(df: DataFrame, key: str, vec: str, block: int) -> tuple[DataFrame, int]:
     """Unit vectors packed into blocks of about `block` rows, spread by hash of the id."""
+    df = materialise(df.select(key, vec), "vectors")
     n_blocks = max(1, math.ceil(df.count() / block))
     rows = F.array_sort(F.collect_list(F.struct(F.col(key).cast("string").alias("id"), l2_normalize(vec).alias("v"))))
     packed = df.groupBy(F.pmod(F.xxhash64(key), F.lit(n_blocks)).alias("block")).agg(rows.alias("r"))

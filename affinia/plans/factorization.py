@@ -6,7 +6,7 @@ from affinia.functions.scalars import rounded
 from affinia.functions.vectors import norm
 from affinia.operators import factors as M
 from affinia.operators.aggregates import pool, union_all
-from affinia.operators.interactions import implicit_ratings, index_ids, interaction_counts, top_k_per
+from affinia.operators.interactions import implicit_ratings, index_ids, top_k_per
 from affinia.plans.aggregations import DIM
 from affinia.plans.registry import query, r
 
@@ -16,8 +16,8 @@ SETTINGS = {"rank": 10, "reg": 0.5, "alpha": 1520.0, "max_iter": 5, "blocks": 4}
 
 def indexed(t):
     """User index, business index and ratings of the tips."""
-    users, businesses = index_ids(t.tips, "user_id"), index_ids(t.tips, "business_id")
-    return users, businesses, implicit_ratings(interaction_counts(t.tips), users, businesses)
+    users, businesses = index_ids(t.counts, "user_id"), index_ids(t.counts, "business_id")
+    return users, businesses, implicit_ratings(t.counts, users, businesses)
 
 
 def fitted(t):
@@ -32,7 +32,7 @@ def business_vectors(t):
 
 def user_vectors(t):
     """Given vectors: mean vector of the businesses a user tipped."""
-    visited = t.tips.distinct().join(business_vectors(t), "business_id")
+    visited = t.counts.join(business_vectors(t), "business_id")
     return pool(visited, "user_id", "features", DIM, skip_zeros=False)
 
 

@@ -17,10 +17,10 @@ from affinia.plans.registry import query, r
 def given_scores(t):
     """Scores with the shape of a factorization's: log affinity where the pair has
     interactions, 1 where an id is unknown, none otherwise."""
-    known = interaction_counts(t.tips).select(
+    known = t.counts.select(
         "user_id", "business_id", log_affinity("n").alias("score"), F.lit("model").alias("score_source")
     )
-    cold = route_pairs(t.pairs, t.tips, t.tips).where("route = 'missing'").select(
+    cold = route_pairs(t.pairs, t.counts, t.counts).where("route = 'missing'").select(
         "user_id", "business_id", F.lit(1.0).alias("score"), F.lit("default").alias("score_source")
     )
     return known.unionByName(cold)
@@ -39,6 +39,7 @@ features AS (
 
 
 def features(t):
+    t.shared()
     return J.feature_rows(t.pairs, given_scores(t), transform_users(t.users), transform_businesses(t.businesses))
 
 
@@ -75,8 +76,8 @@ rest AS (SELECT u.user_id, b.business_id, b.idx,
 @query("anti_join_negatives", """SELECT user_id, min(idx) AS first_idx, max(idx) AS last_idx, count(*) AS n
   FROM rest GROUP BY user_id, idx - ordinal""", COMPLEMENT)
 def anti_join_negatives(t):
-    index = index_ids(t.tips, "business_id")
-    owned = t.tips.distinct().join(index, "business_id")
+    index = index_ids(t.counts, "business_id")
+    owned = t.counts.join(index, "business_id")
     return J.candidate_ranges(owned, "user_id", index.agg(F.count("*")).scalar())
 
 
@@ -148,7 +149,7 @@ bands AS (SELECT business_id, h // 2 AS band, min(v) FILTER (h % 2 = 0) AS v0, m
 def self_join_pairs(t):
     """Members of a MinHash bucket, each paired with the bucket's smallest id: the
     bucket's pairs in linear form."""
-    sets = user_sets(t.tips, index_ids(t.tips, "user_id"))
+    sets = user_sets(t.counts, index_ids(t.counts, "user_id"))
     signed = minhash(sets, hash_params())
     banded = signed.select(
         "business_id",

@@ -14,7 +14,7 @@ THRESHOLD = 0.17
 
 
 def edges(t):
-    return L.user_sets(t.tips, index_ids(t.tips, "user_id"))
+    return L.user_sets(t.counts, index_ids(t.counts, "user_id"))
 
 
 # Businesses by user set; equal sets share the smallest id.

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from affinia.functions.scalars import rounded
+from affinia.operators.interactions import interaction_counts
+from affinia.session import materialise
 
 
 def _tagged(tag: str, key: str) -> Column:
@@ -18,13 +20,13 @@ class Tables:
     """Lazy views over one data folder.
 
     Everything that summarises reviews starts from `pair_agg`, one row per
-    (user, business): the big join and its first aggregation then appear as one
-    subtree that Spark's exchange reuse computes once per query.
+    (user, business), so the review rows cross the network once, pre-aggregated.
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
+        self._written = False
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -63,6 +65,12 @@ class Tables:
             .select(_tagged("u", "o_custkey").alias("user_id"), _tagged("b", "l_suppkey").alias("business_id"))
         )
 
+    @cached_property
+    def counts(self) -> DataFrame:
+        """Interaction counts, written once: the queries that read them many times
+        join the two big tables a single time."""
+        return materialise(interaction_counts(self.tips), "counts")
+
     @cached_property
     def pair_agg(self) -> DataFrame:
         return (
@@ -71,6 +79,17 @@ class Tables:
             .agg(F.count("*").alias("n"), F.sum("s").alias("s"))
         )
 
+    def shared(self) -> Tables:
+        """Write `pair_agg` once, for queries that read it from several sides.
+
+        Filters that the planner pushes into one side keep it from reusing the
+        exchange, so each side would join the big tables again.
+        """
+        if not self._written:
+            self.__dict__["pair_agg"] = materialise(self.pair_agg, "pair-agg")
+            self._written = True
+        return self
+
     def _side_agg(self, key: str) -> DataFrame:
         totals = self.pair_agg.groupBy(key).agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
         return totals.select(key, F.col("n").cast("int").alias("n"), (F.col("s") / F.col("n")).alias("m"))
@@ -164,6 +183,7 @@ class Tables:
     @property
     def predictions(self) -> DataFrame:
         """A fixed predictor: business mean shifted by the user's leaning."""
+        self.shared()
         biz = self._side_agg("l_suppkey").select(_tagged("b", "l_suppkey").alias("business_id"), F.col("m").alias("bm"))
         usr = self._side_agg("o_custkey").select(_tagged("u", "o_custkey").alias("user_id"), F.col("m").alias("um"))
         raw = F.col("bm") + F.lit(0.75) * (F.coalesce("um", F.lit(3.0)) - F.lit(3.0))
