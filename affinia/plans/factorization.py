@@ -86,7 +86,8 @@ def als_factors(t):
 
 @query("als_pair_affinity", """SELECT DISTINCT p.user_id, p.business_id,
   CASE WHEN u.user_id IS NULL OR b.business_id IS NULL THEN 'default' ELSE 'model' END AS score_source
-  FROM pairs p LEFT JOIN tips u ON u.user_id = p.user_id LEFT JOIN tips b ON b.business_id = p.business_id""")
+  FROM pairs p LEFT JOIN (SELECT DISTINCT user_id FROM tips) u ON u.user_id = p.user_id
+  LEFT JOIN (SELECT DISTINCT business_id FROM tips) b ON b.business_id = p.business_id""")
 def als_pair_affinity(t):
     """Pairs scored by fitted vectors; the comparison covers pairs and sources."""
     scored = M.score_pairs(t.pairs, *M.factors(*fitted(t)))

@@ -24,11 +24,9 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType, limit: int
 def malformed_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """The lines `read_jsonl` drops, for a report."""
     wide = T.StructType(schema.fields + [T.StructField(CORRUPT, T.StringType())])
-    df = spark.read.schema(wide).option("columnNameOfCorruptRecord", CORRUPT).json(path)
-    # the corrupt column alone may not be selected straight from a JSON scan
-    return df.select(F.struct(*df.columns).alias("r")).where(F.col(f"r.{CORRUPT}").isNotNull()).select(
-        F.col(f"r.{CORRUPT}").alias("line")
-    )
+    parsed = F.from_json("value", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    return lines.where(parsed[CORRUPT].isNotNull()).select(F.col("value").alias("line"))
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
