@@ -187,9 +187,12 @@ def haversine(lon1, lat1, lon2, lat2) -> Column:
     return F.lit(EARTH_RADIUS_KM * 1000.0 * 2.0) * F.atan2(F.sqrt(a), F.sqrt(F.lit(1.0) - a))
 
 
+NO_LETTERS = r"[^\p{L}]+"
+
+
 def text_tokens(col: Column | str) -> Column:
     """Lower-case runs of letters of a text."""
-    words = F.filter(F.split(_c(col), r"[^\p{L}]+"), lambda w: w != "")
+    words = F.filter(F.split(_c(col), NO_LETTERS), lambda w: w != "")
     return F.transform(words, lambda w: F.lower(w))
 
 

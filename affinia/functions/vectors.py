@@ -43,19 +43,3 @@ def is_zero(col: Column | str) -> Column:
 
 def zeros(dim: int) -> Column:
     return F.array_repeat(F.lit(0.0), dim)
-
-
-def hashed_bag_of_words(tokens: Column | str, dim: int) -> Column:
-    """Unit-length vector of token counts per MD5 bucket, built inside the row."""
-    buckets = F.transform(
-        _c(tokens),
-        lambda t: F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("bigint") % F.lit(dim),
-    )
-    counts = F.transform(
-        F.array(buckets),
-        lambda all_: F.transform(
-            F.sequence(F.lit(0), F.lit(dim - 1)),
-            lambda i: F.size(F.filter(all_, lambda b: b == i)).cast("double"),
-        ),
-    )
-    return l2_normalize(F.element_at(counts, 1))

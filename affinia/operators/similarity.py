@@ -24,6 +24,8 @@ from affinia.session import materialise
 NUM_HASHES, ROWS_PER_BAND, THRESHOLD = 50, 2, 0.5
 MODULUS = 2_147_483_647  # prime above every 31-bit index
 MAX_SAMPLE = 1000
+# Businesses of one user that are still joined with each other.
+HEAVY_USER = 1000
 
 
 # --- sets of users ---------------------------------------------------------
@@ -81,7 +83,7 @@ def _size_class(size: Column, threshold: float) -> Column:
     return F.floor(F.log(size) / F.lit(math.log(1.0 / threshold)) + F.lit(1e-9))
 
 
-def _near_sizes(rows: DataFrame, keys: list[str], threshold: float, extra: Column | None = None) -> DataFrame:
+def _near_sizes(rows: DataFrame, keys: list[str], threshold: float) -> DataFrame:
     """Distinct (business_id_1, business_id_2) that meet on `keys` and whose sizes
     leave a Jaccard of `threshold` possible.
 
@@ -95,18 +97,25 @@ def _near_sizes(rows: DataFrame, keys: list[str], threshold: float, extra: Colum
         .withColumn("cls", F.explode(F.array(F.col("c"), F.col("c") - 1) if threshold < 1.0 else F.array("c")))
         .drop("c").alias("g")
     )
-    on = (
-        (F.col("s.size") < F.col("g.size"))
-        | ((F.col("s.size") == F.col("g.size")) & (F.col("s.business_id") < F.col("g.business_id")))
-    ) & (F.col("s.size") >= F.lit(threshold - 1e-9) * F.col("g.size"))
+    on = _may_match(threshold)
     for key in [*keys, "cls"]:
         on = on & (F.col(f"s.{key}") == F.col(f"g.{key}"))
-    if extra is not None:
-        on = on & extra
-    return small.join(big, on).select(
+    return small.join(big, on).select(*_pair_columns()).distinct()
+
+
+def _may_match(threshold: float) -> Column:
+    """The smaller set `s` is large enough for `g`; each unordered pair passes once."""
+    smaller = (F.col("s.size") < F.col("g.size")) | (
+        (F.col("s.size") == F.col("g.size")) & (F.col("s.business_id") < F.col("g.business_id"))
+    )
+    return smaller & (F.col("s.size") >= F.lit(threshold - 1e-9) * F.col("g.size"))
+
+
+def _pair_columns() -> list[Column]:
+    return [
         F.least("s.business_id", "g.business_id").alias("business_id_1"),
         F.greatest("s.business_id", "g.business_id").alias("business_id_2"),
-    ).distinct()
+    ]
 
 
 def lsh_candidates(signatures: DataFrame, rows_per_band: int = ROWS_PER_BAND, threshold: float = THRESHOLD) -> DataFrame:
@@ -126,33 +135,45 @@ def lsh_candidates(signatures: DataFrame, rows_per_band: int = ROWS_PER_BAND, th
     return _near_sizes(banded, ["band", "key"], threshold)
 
 
-def jaccard(candidates: DataFrame, edges: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Exact Jaccard of candidate pairs, kept from `threshold`.
+def _common(pairs: DataFrame, edges: DataFrame, n1: str, n2: str) -> DataFrame:
+    """Users both businesses of a pair have, as `common`; pairs without any drop out.
 
-    Common users are counted through two equi-joins. The smaller set of a pair is
-    the one that is listed, so a very popular business is only probed.
+    The smaller set of a pair is the one that is listed, so a very popular
+    business is only probed.
     """
-    sizes = edges.groupBy("business_id").agg(F.count("*").alias("n"))
-    one = sizes.select(F.col("business_id").alias("business_id_1"), F.col("n").alias("n1"))
-    two = sizes.select(F.col("business_id").alias("business_id_2"), F.col("n").alias("n2"))
-    first_small = F.col("n1") <= F.col("n2")
-    sided = (
-        candidates.join(one, "business_id_1").join(two, "business_id_2")
-        .withColumn("small", F.when(first_small, F.col("business_id_1")).otherwise(F.col("business_id_2")))
-        .withColumn("big", F.when(first_small, F.col("business_id_2")).otherwise(F.col("business_id_1")))
+    first_small = F.col(n1) <= F.col(n2)
+    one, two = F.col("business_id_1"), F.col("business_id_2")
+    sided = pairs.withColumn("small", F.when(first_small, one).otherwise(two)).withColumn(
+        "big", F.when(first_small, two).otherwise(one)
     )
     small = edges.select(F.col("business_id").alias("small"), "user_idx")
     big = edges.select(F.col("business_id").alias("big"), "user_idx")
-    common = (
+    return (
         sided.join(small, "small").join(big, ["big", "user_idx"], "left_semi")
-        .groupBy("business_id_1", "business_id_2", "n1", "n2").agg(F.count("*").alias("common"))
+        .groupBy(*pairs.columns).agg(F.count("*").alias("common"))
     )
+
+
+def _with_sizes(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+    one = sizes.select(F.col("business_id").alias("business_id_1"), F.col("size").alias("n1"))
+    two = sizes.select(F.col("business_id").alias("business_id_2"), F.col("size").alias("n2"))
+    return pairs.join(one, "business_id_1").join(two, "business_id_2")
+
+
+def _above(counted: DataFrame, threshold: float) -> DataFrame:
     value = F.col("common") / (F.col("n1") + F.col("n2") - F.col("common"))
-    return common.select("business_id_1", "business_id_2", value.alias("similarity")).where(
+    return counted.select("business_id_1", "business_id_2", value.alias("similarity")).where(
         F.col("similarity") >= threshold
     )
 
 
+def jaccard(candidates: DataFrame, edges: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Exact Jaccard of candidate pairs, kept from `threshold`; common users are
+    counted through two equi-joins."""
+    sizes = edges.groupBy("business_id").agg(F.count("*").alias("size"))
+    return _above(_common(_with_sizes(candidates, sizes), edges, "n1", "n2"), threshold)
+
+
 def similar_businesses(
     edges: DataFrame, threshold: float = THRESHOLD, params: list[tuple[int, int]] | None = None,
     rows_per_band: int = ROWS_PER_BAND,
@@ -178,35 +199,63 @@ def _copies(groups: DataFrame) -> DataFrame:
     )
 
 
-def jaccard_all(edges: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def jaccard_all(edges: DataFrame, threshold: float = THRESHOLD, heavy: int = HEAVY_USER) -> DataFrame:
     """Every pair with Jaccard of at least `threshold`, exactly: the yardstick for
     the banded search, in the same representative form.
 
-    Users are ordered from rare to frequent. Two sets that reach the threshold
-    share a user among the first |x| - ceil(t |x|) + 1 of either, so very active
-    users, who sort last, bring few sets together.
+    Users with up to `heavy` businesses are counted by joining their businesses
+    with each other. More active users would join too many: their share of the
+    overlap is only looked up for pairs that can still reach the threshold, which
+    are pairs that met through a light user or share a heavy one in the first
+    |x| - ceil(t |x|) + 1 users of both sets, ordered from rare to frequent.
     """
     edges = materialise(edges, "edges")
     groups = materialise(set_groups(edges), "set-groups")
     reps = groups.where("business_id = representative").select("business_id", "size")
     rep_edges = edges.join(reps, "business_id")
     frequency = rep_edges.groupBy("user_idx").agg(F.count("*").alias("f"))
+    is_heavy = F.col("f") > heavy
+    rated = materialise(rep_edges.join(frequency, "user_idx"), "rated-edges")
+    light_edges = rated.where(~is_heavy)
+    pair = ["business_id_1", "business_id_2"]
+    on = _may_match(threshold) & (F.col("s.user_idx") == F.col("g.user_idx"))
+    light = (
+        light_edges.alias("s").join(light_edges.alias("g"), on)
+        .groupBy(*_pair_columns()).agg(F.count("*").alias("light"))
+    )
+    heavy_edges = materialise(rated.where(is_heavy), "heavy-edges")
+    if heavy_edges.isEmpty():
+        return _above(_with_sizes(light.withColumn("common", F.col("light")), reps), threshold).unionByName(_copies(groups))
+
+    light = materialise(light, "light-overlap")
     order_key = F.concat(F.lpad(F.col("f").cast("string"), 19, "0"), F.lpad(F.col("user_idx").cast("string"), 19, "0"))
-    tokens = materialise(frequency.select("user_idx", order_key.alias("order_key")), "tokens")
-    token_rank = tokens.join(dense_index(tokens, "order_key", "token"), "order_key").select("user_idx", "token")
+    keyed = heavy_edges.withColumn("order_key", order_key)
+    tokens = dense_index(keyed, "order_key", "token")
     n_tokens = tokens.agg(F.count("*")).scalar()
+    n_heavy = heavy_edges.groupBy("business_id").agg(F.count("*").alias("n_heavy"))
     ordered = (
-        rep_edges.join(token_rank, "user_idx")
-        .withColumn("bucket", F.floor(F.col("token") * slices(F.col("size")) / n_tokens))
+        keyed.join(tokens, "order_key").join(n_heavy, "business_id")
+        .withColumn("bucket", F.floor(F.col("token") * slices(F.col("n_heavy")) / n_tokens))
+    )
+    # heavy users sort behind all light users of a set
+    placed = bucketed_row_number(ordered, ["business_id"], "bucket", ["token"], "at").withColumn(
+        "pos", F.col("size") - F.col("n_heavy") + F.col("at")
     )
-    placed = bucketed_row_number(ordered, ["business_id"], "bucket", ["token"], "pos")
     keep = F.col("size") - F.ceil(F.lit(threshold) * F.col("size") - F.lit(1e-9)) + 1
-    prefix = materialise(placed.where(F.col("pos") <= keep).select("business_id", "size", "token", "pos"), "prefixes")
-    # overlap needed for the threshold, against what the rest of both sets can give
-    needed = F.lit(threshold / (1.0 + threshold)) * (F.col("s.size") + F.col("g.size"))
-    left = F.least(F.col("s.size") - F.col("s.pos"), F.col("g.size") - F.col("g.pos")) + F.least("s.pos", "g.pos")
-    candidates = _near_sizes(prefix, ["token"], threshold, left >= needed - 1e-9)
-    return jaccard(candidates, edges, threshold).unionByName(_copies(groups))
+    prefix = placed.where(F.col("pos") <= keep).select("business_id", "size", "token")
+    met = light.select(*pair).unionByName(_near_sizes(prefix, ["token"], threshold)).distinct()
+    sides = [
+        n_heavy.select(F.col("business_id").alias(p), F.col("n_heavy").alias(f"h{i}")) for i, p in enumerate(pair, 1)
+    ]
+    known = _with_sizes(met.join(light, pair, "left").fillna(0, ["light"]), reps)
+    known = known.join(sides[0], pair[0], "left").join(sides[1], pair[1], "left").fillna(0, ["h1", "h2"])
+    needed = F.lit(threshold / (1.0 + threshold)) * (F.col("n1") + F.col("n2")) - 1e-9
+    hopeful = materialise(known.where(F.col("light") + F.least("h1", "h2") >= needed), "hopeful")
+    found = _common(hopeful.select(*pair, "h1", "h2"), heavy_edges, "h1", "h2").withColumnRenamed("common", "heavy")
+    total = hopeful.join(found.select(*pair, "heavy"), pair, "left").withColumn(
+        "common", F.col("light") + F.coalesce("heavy", F.lit(0))
+    )
+    return _above(total, threshold).unionByName(_copies(groups))
 
 
 # --- vectors ---------------------------------------------------------------

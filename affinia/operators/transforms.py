@@ -10,8 +10,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from affinia.functions.scalars import hash32, text_tokens
-from affinia.functions.vectors import hashed_bag_of_words, zeros
+from affinia.functions.scalars import NO_LETTERS, hash32
+from affinia.functions.vectors import l2_normalize, zeros
 from affinia.operators.aggregates import exploded_categories
 from affinia.operators.scale import bucketed_row_number
 
@@ -76,18 +76,33 @@ def pca(df: DataFrame, key: str, cols: list[str], k: int = 2) -> DataFrame:
     return model.transform(centred).select(key, vector_to_array("p").alias("components"))
 
 
-def embed_text(df: DataFrame, text: str, dim: int = 64, encoder: Callable[[pd.Series], pd.Series] | None = None) -> DataFrame:
-    """One vector per text, zeros for blank text.
+def word_vectors(df: DataFrame, key: str, text: str, dim: int) -> DataFrame:
+    """(key, embedding) of the texts that hold a word: counts of hashed words, unit length.
+
+    Words are counted per text and bucket before anything is shuffled, so a text
+    of any length moves `dim` rows at most.
+    """
+    words = df.select(key, F.explode(F.split(text, NO_LETTERS)).alias("w")).where("w <> ''")
+    bucket = F.conv(F.substring(F.md5(F.lower("w")), 1, 8), 16, 10).cast("bigint") % F.lit(dim)
+    counts = words.groupBy(key, bucket.cast("int").alias("pos")).agg(F.count("*").cast("double").alias("x"))
+    listed = counts.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("pos", "x"))).alias("m"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
+    return listed.select(key, dense.alias("v")).select(key, l2_normalize("v").alias("embedding"))
+
+
+def embed_text(
+    df: DataFrame, key: str, text: str, dim: int = 64, encoder: Callable[[pd.Series], pd.Series] | None = None
+) -> DataFrame:
+    """(key, embedding): one vector per text, zeros for blank text.
 
     Without an encoder the whole text becomes a hashed bag of words. An encoder
     maps a batch of texts to vectors; it is set up once per task.
     """
-    blank = F.coalesce(F.trim(text) == "", F.lit(True))
     if encoder is None:
-        vector = hashed_bag_of_words(text_tokens(text), dim)
-    else:
-        vector = _batched(encoder)(F.col(text))
-    return df.withColumn("embedding", F.when(blank, zeros(dim)).otherwise(vector))
+        vectors = df.select(key).join(word_vectors(df, key, text, dim), key, "left")
+        return vectors.select(key, F.coalesce("embedding", zeros(dim)).alias("embedding"))
+    blank = F.coalesce(F.trim(text) == "", F.lit(True))
+    return df.select(key, F.when(blank, zeros(dim)).otherwise(_batched(encoder)(F.col(text))).alias("embedding"))
 
 
 def embed_images(images: DataFrame, dim: int, encoder: Callable[[pd.Series], pd.Series]) -> DataFrame:

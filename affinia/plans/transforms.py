@@ -61,7 +61,7 @@ bag AS (SELECT doc_id, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % {DIM} AS p
 def text_embed(t):
     """Non-zero entries of each document's vector, from the whole text."""
     docs = t.table("documents").dropna(subset=["text"]).select("doc_id", "text")
-    vectors = X.embed_text(docs, "text", DIM)
+    vectors = X.embed_text(docs, "doc_id", "text", DIM)
     return vectors.select("doc_id", F.posexplode("embedding").alias("pos", "value")).where("value <> 0").withColumn(
         "value", rounded("value")
     )
