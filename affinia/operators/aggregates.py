@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from affinia.functions.scalars import clean_categories, with_suffix
 from affinia.functions.vectors import is_zero, zeros
+from affinia.operators.joins import left_join_many
 from affinia.operators.scale import exact_quantiles
 
 
@@ -68,13 +69,17 @@ def category_user_map(businesses: DataFrame, reviews: DataFrame) -> DataFrame:
     self edges match no category and never show up.
     """
     edges = exploded_categories(businesses).withColumn("category_md5", F.md5("category"))
-    return edges.join(reviews.select("user_id", "business_id"), "business_id", "left").select(
+    return left_join_many(edges, reviews.select("user_id", "business_id"), "business_id").select(
         "category", "category_md5", "business_id", "user_id"
     )
 
 
 def category_sets(category_users: DataFrame) -> DataFrame:
-    """Distinct businesses and users per category; a null user does not count."""
+    """Distinct businesses and users per category; a null user does not count.
+
+    Repeated visits change nothing here, so the map may be built from distinct
+    (user, business) pairs.
+    """
     return category_users.groupBy("category", "category_md5").agg(
         F.count_distinct("business_id").alias("n_businesses"),
         F.count_distinct("user_id").alias("n_users"),

@@ -61,6 +61,20 @@ def join_renamed(left: DataFrame, right: DataFrame, left_key: str, right_key: st
     return left.join(right, left[left_key] == right[right_key], "left").drop(right[right_key])
 
 
+def left_join_many(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Left join where the right side has the many rows of a hot key.
+
+    Spark can split a hot key of the right side only in an inner join, so rows with
+    a match come from one, and left keys without any are added.
+    """
+    extra = [c for c in right.columns if c != key]
+    matched = right.join(left, key).select(*left.columns, *extra)
+    alone = left.join(right.select(key).distinct(), key, "left_anti").select(
+        *left.columns, *[F.lit(None).cast(right.schema[c].dataType).alias(c) for c in extra]
+    )
+    return matched.unionByName(alone)
+
+
 def ranked_positives(positives: DataFrame, keys: list[str], total: DataFrame) -> DataFrame:
     """Positives (keys, idx) with their rank, the group size and the complement size.
 

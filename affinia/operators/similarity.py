@@ -26,6 +26,8 @@ MODULUS = 2_147_483_647  # prime above every 31-bit index
 MAX_SAMPLE = 1000
 # Businesses of one user that are still joined with each other.
 HEAVY_USER = 1000
+# Measured size of the item vectors up to which a copy goes to every executor.
+ITEM_BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 # --- sets of users ---------------------------------------------------------
@@ -299,13 +301,15 @@ def cosine_by_label(df: DataFrame, label: str, vec: str) -> DataFrame:
     return total.select("label_a", "label_b", pairs.alias("n_pairs"), (inner / F.nullif(pairs, F.lit(0))).alias("mean_similarity"))
 
 
-def _packed(df: DataFrame, key: str, vec: str, block: int) -> tuple[DataFrame, int]:
-    """Unit vectors packed into blocks of about `block` rows, spread by hash of the id."""
+def _packed(df: DataFrame, key: str, vec: str, block: int) -> tuple[DataFrame, int, int]:
+    """Unit vectors packed into blocks of about `block` rows, spread by hash of the id,
+    with the number of blocks and the bytes of all vectors."""
     df = materialise(df.select(key, vec), "vectors")
-    n_blocks = max(1, math.ceil(df.count() / block))
+    stats = df.agg(F.count("*").alias("rows"), F.max(F.size(vec)).alias("dims")).first()  # one row
+    n_blocks = max(1, math.ceil(stats["rows"] / block))
     rows = F.array_sort(F.collect_list(F.struct(F.col(key).cast("string").alias("id"), l2_normalize(vec).alias("v"))))
     packed = df.groupBy(F.pmod(F.xxhash64(key), F.lit(n_blocks)).alias("block")).agg(rows.alias("r"))
-    return packed.select("block", F.col("r.id").alias("ids"), F.flatten("r.v").alias("flat")), n_blocks
+    return packed.select("block", F.col("r.id").alias("ids"), F.flatten("r.v").alias("flat")), n_blocks, stats["rows"] * (stats["dims"] or 0) * 8
 
 
 def _block_top_k(k: int, digits: int):
@@ -338,13 +342,17 @@ def embedding_top_k(
 
     Both sides are packed into blocks of bounded size. Each pair of blocks is one
     matrix product that hands on k rows per query, so scores of whole pairs are
-    never emitted, nothing is broadcast, and memory per task is two blocks.
-    Scores are compared at `digits` digits, ties by item id.
+    never emitted and memory per task is two blocks. Items whose vectors were
+    measured to fit `ITEM_BROADCAST_BYTES` go to the queries; larger ones meet
+    them block by block in a shuffle. Scores are compared at `digits` digits,
+    ties by item id.
     """
-    q, _ = _packed(queries, query_key, vec, block)
-    i, n_blocks = _packed(items, item_key, vec, block)
+    q, _, _ = _packed(queries, query_key, vec, block)
+    i, n_blocks, item_bytes = _packed(items, item_key, vec, block)
     q = q.select(F.col("ids").alias("q_ids"), F.col("flat").alias("q_flat"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_blocks - 1).cast("bigint"))).alias("block"))
     i = i.select("block", F.col("ids").alias("i_ids"), F.col("flat").alias("i_flat"))
+    if item_bytes <= ITEM_BROADCAST_BYTES:
+        i = F.broadcast(i)
     scored = q.join(i, "block").select("q_ids", "q_flat", "i_ids", "i_flat").mapInPandas(
         _block_top_k(k, digits), "query_id string, item_id string, score double"
     )

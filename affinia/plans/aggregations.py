@@ -72,15 +72,20 @@ def category_user_map(t):
     return A.category_user_map(t.places, t.reviews)
 
 
+def category_visits(t):
+    """The category map over distinct (user, business) pairs."""
+    return A.category_user_map(t.places, t.reviews.select("user_id", "business_id").distinct())
+
+
 @query("category_sets", "SELECT * FROM sets", SETS)
 def category_sets(t):
-    return A.category_sets(A.category_user_map(t.places, t.reviews))
+    return A.category_sets(category_visits(t))
 
 
 @query("top_business_categories", f"""SELECT category, n_businesses AS business_count, n_users AS user_count, {r('p')} AS proportion
   FROM (SELECT * FROM sets ORDER BY n_businesses DESC, category LIMIT 10) JOIN share USING (category)""", SETS)
 def top_business_categories(t):
-    top = A.top_categories(A.category_user_map(t.places, t.reviews), t.places)
+    top = A.top_categories(category_visits(t), t.places)
     return top.withColumn("proportion", rounded("proportion"))
 
 
@@ -89,7 +94,7 @@ def top_business_categories(t):
   FROM sets ORDER BY n_users DESC, category LIMIT 10""", SETS)
 def top_categories_by_dimension(t):
     total = t.reviews.agg(F.count_distinct("user_id")).scalar()
-    top = A.top_categories_by(A.category_user_map(t.places, t.reviews), t.places, "user", total)
+    top = A.top_categories_by(category_visits(t), t.places, "user", total)
     return top.withColumn("proportion", rounded("proportion"))
 
 

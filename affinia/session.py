@@ -21,6 +21,9 @@ RUNTIME_CONF = {
 }
 
 
+_local_dir: str | None = None
+
+
 def local_session(cores: int = 8, shuffle_partitions: int = 8, name: str = "affinia") -> SparkSession:
     """Session for tests and the bench; a cluster brings its own."""
     spark = (
@@ -54,9 +57,10 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
-    named = tempfile.mkdtemp(prefix="affinia-")
-    spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    global _local_dir
+    if _local_dir is None:
+        _local_dir = tempfile.mkdtemp(prefix="affinia-")
+    return _local_dir
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
