@@ -18,6 +18,8 @@ RUNTIME_CONF = {
     # split a hot join key even where that costs one more exchange afterwards
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # rows of packed vectors are large: bound a batch by bytes, not by rows alone
+    "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
 }
 
 
