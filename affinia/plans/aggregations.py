@@ -8,6 +8,7 @@ from affinia.operators.profiles import transform_reviews
 from affinia.plans.joins import CLUSTERS, rule_clusters
 from affinia.plans.projections import AS_OF, TOKENS
 from affinia.plans.registry import query, r
+from affinia.session import materialise
 
 DIM = 64  # length of the vectors in `embeddings`
 
@@ -187,9 +188,10 @@ PROFILED = ["average_stars", "review_count", "fans", "useful"]
        CLUSTERS + ', clustered AS (SELECT p.user_id, c."Cluster", u.average_stars, u.review_count, u.fans, u.useful '
        'FROM pairs p JOIN clusters c USING (user_id) JOIN users u USING (user_id))')
 def cluster_profile(t):
-    users = t.users.select("user_id", *PROFILED)
+    users = t.shared().users.select("user_id", *PROFILED)
     rows = t.pairs.select("user_id").join(rule_clusters(t), "user_id").join(users, "user_id")
-    return rounded_profile(A.profile(rows, ["Cluster"], PROFILED))
+    # moments, brackets and counts each read the rows
+    return rounded_profile(A.profile(materialise(rows, "profiled"), ["Cluster"], PROFILED))
 
 
 @query("city_share", f"""SELECT city, count(*) AS n, {r('count(*) / (SELECT count(*) FROM located) * 100')} AS percentage
@@ -219,4 +221,4 @@ def group_sizes(t):
 
 @query("score_summary", profile_sql("predictions", [], ["prediction"]))
 def score_summary(t):
-    return rounded_profile(A.profile(t.predictions, [], ["prediction"]))
+    return rounded_profile(A.profile(t.scored, [], ["prediction"]))

@@ -49,7 +49,7 @@ def confusion_matrix(t):
 
 
 def with_error(t):
-    return t.predictions.select(F.floor("stars").alias("star"), (F.col("prediction") - F.col("stars")).alias("error"))
+    return t.scored.select(F.floor("stars").alias("star"), (F.col("prediction") - F.col("stars")).alias("error"))
 
 
 @query("error_by_star", profile_sql("errors", ["star"], ["error"]),
@@ -81,6 +81,7 @@ over_feats AS (SELECT o.*, f.average_stars, f.bus_stars, f.city, f.avg_useful_sc
 
 
 def over_features(t):
+    t.shared()
     feats = (
         t.pairs.drop("stars").join(t.users.select("user_id", "average_stars"), "user_id", "left")
         .join(t.businesses.select("business_id", F.col("stars").alias("bus_stars"), "city"), "business_id", "left")
@@ -108,7 +109,7 @@ CITY = "city_predictions AS (SELECT p.*, b.city FROM predictions p JOIN business
 
 
 def city_predictions(t):
-    return t.predictions.join(t.places.select("business_id", "city"), "business_id")
+    return t.scored.join(t.places.select("business_id", "city"), "business_id")
 
 
 @query("feature_box_stats", box_sql("city_predictions", "prediction", "city"), CITY)
@@ -167,13 +168,13 @@ def prediction_histogram(t):
   CAST(least(floor((stars - y0) / ((y1 - y0) / 5e0)), 4) AS BIGINT) AS y_bin, count(*) AS n FROM predictions,
   (SELECT min(prediction) AS x0, max(prediction) AS x1, min(stars) AS y0, max(stars) AS y1 FROM predictions) GROUP BY 1, 2""")
 def joint_histogram(t):
-    return histogram2d(t.predictions, "prediction", "stars", 20, 5)
+    return histogram2d(t.scored, "prediction", "stars", 20, 5)
 
 
 @query("rating_distribution", """SELECT 'true' AS kind, round_even(stars, 0) AS star, count(*) AS n FROM predictions GROUP BY 2
   UNION ALL SELECT 'predicted', round_even(prediction, 0), count(*) FROM predictions GROUP BY 2""")
 def rating_distribution(t):
     return union_all([
-        E.value_counts(t.predictions, F.rint(col), "star").select(F.lit(kind).alias("kind"), "star", "n")
+        E.value_counts(t.scored, F.rint(col), "star").select(F.lit(kind).alias("kind"), "star", "n")
         for kind, col in (("true", "stars"), ("predicted", "prediction"))
     ])

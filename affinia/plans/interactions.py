@@ -25,8 +25,8 @@ def user_interaction_lists(t):
 @query("id_index", "SELECT 'user' AS kind, user_id AS id, idx FROM user_index UNION ALL SELECT 'business', business_id, idx FROM biz_index",
        f"{USER_INDEX}, {BIZ_INDEX}")
 def id_index(t):
-    users = I.index_ids(t.tips, "user_id").select(F.lit("user").alias("kind"), F.col("user_id").alias("id"), "idx")
-    biz = I.index_ids(t.tips, "business_id").select(F.lit("business").alias("kind"), F.col("business_id").alias("id"), "idx")
+    users = I.index_ids(t.counts, "user_id").select(F.lit("user").alias("kind"), F.col("user_id").alias("id"), "idx")
+    biz = I.index_ids(t.counts, "business_id").select(F.lit("business").alias("kind"), F.col("business_id").alias("id"), "idx")
     return users.unionByName(biz)
 
 
@@ -51,8 +51,7 @@ HALF = f"""CASE WHEN s < 2 THEN round_even(s * 1024, 0) / 1024 WHEN s < 4 THEN r
   FROM (SELECT *, {LOGN} AS s FROM counts) JOIN user_index u USING (user_id) JOIN biz_index b USING (business_id)""",
        f"{COUNTS}, {USER_INDEX}, {BIZ_INDEX}")
 def implicit_ratings(t):
-    counts = I.interaction_counts(t.tips)
-    rated = I.implicit_ratings(counts, I.index_ids(t.tips, "user_id"), I.index_ids(t.tips, "business_id"))
+    rated = I.implicit_ratings(t.counts, I.index_ids(t.counts, "user_id"), I.index_ids(t.counts, "business_id"))
     return rated.withColumn("rating", F.col("rating").cast("double"))
 
 
@@ -64,7 +63,7 @@ ROUTES = """routes AS (SELECT p.*, u.user_id IS NOT NULL AS user_known, b.busine
 @query("pair_routing", """SELECT user_id, business_id, stars, user_known, business_known,
   CASE WHEN user_known AND business_known THEN 'valid' ELSE 'missing' END AS route FROM routes""", ROUTES)
 def pair_routing(t):
-    return I.route_pairs(t.pairs, t.tips, t.tips)
+    return I.route_pairs(t.pairs, t.counts, t.counts)
 
 
 @query("user_top_k", f"""SELECT user_id, business_id, n, CAST(rank AS INT) AS rank, {r(LOGN)} AS affinity FROM (
@@ -92,4 +91,4 @@ def histogram_sql(relation: str, col: str, bins: int) -> str:
 
 @query("interaction_histogram", histogram_sql("counts", "n", 10), COUNTS)
 def interaction_histogram(t):
-    return I.histogram(I.interaction_counts(t.tips), "n", 10).withColumn("low", rounded("low"))
+    return I.histogram(t.counts, "n", 10).withColumn("low", rounded("low"))

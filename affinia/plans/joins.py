@@ -52,6 +52,7 @@ def feature_rows(t):
   u.useful AS useful_user, u.review_count, b.stars AS stars_business, b.review_count AS review_count_business, b.city
   FROM reviews v JOIN users u USING (user_id) JOIN businesses b USING (business_id)""")
 def review_user_business(t):
+    t.shared()
     return J.interaction_rows(t.reviews, t.users, t.businesses).select(
         "review_id", "user_id", "business_id", "stars", "useful_review", "useful_user", "review_count",
         "stars_business", "review_count_business", "city",
@@ -123,7 +124,7 @@ def rdd_pair_join(t):
 @query("positional_concat", """SELECT p.user_id, p.business_id, p.prediction, u.average_stars, b.stars AS bus_stars
   FROM predictions p LEFT JOIN users u USING (user_id) LEFT JOIN businesses b USING (business_id)""")
 def positional_concat(t):
-    users = t.users.select("user_id", "average_stars")
+    users = t.shared().users.select("user_id", "average_stars")
     businesses = t.businesses.select("business_id", F.col("stars").alias("bus_stars"))
     return t.predictions.drop("stars").join(users, "user_id", "left").join(businesses, "business_id", "left")
 

@@ -52,4 +52,4 @@ def score_coverage(t):
 @query("cold_start_report", f"""SELECT user_known, business_known, count(*) AS n, {r('count(*) / (SELECT count(*) FROM pairs)')} AS share
   FROM routes GROUP BY ALL""", ROUTES)
 def cold_start_report(t):
-    return Q.cold_start(t.pairs, t.tips, t.tips).withColumn("share", rounded("share"))
+    return Q.cold_start(t.shared().pairs, t.counts, t.counts).withColumn("share", rounded("share"))

@@ -9,6 +9,7 @@ from affinia.plans.aggregations import DIM, EDGES
 from affinia.plans.factorization import VECTORS, business_vectors
 from affinia.plans.projections import WORDS
 from affinia.plans.registry import query, r
+from affinia.session import materialise
 
 SCALED = ["review_count", "useful", "funny", "cool", "fans", "average_stars"]
 
@@ -16,7 +17,8 @@ SCALED = ["review_count", "useful", "funny", "cool", "fans", "average_stars"]
 @query("standard_scale", "SELECT user_id, " + ", ".join(
     r(f"({c} - (SELECT avg({c}) FROM users)) / (SELECT stddev_pop({c}) FROM users)") + f" AS {c}" for c in SCALED) + " FROM users")
 def standard_scale(t):
-    return X.standard_scale(t.users.select("user_id", *SCALED), SCALED).withColumns({c: rounded(c) for c in SCALED})
+    users = materialise(t.users.select("user_id", *SCALED), "users")
+    return X.standard_scale(users, SCALED).withColumns({c: rounded(c) for c in SCALED})
 
 
 @query("multi_hot_categories", "SELECT DISTINCT business_id, category, CAST(1 AS INT) AS value FROM cat_edges WHERE category <> ''", EDGES)
@@ -48,7 +50,8 @@ def city_matrix(t):
 
 @query("pca_2d")
 def pca_2d(t):
-    return X.pca(t.users, "user_id", SCALED).select(
+    users = materialise(t.users.select("user_id", *SCALED), "users")
+    return X.pca(users, "user_id", SCALED).select(
         "user_id", F.posexplode("components").alias("component", "value")
     )
 

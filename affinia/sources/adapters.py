@@ -193,6 +193,11 @@ class Tables:
             .select("user_id", "business_id", "stars", rounded(raw, 4).alias("prediction"))
         )
 
+    @cached_property
+    def scored(self) -> DataFrame:
+        """The predictions, written once for queries that read them several times."""
+        return materialise(self.predictions, "predictions")
+
 
 # The same relations for the SQL checks, as common table expressions.
 CTES = """reviews AS (
