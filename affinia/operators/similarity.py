@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from affinia.functions.scalars import hash32, rounded
-from affinia.functions.vectors import as_doubles, dot, is_zero, l2_normalize
+from affinia.functions.vectors import dot, is_zero, l2_normalize
 from affinia.operators.interactions import top_k_per
 from affinia.operators.scale import bucketed_row_number, dense_index, slices
 from affinia.session import materialise
