@@ -197,7 +197,7 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts, changed = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     less = changed.select(
         F.col("_id").alias("_cid"), F.col("_row").alias("_crow"), "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("_sha")
-    )
+    ).distinct()
     same = (F.col("_id") == F.col("_cid")) & (F.col("_row") == F.col("_crow"))
     return counts.join(less, same, "left").select(
         F.col("_id").alias("doc_id"), "n_words", F.coalesce("n_removed", F.lit(0)).cast("bigint").alias("n_removed"),

@@ -36,7 +36,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from affinia.llm.words import WHITE, Words, mix, pieces, utf8, words_of
-from affinia.session import materialise
 
 WINDOW = 13
 # Bytes of text whose entries share a bucket, so that a bucket fits a task at any size.
@@ -333,6 +332,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """All rows as (_id, _row, n_words, sha256), and the changed ones as (_id, _row, n_removed, kept, spans).
 
     `spans` are the maximal repeats, as first word and number of words in the input.
+    Rows that repeat both id and text are listed as often as they stand in `docs`.
     """
     block = (window + 1) // 2
     rows = _rows(docs, id_col, text_col)
@@ -342,7 +342,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     n_buckets = max(parts, -(-size // BUCKET_BYTES))
     hits = anchored_documents(named, anchors(named, block, n_buckets)).withColumnsRenamed({"_id": "_hid", "_row": "_hrow"})
     same = (F.col("_id") == F.col("_hid")) & (F.col("_row") == F.col("_hrow"))
-    texts = materialise(named.join(hits, same).select("_id", "_row", "_text", "places").dropDuplicates(["_id", "_row"]), "anchored")
+    # dealt out once by document, and read from there by both joins
+    dealt = named.repartition(parts, "_id", "_row")
+    texts = dealt.join(hits, same).select("_id", "_row", "_text", "places")
     gone = repeats(texts, block, window, n_buckets).groupBy("_id", "_row").agg(F.collect_list("places").alias("gone"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -368,7 +370,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 ["_id", "_row", "n_removed", "kept", "spans"],
             )
 
-    changed = texts.drop("places").join(gone, ["_id", "_row"]).mapInArrow(
+    changed = dealt.join(gone, ["_id", "_row"]).mapInArrow(
         remove, "_id bigint, _row bigint, n_removed bigint, kept string, spans array<struct<first: bigint, words: bigint>>"
     )
     return word_counts(rows), changed
