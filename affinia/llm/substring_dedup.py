@@ -239,8 +239,25 @@ def _wide_windows(words: Words, place: np.ndarray, block: int, window: int) -> t
     return at[near], got[near]
 
 
+GROUPED = ["group", "ids", "rows", "which", "places"]
+GROUP_KINDS = [pa.int32(), *[pa.binary()] * 4]
+
+
+def _by_document(ids: np.ndarray, rows: np.ndarray, place: np.ndarray, n: int) -> Iterator[tuple[int, bytes, bytes, bytes, bytes]]:
+    """Places packed by document, and the documents by group: (group, ids, rows, places per document, places)."""
+    order, starts = _groups(ids, rows)
+    if not len(order):
+        return
+    size = np.diff(np.append(starts, len(order))).astype(np.int32)
+    ids, rows = ids[order[starts]], rows[order[starts]]
+    group = _buckets(mix(ids.view(np.uint64) ^ mix(rows.view(np.uint64))), n)
+    for g, some in _by_bucket(group, n):
+        mine = np.concatenate([order[starts[k] : starts[k] + size[k]] for k in some])
+        yield g, ids[some].tobytes(), rows[some].tobytes(), size[some].tobytes(), planes(place[mine].astype(np.uint64), 4)
+
+
 def repeats(texts: DataFrame, block: int, window: int, n_buckets: int) -> DataFrame:
-    """(_id, _row, places): bytes at which windows begin whose words also begin in a smaller document."""
+    """(_id, _row, gone): bytes at which windows begin whose words also begin in a smaller document."""
 
     def offer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "_text", CHUNK_BYTES):
@@ -256,30 +273,26 @@ def repeats(texts: DataFrame, block: int, window: int, n_buckets: int) -> DataFr
             size = np.diff(np.append(starts, len(order)))
             value = got[order[starts]]
             first = np.concatenate([[True], value[1:] != value[:-1]])  # the smallest document of each hash
-            out = []
-            gone = order[np.repeat(~first, size)]
-            later = np.sort(gone)
-            for d in np.unique(doc[later]):
-                mine = later[doc[later] == d]
-                out.append((-1, ids[[d]].tobytes(), own[[d]].tobytes(), b"", b"", pack_places(words.start[at[mine]] - borders[d])))
+            later = order[np.repeat(~first, size)]
+            packed = _by_document(ids[doc[later]], own[doc[later]], words.start[at[later]] - borders[doc[later]], n_buckets)
+            out = [(-1, group, i, r, n, b"", p) for group, i, r, n, p in packed]
             asked = np.sort(order[np.repeat(first, size)])
             bucket = _buckets(got[asked], n_buckets)
             for b, some in _by_bucket(bucket, n_buckets):
                 some = asked[some]
                 docs, which = np.unique(doc[some], return_inverse=True)
-                out.append((b, ids[docs].tobytes(), own[docs].tobytes(), which.astype(np.int32).tobytes(), planes(got[some], 8), planes((words.start[at[some]] - borders[doc[some]]).astype(np.uint64), 4)))
-            names = ["bucket", "ids", "rows", "which", "tags", "places"]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x[0] for x in out], pa.int32()), *(pa.array([x[i] for x in out], pa.binary()) for i in range(1, 6))], names
-            )
+                place = words.start[at[some]] - borders[doc[some]]
+                out.append((b, 0, ids[docs].tobytes(), own[docs].tobytes(), which.astype(np.int32).tobytes(), planes(got[some], 8), planes(place, 4)))
+            kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 5]
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out), kinds)], ["bucket", "group", "ids", "rows", "which", "tags", "places"])
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for unit in _same_key(batches, "bucket"):
-            ids = [np.frombuffer(x, np.int64) for x in unit.column("ids").to_pylist()]
-            own = [np.frombuffer(x, np.int64) for x in unit.column("rows").to_pylist()]
             if unit.column("bucket")[0].as_py() < 0:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(own)), unit.column("places")], ["_id", "_row", "places"])
+                yield unit.select(GROUPED)
                 continue
+            ids = [np.frombuffer(x, np.int64) for x in unit.column("ids").to_pylist()]
+            own = [np.frombuffer(x, np.int64) for x in unit.column("rows").to_pylist()]
             which = [np.frombuffer(x, np.int32) for x in unit.column("which").to_pylist()]
             tag = np.concatenate([unplanes(x, 8) for x in unit.column("tags").to_pylist()])
             place = np.concatenate([unplanes(x, 4) for x in unit.column("places").to_pylist()]).astype(np.int64)
@@ -289,18 +302,29 @@ def repeats(texts: DataFrame, block: int, window: int, n_buckets: int) -> DataFr
             size = np.diff(np.append(starts, len(order)))
             gone = np.flatnonzero(doc[order] > np.repeat(np.minimum.reduceat(doc[order], starts), size)) if len(order) else order
             gone = order[gone]
-            if not len(gone):
-                continue
-            by_doc, cuts = _groups(doc[gone], row[gone])
-            gone = gone[by_doc]
-            cuts = np.append(cuts, len(gone))
-            packed = [pack_places(np.sort(place[gone[a:b]])) for a, b in zip(cuts[:-1], cuts[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(doc[gone[cuts[:-1]]]), pa.array(row[gone[cuts[:-1]]]), pa.array(packed, pa.binary())], ["_id", "_row", "places"])
-
-    offers = texts.mapInArrow(offer, "bucket int, ids binary, rows binary, which binary, tags binary, places binary")
+            out = list(_by_document(doc[gone], row[gone], place[gone], n_buckets))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out), GROUP_KINDS)], GROUPED)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for unit in _same_key(batches, "group"):
+            ids, own, size = (
+                np.concatenate([np.frombuffer(x, kind) for x in unit.column(c).to_pylist()])
+                for c, kind in (("ids", np.int64), ("rows", np.int64), ("which", np.int32))
+            )
+            place = np.concatenate([unplanes(x, 4) for x in unit.column("places").to_pylist()]).astype(np.int64)
+            ids, own = np.repeat(ids, size), np.repeat(own, size)
+            order, cuts = _groups(ids, own, place)
+            ids, own, place = ids[order[cuts]], own[order[cuts]], place[order[cuts]]  # each place once
+            cuts = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (own[1:] != own[:-1])]))
+            packed = [pack_places(x) for x in np.split(place, cuts[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[cuts]), pa.array(own[cuts]), pa.array(packed, pa.binary())], ["_id", "_row", "gone"])
+
+    offers = texts.mapInArrow(offer, "bucket int, group int, ids binary, rows binary, which binary, tags binary, places binary")
     salt = F.when(F.col("bucket") < 0, F.xxhash64("ids", "rows")).otherwise(0)
     dealt = offers.withColumn("salt", salt).repartition("bucket", "salt").sortWithinPartitions("bucket").drop("salt")
-    return dealt.mapInArrow(decide, "_id bigint, _row bigint, places binary")
+    found = dealt.mapInArrow(decide, "group int, ids binary, rows binary, which binary, places binary")
+    return found.repartition("group").sortWithinPartitions("group").mapInArrow(gather, "_id bigint, _row bigint, gone binary")
 
 
 def word_counts(rows: DataFrame) -> DataFrame:
@@ -345,7 +369,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # dealt out once by document, and read from there by both joins
     dealt = named.repartition(parts, "_id", "_row")
     texts = dealt.join(hits, same).select("_id", "_row", "_text", "places")
-    gone = repeats(texts, block, window, n_buckets).groupBy("_id", "_row").agg(F.collect_list("places").alias("gone"))
+    gone = repeats(texts, block, window, n_buckets)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "_text"):
@@ -355,7 +379,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             for d, packed in enumerate(batch.column("gone").to_pylist()):
                 first, last = words.first[d], words.first[d + 1]
                 start = words.start[first:last] - borders[d]
-                hit = np.searchsorted(start, np.unique(np.concatenate([unpack_places(p) for p in packed])))
+                hit = np.searchsorted(start, unpack_places(packed))
                 cover = np.zeros(last - first + 1, np.int64)
                 np.add.at(cover, hit, 1)
                 np.add.at(cover, np.minimum(hit + window, last - first), -1)
