@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from affinia.session import materialise
+
 WHITE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # A key with more lines than this, and more than a quarter of a partition's share, is spread.
@@ -46,12 +48,14 @@ def rows_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def dropped_lines(rows: DataFrame, min_chars: int, hot_lines: int) -> DataFrame:
     """(_id, _row, pos) of every line that a smaller document holds too."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    lines = (
+    # read by the counts, by the sample that finds the ranges, and by the sort
+    lines = materialise(
         rows.where(F.col("_id").isNotNull())
         .select("_id", "_row", F.posexplode(lines_of(F.col("_text"))).alias("pos", "line"))
         .select("_id", "_row", "pos", line_key(F.col("line")).alias("key"))
         .where(F.char_length("key") >= min_chars)
-        .select("_id", "_row", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
+        .select("_id", "_row", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2")),
+        "lines",
     )
     counts = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("_id").alias("hot_first"))
     share = counts.agg((F.sum("n") / F.lit(4 * parts)).alias("share")).scalar()
