@@ -237,6 +237,11 @@ SLICE = 2048
 UNIT = ["key", "lo", "hi"]
 
 
+def _tasks(df: DataFrame) -> int:
+    """Few bytes take long to compare here, so units are not put together by their size."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One batch per (key, lo, hi) of sorted rows."""
     held: list[pa.RecordBatch] = []
@@ -297,7 +302,7 @@ def open_members(members: DataFrame, roots: DataFrame, classes: DataFrame, thres
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .select("key", "node", "comp", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
         .join(classes.select("node", "regs", "n_shingles"), "node")
-        .repartition(*UNIT).sortWithinPartitions(*UNIT, "node")
+        .repartition(_tasks(members), *UNIT).sortWithinPartitions(*UNIT, "node")
     )
     cutoff = threshold - MARGIN * (threshold * (1 - threshold) / REGISTERS) ** 0.5
     names = ["key", "lo", "hi", "part", "node", "comp"]
@@ -319,7 +324,7 @@ def open_links(opened: DataFrame, classes: DataFrame, sets: DataFrame, threshold
     percent = round(100 * threshold)
     units = (
         opened.join(classes.select("node", "regs", "n_shingles"), "node").join(sets, "node")
-        .repartition(*UNIT).sortWithinPartitions(*UNIT, "node")
+        .repartition(_tasks(opened), *UNIT).sortWithinPartitions(*UNIT, "node")
     )
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
