@@ -28,6 +28,8 @@ BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
 MAX_LANGUAGES = 2000
 UNKNOWN = "und"
+# A character takes some 100 bytes while its n-grams are looked up.
+PIECE_BYTES = 1_500_000
 
 
 @lru_cache(maxsize=1)
@@ -75,7 +77,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
         totals.clear()
 
-    for batch in pieces(batches, "text"):
+    for batch in pieces(batches, "text", PIECE_BYTES):
         found, _ = grams(batch.column("text"))
         langs = batch.column("lang").dictionary_encode()
         names, code = langs.dictionary.to_pylist(), langs.indices.to_numpy()
@@ -132,7 +134,7 @@ def predictor(spark, names: list[str], logs: np.ndarray):
     @F.arrow_udf("struct<lang_pred: string, score: double>")
     def predict(texts: pa.Array) -> pa.Array:
         langs, scores = [], []
-        for part in pieces([pa.RecordBatch.from_arrays([texts], ["t"])], "t"):
+        for part in pieces([pa.RecordBatch.from_arrays([texts], ["t"])], "t", PIECE_BYTES):
             best, sure = score(part.column("t"), names, shared.value)
             langs += [names[i] if i >= 0 else UNKNOWN for i in best]
             scores.append(sure)
