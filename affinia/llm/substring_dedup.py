@@ -87,9 +87,9 @@ def _chunk_name(ids: np.ndarray, rows: np.ndarray, borders: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True)
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _chunks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(name, ids, rows, bytes, borders) of each chunk; the name tells the documents and where they begin."""
-    for batch in pieces(batches, "_text", CHUNK_BYTES):
+    for batch in pieces(batches, "_text", limit):
         data, borders = utf8(batch.column("_text"))
         ids, rows = batch.column("_id").to_numpy(), batch.column("_row").to_numpy()
         yield _chunk_name(ids, rows, borders), ids, rows, data, borders
@@ -128,11 +128,11 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def anchors(rows: DataFrame, block: int, n_buckets: int) -> DataFrame:
+def anchors(rows: DataFrame, block: int, n_buckets: int, chunk_bytes: int) -> DataFrame:
     """(chunk, places): the bytes at which windows begin whose words stand in another document too."""
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, ids, _, data, borders in _chunks(batches):
+        for name, ids, _, data, borders in _chunks(batches, chunk_bytes):
             words = words_of(data, borders, WHITE)
             at, got = words.rolling(block)
             # a text stands once for each hash, with its first place
@@ -197,11 +197,11 @@ def anchors(rows: DataFrame, block: int, n_buckets: int) -> DataFrame:
     return dealt.select("bucket", "chunk", "body").mapInArrow(match, "chunk bigint, places binary")
 
 
-def anchored_documents(rows: DataFrame, found: DataFrame) -> DataFrame:
+def anchored_documents(rows: DataFrame, found: DataFrame, chunk_bytes: int) -> DataFrame:
     """(_id, _row, places) of the documents that hold anchors, places from the document's first byte."""
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, ids, own, _, borders in _chunks(batches):
+        for chunk, ids, own, _, borders in _chunks(batches, chunk_bytes):
             yield pa.RecordBatch.from_arrays(
                 [pa.array([chunk]), pa.array([ids.tobytes()], pa.binary()), pa.array([own.tobytes()], pa.binary()), pa.array([borders.tobytes()], pa.binary())],
                 ["chunk", "ids", "rows", "borders"],
@@ -256,11 +256,11 @@ def _by_document(ids: np.ndarray, rows: np.ndarray, place: np.ndarray, n: int) -
         yield g, ids[some].tobytes(), rows[some].tobytes(), size[some].tobytes(), planes(place[mine].astype(np.uint64), 4)
 
 
-def repeats(texts: DataFrame, block: int, window: int, n_buckets: int) -> DataFrame:
+def repeats(texts: DataFrame, block: int, window: int, n_buckets: int, chunk_bytes: int) -> DataFrame:
     """(_id, _row, gone): bytes at which windows begin whose words also begin in a smaller document."""
 
     def offer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "_text", CHUNK_BYTES):
+        for batch in pieces(batches, "_text", chunk_bytes):
             data, borders = utf8(batch.column("_text"))
             ids, own = batch.column("_id").to_numpy(), batch.column("_row").to_numpy()
             words = words_of(data, borders, WHITE)
@@ -352,7 +352,9 @@ def _joined(data: np.ndarray, words: Words, some) -> bytes:
     return b" ".join(raw[a:b] for a, b in zip((start - start[0]).tolist(), (end - start[0]).tolist()))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+def remove_repeats(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, chunk_bytes: int = CHUNK_BYTES
+) -> tuple[DataFrame, DataFrame]:
     """All rows as (_id, _row, n_words, sha256), and the changed ones as (_id, _row, n_removed, kept, spans).
 
     `spans` are the maximal repeats, as first word and number of words in the input.
@@ -364,12 +366,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = named.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     n_buckets = max(parts, -(-size // BUCKET_BYTES))
-    hits = anchored_documents(named, anchors(named, block, n_buckets)).withColumnsRenamed({"_id": "_hid", "_row": "_hrow"})
+    hits = anchored_documents(named, anchors(named, block, n_buckets, chunk_bytes), chunk_bytes).withColumnsRenamed({"_id": "_hid", "_row": "_hrow"})
     same = (F.col("_id") == F.col("_hid")) & (F.col("_row") == F.col("_hrow"))
     # dealt out once by document, and read from there by both joins
     dealt = named.repartition(parts, "_id", "_row")
     texts = dealt.join(hits, same).select("_id", "_row", "_text", "places")
-    gone = repeats(texts, block, window, n_buckets)
+    gone = repeats(texts, block, window, n_buckets, chunk_bytes)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "_text"):
