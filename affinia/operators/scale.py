@@ -17,51 +17,24 @@ from affinia.session import materialise
 
 # Rows one window task should have to sort; hotter groups are cut into more buckets.
 ROWS_PER_BUCKET = 1_000_000
-SAMPLES_PER_BUCKET = 32
 
 
-def _shuffle_partitions(df: DataFrame) -> int:
-    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-
-
-def with_range_bucket(df: DataFrame, col: str, out: str = "bucket", buckets: int | None = None) -> DataFrame:
-    """Number of the value range a row falls into; ranges hold about equal counts.
+def dense_index(df: DataFrame, col: str, out: str = "idx") -> DataFrame:
+    """Distinct values of `col` numbered 0, 1, 2 ... in ascending order.
 
-    The range edges come from a hash-ordered sample of at most
-    `SAMPLES_PER_BUCKET` values per bucket, held in one small array.
+    The values are range-partitioned and sorted, and written once with their
+    partition and their place in it; a value's number is its place plus the number
+    of values in the partitions before, a table with one row per partition.
     """
-    n = buckets or _shuffle_partitions(df)
-    edges = (
-        df.select(col)
-        .orderBy(F.xxhash64(col), col)
-        .limit(n * SAMPLES_PER_BUCKET)
-        .agg(F.array_sort(F.collect_list(col)).alias("edges"))
-        .select(F.filter("edges", lambda _, i: i % SAMPLES_PER_BUCKET == SAMPLES_PER_BUCKET - 1))
-        .scalar()
-    )
-    return (
-        df.withColumn("_edges", edges)
-        .withColumn(out, F.size(F.filter("_edges", lambda e: e <= F.col(col))))
-        .drop("_edges")
-    )
-
-
-def dense_index(df: DataFrame, col: str, out: str = "idx") -> DataFrame:
-    """Distinct values of `col` numbered 0, 1, 2 ... in ascending order."""
-    ids = materialise(df.where(F.col(col).isNotNull()).select(col).distinct(), "ids")
-    ranged = with_range_bucket(ids, col, "_bucket")
-    sizes = (
-        ranged.groupBy("_bucket").agg(F.count("*").alias("n"))
-        .agg(F.collect_list(F.struct("_bucket", "n")))  # one entry per bucket
-        .scalar()
-    )
-    local = F.row_number().over(W.partitionBy("_bucket").orderBy(col)).cast("bigint")
-    before = F.aggregate(
-        F.filter("_sizes", lambda s: s["_bucket"] < F.col("_bucket")),
-        F.lit(0).cast("bigint"),
-        lambda acc, s: acc + s["n"],
-    )
-    return materialise(ranged.withColumn("_sizes", sizes).select(col, (local - 1 + before).alias(out)), "index")
+    ids = df.where(F.col(col).isNotNull()).select(col).distinct().repartitionByRange(col).sortWithinPartitions(col)
+    # the upper bits are the partition, the lower 33 count its rows
+    placed = materialise(ids.withColumn("_at", F.monotonically_increasing_id()), "index")
+    placed = placed.withColumn("_part", F.shiftright("_at", 33))
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
+    earlier = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    place = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.join(F.broadcast(before), "_part").select(col, (place + F.col("_before")).alias(out))
 
 
 def bucketed_row_number(df: DataFrame, keys: list[str], bucket: str, order: list, out: str = "rn") -> DataFrame:

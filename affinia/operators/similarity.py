@@ -21,7 +21,9 @@ from affinia.operators.scale import bucketed_row_number, dense_index, slices
 from affinia.session import materialise
 
 # Signature layout of the similarity job: 25 bands of 2 rows, pairs kept from 0.5.
-NUM_HASHES, ROWS_PER_BAND, THRESHOLD = 50, 2, 0.5
+NUM_HASHES, THRESHOLD = 50, 0.5
+# Share of the pairs at the threshold that the bands have to find.
+RECALL = 0.95
 MODULUS = 2_147_483_647  # prime above every 31-bit index
 MAX_SAMPLE = 1000
 # Businesses of one user that are still joined with each other.
@@ -59,14 +61,21 @@ def set_groups(edges: DataFrame) -> DataFrame:
     return prints.join(firsts, ["size", "f1", "f2"]).select("business_id", "size", "representative")
 
 
-def hash_params(n: int = NUM_HASHES, seed: int | None = None) -> list[tuple[int, int]]:
-    """(a, b) of each hash (a x + b) mod MODULUS: a fixed table, or drawn by seed."""
-    if seed is None:
-        return [((1103515245 * (2 * i + 1)) % MODULUS, (12345 * (7 * i + 3)) % MODULUS) for i in range(n)]
+def hash_params(n: int = NUM_HASHES, seed: int = 42) -> list[tuple[int, int]]:
+    """(a, b) of each hash (a x + b) mod MODULUS, drawn independently by seed."""
     draw = random.Random(seed)
     return [(draw.randrange(1, MODULUS), draw.randrange(MODULUS)) for _ in range(n)]
 
 
+def rows_for(threshold: float, hashes: int = NUM_HASHES, recall: float = RECALL) -> int:
+    """Most rows per band with which a pair at the threshold shares a band with probability `recall`.
+
+    One row per band finds the most; if even that falls short, more hashes are needed.
+    """
+    fits = [r for r in range(1, hashes + 1) if 1 - (1 - threshold**r) ** (hashes // r) >= recall]
+    return max(fits, default=1)
+
+
 def minhash(edges: DataFrame, params: list[tuple[int, int]], modulus: int = MODULUS) -> DataFrame:
     """(business_id, signature): the smallest value of each hash over the set.
 
@@ -120,8 +129,12 @@ def _pair_columns() -> list[Column]:
     ]
 
 
-def lsh_candidates(signatures: DataFrame, rows_per_band: int = ROWS_PER_BAND, threshold: float = THRESHOLD) -> DataFrame:
-    """Businesses that share a band: `signatures` is (business_id, size, signature)."""
+def lsh_candidates(signatures: DataFrame, rows_per_band: int | None = None, threshold: float = THRESHOLD) -> DataFrame:
+    """Businesses that share a band: `signatures` is (business_id, size, signature).
+
+    Without `rows_per_band` the bands follow from the threshold.
+    """
+    rows_per_band = rows_per_band or rows_for(threshold)
     bands = F.floor(F.size("signature") / F.lit(rows_per_band)).cast("int")
     banded = signatures.select(
         "business_id", "size",
@@ -178,7 +191,7 @@ def jaccard(candidates: DataFrame, edges: DataFrame, threshold: float = THRESHOL
 
 def similar_businesses(
     edges: DataFrame, threshold: float = THRESHOLD, params: list[tuple[int, int]] | None = None,
-    rows_per_band: int = ROWS_PER_BAND,
+    rows_per_band: int | None = None,
 ) -> DataFrame:
     """Similar pairs by MinHash bands with exact verification, smaller id first.
 
@@ -189,7 +202,9 @@ def similar_businesses(
     groups = materialise(set_groups(edges), "set-groups")
     reps = groups.where("business_id = representative").select("business_id", "size")
     rep_edges = edges.join(reps, "business_id", "left_semi")
-    signatures = materialise(minhash(rep_edges, params or hash_params()).join(reps, "business_id"), "signatures")
+    params = params or hash_params()
+    rows_per_band = rows_per_band or rows_for(threshold, len(params))
+    signatures = materialise(minhash(rep_edges, params).join(reps, "business_id"), "signatures")
     pairs = jaccard(lsh_candidates(signatures, rows_per_band, threshold), rep_edges, threshold)
     return pairs.unionByName(_copies(groups))
 

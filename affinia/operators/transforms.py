@@ -131,14 +131,24 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 # --- splits and samples ----------------------------------------------------
 
 
+def split_edge(share: float) -> int:
+    """The 32-bit hash below which this share of all keys lies."""
+    return round(share * 2**32)
+
+
 def hash_split(df: DataFrame, key: list[str], fractions: dict[str, float], seed: int = 42, out: str = "split") -> DataFrame:
-    """Name of the split of every row, by hash of its key: the same in every run."""
-    u = hash32(F.lit(seed), *key) % F.lit(100)
-    edge, label = 0.0, F.lit(None).cast("string")
-    for name, fraction in fractions.items():
-        low, high = round(edge * 100), round((edge + fraction) * 100)
-        label = F.when((u >= low) & (u < high), F.lit(name)).otherwise(label)
-        edge += fraction
+    """Name of the split of every row, by hash of its key: the same in every run. The fractions add up to 1."""
+    if abs(sum(fractions.values()) - 1) > 1e-9 or min(fractions.values()) < 0:
+        raise ValueError(f"fractions must add up to 1: {fractions}")
+    u = hash32(F.lit(seed), *key)
+    names, edge = list(fractions), 0.0
+    label = F.lit(names[-1])
+    cuts = []
+    for name in names[:-1]:
+        edge += fractions[name]
+        cuts.append((name, split_edge(edge)))
+    for name, cut in reversed(cuts):
+        label = F.when(u < F.lit(cut), F.lit(name)).otherwise(label)
     return df.withColumn(out, label)
 
 

@@ -69,38 +69,30 @@ def als_fit(t):
     return union_all(sides)
 
 
-@query("als_factors", """SELECT 'user' AS side, user_id AS id, CAST(10 AS INT) AS dims, true AS nonnegative
-  FROM (SELECT DISTINCT user_id FROM tips) UNION ALL
-  SELECT 'business', business_id, CAST(10 AS INT), true FROM (SELECT DISTINCT business_id FROM tips)""")
+@query("als_factors")
 def als_factors(t):
-    """Vectors per id, audited: every id of the tips has one, with `rank` entries >= 0."""
+    """Vector of every user and business of the tips, by its id: side, id, features."""
     users, businesses = M.factors(*fitted(t))
     return union_all([
-        v.select(
-            F.lit(side).alias("side"), F.col(f"{side}_id").alias("id"), F.size("features").alias("dims"),
-            F.forall("features", lambda x: x >= 0).alias("nonnegative"),
-        )
+        v.select(F.lit(side).alias("side"), F.col(f"{side}_id").alias("id"), "features")
         for side, v in (("user", users), ("business", businesses))
     ])
 
 
-@query("als_pair_affinity", """SELECT DISTINCT p.user_id, p.business_id,
-  CASE WHEN u.user_id IS NULL OR b.business_id IS NULL THEN 'default' ELSE 'model' END AS score_source
-  FROM pairs p LEFT JOIN (SELECT DISTINCT user_id FROM tips) u ON u.user_id = p.user_id
-  LEFT JOIN (SELECT DISTINCT business_id FROM tips) b ON b.business_id = p.business_id""")
+@query("als_pair_affinity")
 def als_pair_affinity(t):
-    """Pairs scored by fitted vectors; the comparison covers pairs and sources."""
-    scored = M.score_pairs(t.pairs, *M.factors(*fitted(t)))
-    return scored.where("score >= 0").drop("score")
+    """Pairs scored by fitted vectors, with the source of each score."""
+    return M.score_pairs(t.pairs, *M.factors(*fitted(t)))
 
 
-@query("all_pairs_affinity", """SELECT user_id, count(*) AS n_scored FROM (SELECT DISTINCT user_id FROM tips),
-  (SELECT unnest(range(least(10, count(DISTINCT business_id)))) FROM tips) GROUP BY user_id""")
+@query("all_pairs_affinity")
 def all_pairs_affinity(t):
-    """Best 10 of all businesses per user; the comparison covers users and list lengths."""
-    model, users, _ = fitted(t)
-    listed = M.score_all(model, 10).join(users, F.col("user") == users.idx)
-    return listed.groupBy("user_id").agg(F.count("*").alias("n_scored"))
+    """Best 10 of all businesses per user, with their scores."""
+    model, users, businesses = fitted(t)
+    return (
+        M.score_all(model, 10).join(users, F.col("user") == users.idx).drop("idx")
+        .join(businesses, F.col("business") == businesses.idx).select("user_id", "business_id", "score")
+    )
 
 
 @query("als_top_k")

@@ -140,13 +140,15 @@ sig AS (SELECT business_id, h, min((CAST(a AS BIGINT) * user_idx + b) % 21474836
   FROM edges CROSS JOIN params GROUP BY business_id, h)"""
 
 
-BANDS = f"""{EDGES}, {minhash_sql()},
-bands AS (SELECT business_id, h // 2 AS band, min(v) FILTER (h % 2 = 0) AS v0, min(v) FILTER (h % 2 = 1) AS v1
-  FROM sig GROUP BY business_id, h // 2)"""
+def bands_sql(rows: int, n: int = 50) -> str:
+    """(business_id, band, key): the signature in bands of `rows` values."""
+    return f"""{EDGES}, {minhash_sql(n)},
+bands AS (SELECT business_id, h // {rows} AS band, list(v ORDER BY h) AS key
+  FROM sig WHERE h < {n // rows * rows} GROUP BY business_id, h // {rows})"""
 
 
 @query("self_join_pairs", """SELECT CAST(band AS INT) AS band, first_id AS business_id_1, business_id AS business_id_2 FROM (
-  SELECT *, min(business_id) OVER (PARTITION BY band, v0, v1) AS first_id FROM bands) WHERE business_id <> first_id""", BANDS)
+  SELECT *, min(business_id) OVER (PARTITION BY band, key) AS first_id FROM bands) WHERE business_id <> first_id""", bands_sql(2))
 def self_join_pairs(t):
     """Members of a MinHash bucket, each paired with the bucket's smallest id: the
     bucket's pairs in linear form."""

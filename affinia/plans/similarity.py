@@ -6,11 +6,12 @@ from affinia.functions.scalars import rounded
 from affinia.operators import similarity as L
 from affinia.operators.interactions import index_ids
 from affinia.plans.factorization import VECTORS, business_vectors, user_vectors
-from affinia.plans.joins import BANDS, EDGES, minhash_sql
+from affinia.plans.joins import EDGES, bands_sql, minhash_sql
 from affinia.plans.registry import h32, query, r
 
 # The fixture's largest Jaccard is 0.2; the job's own 0.5 is used by the unit tests.
 THRESHOLD = 0.17
+BANDS = bands_sql(L.rows_for(THRESHOLD))
 
 
 def edges(t):
@@ -28,7 +29,7 @@ common AS (SELECT a.business_id AS business_id_1, b.business_id AS business_id_2
 jac AS (SELECT c.business_id_1, c.business_id_2, c.c / (x.n + y.n - c.c) AS similarity FROM common c
   JOIN reps x ON x.business_id = business_id_1 JOIN reps y ON y.business_id = business_id_2)"""
 CANDIDATES = f"""candidates AS (SELECT DISTINCT a.business_id AS business_id_1, b.business_id AS business_id_2
-  FROM bands a JOIN bands b ON a.band = b.band AND a.v0 = b.v0 AND a.v1 = b.v1 AND a.business_id < b.business_id
+  FROM bands a JOIN bands b ON a.band = b.band AND a.key = b.key AND a.business_id < b.business_id
   JOIN reps x ON x.business_id = a.business_id JOIN reps y ON y.business_id = b.business_id
   WHERE least(x.n, y.n) >= {THRESHOLD} * greatest(x.n, y.n))"""
 

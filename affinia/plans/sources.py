@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 from affinia.functions.scalars import clip, hash32, normalized_text, photo_path, rounded
 from affinia.operators.profiles import transform_users
 from affinia.operators.similarity import similar_businesses
+from affinia.operators.transforms import split_edge
 from affinia.plans.learning import linear_model, prepared
 from affinia.plans.projections import USER_COLUMNS, WORDS
-from affinia.plans.registry import query, r
+from affinia.plans.registry import h32, query, r
 from affinia.plans.similarity import BANDS, CANDIDATES, GROUPS, THRESHOLD, edges
 from affinia.session import scratch_path
 from affinia.sources import files, schemas
@@ -33,10 +34,10 @@ def malformed_lines(t):
     return files.malformed_lines(t.spark, jsonl(t), schemas.TIPS)
 
 
-@query("read_json_limited", "SELECT least(1000, count(*)) AS n FROM tips")
+@query("read_json_limited")
 def read_json_limited(t):
-    """The first records only: the limit is the feature, so the check is their number."""
-    return files.read_jsonl(t.spark, jsonl(t), schemas.TIPS, limit=1000).agg(F.count("*").alias("n"))
+    """The first 1000 records: the limit is the feature."""
+    return files.read_jsonl(t.spark, jsonl(t), schemas.TIPS, limit=1000)
 
 
 @query("read_pairs_csv", "SELECT user_id, business_id, stars FROM pairs")
@@ -96,8 +97,8 @@ def combine_pair_files(t):
     return files.combine_pairs(*parts)
 
 
-@query("model_store", """SELECT count(*) AS n, 0e0 AS largest_difference FROM pairs
-  WHERE CAST('0x' || substr(md5(concat_ws('|', '42', user_id, business_id)), 1, 8) AS BIGINT) % 100 >= 80""")
+@query("model_store", f"""SELECT count(*) AS n, 0e0 AS largest_difference FROM pairs
+  WHERE {h32('42', 'user_id', 'business_id')} >= {split_edge(0.8)}""")
 def model_store(t):
     """A fitted model saved and loaded scores the test pairs as before."""
     _, train, test = prepared(t)

@@ -45,10 +45,10 @@ def sample_rows(t):
     return X.sample_n(t.table("documents").select("doc_id", "lang"), "doc_id", 100)
 
 
-U = f"{h32('42', 'user_id', 'business_id')} % 100"
+U = h32("42", "user_id", "business_id")
 
 
-@query("random_split", f"""SELECT user_id, business_id, CASE WHEN {U} < 80 THEN 'train' ELSE 'test' END AS split FROM pairs""")
+@query("random_split", f"""SELECT user_id, business_id, CASE WHEN {U} < {X.split_edge(0.8)} THEN 'train' ELSE 'test' END AS split FROM pairs""")
 def random_split(t):
     return X.hash_split(t.pairs, ["user_id", "business_id"], {"train": 0.8, "test": 0.2}).drop("stars")
 

@@ -126,6 +126,17 @@ def test_clusters_are_stable_and_nearest(spark):
     assert len({(u % 3, first[f"u{u}"]) for u in range(30)}) == 3
 
 
+def test_hash_split_keeps_small_and_odd_fractions(spark):
+    df = spark.range(100_000)
+    for fractions in ({"a": 0.004, "b": 0.996}, {"a": 0.125, "b": 0.125, "c": 0.75}):
+        counts = {r.split: r["count"] for r in X.hash_split(df, ["id"], fractions).groupBy("split").count().collect()}
+        assert set(counts) == set(fractions)
+        for name, share in fractions.items():
+            assert abs(counts[name] - 100_000 * share) < 4 * (100_000 * share * (1 - share)) ** 0.5
+    with pytest.raises(ValueError):
+        X.hash_split(df, ["id"], {"a": 0.5, "b": 0.4})
+
+
 def test_stratified_split_keeps_shares(spark):
     df = spark.range(1000).select("id", F.when(F.col("id") % 10 == 0, "rare").otherwise("hot").alias("label"))
     counts = {(r.label, r.split): r["count"] for r in X.stratified_split(df, "label", "id").groupBy("label", "split").count().collect()}

@@ -68,6 +68,35 @@ def test_banded_search_finds_a_subset_and_most(spark):
     assert len(found) >= 0.9 * len(exact)
 
 
+@pytest.mark.parametrize("t, rows", [(0.17, 1), (0.5, 2), (0.8, 4)])
+def test_bands_find_what_their_theory_says(spark, t, rows):
+    """Pairs of known similarity: the share found lies within three deviations of 1 - (1 - s^r)^b."""
+    assert L.rows_for(t) >= rows
+    rng, sets, chance = random.Random(12), {}, []
+    for i in range(300):
+        shared = round(40 * t / (1 + t)) + rng.randrange(3)
+        users = rng.sample(range(10**6), 40 - shared)
+        common, half = users[:shared], len(users) // 2
+        rest = users[shared:]
+        sets[f"{i:03d}a"], sets[f"{i:03d}b"] = set(common + rest[:half]), set(common + rest[half:])
+        s = len(sets[f"{i:03d}a"] & sets[f"{i:03d}b"]) / len(sets[f"{i:03d}a"] | sets[f"{i:03d}b"])
+        r = L.rows_for(t)
+        chance.append(1 - (1 - s**r) ** (L.NUM_HASHES // r))
+    e = edges(spark, sets)
+    sizes = e.groupBy("business_id").count().withColumnRenamed("count", "size")
+    pairs = L.lsh_candidates(L.minhash(e, L.hash_params()).join(sizes, "business_id"), threshold=t).collect()
+    found = sum(p.business_id_1[:3] == p.business_id_2[:3] for p in pairs)
+    spread = sum(p * (1 - p) for p in chance) ** 0.5
+    assert abs(found - sum(chance)) <= 3 * spread + 1
+
+
+def test_rows_for_the_threshold():
+    assert L.rows_for(0.17) == 1 and L.rows_for(0.5) == 2
+    for t in (0.17, 0.3, 0.5, 0.8, 0.95):
+        r = L.rows_for(t)
+        assert 1 - (1 - t**r) ** (50 // r) >= L.RECALL
+
+
 def test_minhash_matches_its_definition(spark):
     sets = random_sets(8)
     params = L.hash_params(10, seed=3)
