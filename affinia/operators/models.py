@@ -87,7 +87,7 @@ def fit_by_cluster(train: DataFrame, names: list[str], tiers: dict[int, str], se
 
     The rows are written once; each fit reads its own cluster's files.
     """
-    rows = materialise(train.select(LABEL, "Cluster", *names), "cluster-train")
+    rows = materialise(train.select(LABEL, "Cluster", *names), "cluster-train", partition_by="Cluster")
     params = tier_params or TIER_PARAMS
     models = {}
     for cluster, tier in tiers.items():

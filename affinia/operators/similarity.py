@@ -25,7 +25,6 @@ NUM_HASHES, THRESHOLD = 50, 0.5
 # Share of the pairs at the threshold that the bands have to find.
 RECALL = 0.95
 MODULUS = 2_147_483_647  # prime above every 31-bit index
-MAX_SAMPLE = 1000
 # Businesses of one user that are still joined with each other.
 HEAVY_USER = 1000
 # Measured size of the item vectors up to which a copy goes to every executor.
@@ -284,13 +283,12 @@ def cosine_matrix(df: DataFrame, key: str, vec: str, n: int = 20, seed: int = 42
     The sample is numbered, every row lists the numbers 0 .. n-1, and the partner
     is looked up by its number.
     """
-    if not 1 <= n <= MAX_SAMPLE:
-        raise ValueError(f"sample size has to be within 1..{MAX_SAMPLE}")
+    if n < 1:
+        raise ValueError("sample at least one row")
     order = [hash32(F.lit(seed), key), F.col(key)]
-    sample = df.select(key, l2_normalize(vec).alias("v")).orderBy(*order).limit(n)
-    # at most MAX_SAMPLE rows reach this window
-    numbered = sample.withColumn("i", F.row_number().over(W.orderBy(*order)) - 1)
-    left = numbered.select(F.col(key).alias("a"), F.col("v").alias("va"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"))
+    sample = materialise(df.select(key, l2_normalize(vec).alias("v")).orderBy(*order).limit(n), "sample")
+    numbered = sample.join(dense_index(sample, key, "i"), key)
+    left = numbered.select(F.col(key).alias("a"), F.col("v").alias("va"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))).alias("i"))
     right = numbered.select("i", F.col(key).alias("b"), F.col("v").alias("vb"))
     return left.join(right, "i").select("a", "b", dot("va", "vb").alias("similarity"))
 

@@ -13,10 +13,9 @@ from pyspark.sql import functions as F
 from affinia.functions.scalars import NO_LETTERS, hash32
 from affinia.functions.vectors import l2_normalize, zeros
 from affinia.operators.aggregates import exploded_categories
-from affinia.operators.scale import bucketed_row_number
+from affinia.operators.scale import bucketed_row_number, slices
 
 HASH_SPAN = 2**32
-LABEL_BUCKETS = 1024
 
 
 def standard_scale(df: DataFrame, cols: list[str], suffix: str = "") -> DataFrame:
@@ -37,9 +36,10 @@ def multi_hot(businesses: DataFrame) -> DataFrame:
     return exploded_categories(businesses).where("category <> ''").distinct().withColumn("value", F.lit(1))
 
 
-def multi_hot_vectors(df: DataFrame, tokens: str, out: str = "category_vector", vocab_size: int = 1 << 18) -> DataFrame:
-    """The same as one sparse 0/1 vector per row."""
-    model = CountVectorizer(inputCol=tokens, outputCol=out, binary=True, vocabSize=vocab_size, minDF=1).fit(df)
+def multi_hot_vectors(df: DataFrame, tokens: str, out: str = "category_vector") -> DataFrame:
+    """The same as one sparse 0/1 vector per row, with a position for every token there is."""
+    different = df.select(F.explode(tokens).alias("t")).agg(F.count_distinct("t")).first()[0]
+    model = CountVectorizer(inputCol=tokens, outputCol=out, binary=True, vocabSize=max(1, different), minDF=1).fit(df)
     return model.transform(df)
 
 
@@ -156,15 +156,15 @@ def stratified_split(df: DataFrame, label: str, key: str, fraction: float = 0.8,
     """Train/test split that keeps the share of each label exactly.
 
     Rows are ranked by hash inside their label. Labels are few and all of them
-    hot, so the rank is built over slices of the hash range.
+    hot, so the rank is built over slices of the hash range, more for more rows.
     """
-    hashed = df.withColumn("h", hash32(F.lit(seed), key)).withColumn(
-        "bucket", F.floor(F.col("h") / F.lit(HASH_SPAN // LABEL_BUCKETS))
+    sizes = df.groupBy(label).agg(F.count("*").alias("n_label"))
+    hashed = df.join(sizes, label).withColumn("h", hash32(F.lit(seed), key)).withColumn(
+        "bucket", F.floor(F.col("h") * slices(F.col("n_label")) / F.lit(HASH_SPAN))
     )
     ranked = bucketed_row_number(hashed, [label], "bucket", ["h", key], "rn")
-    sizes = df.groupBy(label).agg(F.count("*").alias("n_label"))
     train = F.col("rn") <= F.floor(F.col("n_label") * F.lit(fraction) + F.lit(0.5))
-    return ranked.join(sizes, label).withColumn("split", F.when(train, "train").otherwise("test")).drop(
+    return ranked.withColumn("split", F.when(train, "train").otherwise("test")).drop(
         "h", "bucket", "rn", "n_label"
     )
 

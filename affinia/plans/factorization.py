@@ -11,7 +11,7 @@ from affinia.plans.aggregations import DIM
 from affinia.plans.registry import query, r
 
 # An earlier, smaller setting of the rating job; the default of `fit_als` is the last one.
-SETTINGS = {"rank": 10, "reg": 0.5, "alpha": 1520.0, "max_iter": 5, "blocks": 4}
+SETTINGS = {"rank": 10, "reg": 0.5, "alpha": 1520.0}
 
 
 def indexed(t):

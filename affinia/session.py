@@ -76,7 +76,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
-def materialise(df, name: str = "table"):
+def materialise(df, name: str = "table", partition_by: str | None = None):
     """Write `df` once to the shared folder and read it back.
 
     Used where several fits read the same expensive rows: the lineage is cut and
@@ -84,5 +84,5 @@ def materialise(df, name: str = "table"):
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.parquet(path, partitionBy=partition_by)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)

@@ -133,6 +133,7 @@ def test_cosine_by_label(spark):
         assert r.n_pairs == len(sims) and r.mean_similarity == pytest.approx(np.mean(sims))
 
 
-def test_sample_size_is_bounded(spark):
-    with pytest.raises(ValueError):
-        L.cosine_matrix(spark.createDataFrame([], "i int, v array<double>"), "i", "v", n=5000)
+def test_sample_larger_than_the_table(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 2.0])], "i int, v array<double>")
+    got = {(r.a, r.b): r.similarity for r in L.cosine_matrix(rows, "i", "v", n=5000).collect()}
+    assert got == {(1, 1): 1.0, (1, 2): 0.0, (2, 1): 0.0, (2, 2): 1.0}
