@@ -7,6 +7,7 @@ the driver and against brute force or invariants by the tests.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,33 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def relations(text: str) -> list[tuple[str, str]]:
+    """(name, definition) of every relation of a list `a AS (...), b AS (...)`, in order."""
+    found, depth, start = [], 0, 0
+    for i, c in enumerate(f"{text},"):
+        depth += (c == "(") - (c == ")")
+        if c == "," and not depth:
+            one = text[start:i].strip()
+            start = i + 1
+            if one:
+                found.append((re.match(r"\w+", one).group(), one))
+    return found
+
+
+def with_relations(sql: str, ctes: str) -> str:
+    """The SQL with those relations alone that it needs; relations read twice are computed once."""
+    listed = [*relations(CTES), *relations(ctes)]
+    needed, kept = sql, []
+    for name, body in reversed(listed):
+        uses = len(re.findall(rf"\b{name}\b", needed))
+        if uses:
+            head, rest = re.match(r"(.*?\bAS)\s+(?:MATERIALIZED\s+)?(\(.*)", body, re.S).groups()
+            kept.insert(0, f"{head} MATERIALIZED {rest}" if uses > 1 else f"{head} {rest}")
+            needed += f"\n{body[len(name):]}"
+    recursive = "RECURSIVE " if re.search(r"\bRECURSIVE\b", ctes) else ""
+    return f"WITH {recursive}{', '.join(kept)}\n{sql.strip()}" if kept else sql.strip()
+
+
 def query(name: str, sql: str | None = None, ctes: str = "", plain: bool = False):
     """Register `fn(tables)` under `name`; `ctes` extends the shared relations."""
 
@@ -31,7 +59,7 @@ def query(name: str, sql: str | None = None, ctes: str = "", plain: bool = False
         run.__doc__ = fn.__doc__
         QUERIES[name] = run
         if sql is not None:
-            ORACLES[name] = sql.strip() if plain else f"WITH {CTES}{',' if ctes else ''}\n{ctes.strip()}\n{sql.strip()}"
+            ORACLES[name] = sql.strip() if plain else with_relations(sql, ctes)
         return fn
 
     return register
