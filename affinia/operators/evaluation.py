@@ -119,7 +119,7 @@ def city_errors(errors: DataFrame) -> DataFrame:
 
 
 def city_lift(errors: DataFrame, businesses: DataFrame) -> DataFrame:
-    """City share among the errors against its share among all businesses."""
+    """City share among the errors against its share among all businesses; null without errors."""
     n_errors = errors.agg(F.count("*")).scalar()
     n_businesses = businesses.agg(F.count("*")).scalar()
     e = errors.groupBy("city").agg(F.count("*").alias("n_errors"))
@@ -127,7 +127,7 @@ def city_lift(errors: DataFrame, businesses: DataFrame) -> DataFrame:
     return (
         b.join(e, "city", "left")
         .withColumn("n_errors", F.coalesce("n_errors", F.lit(0)))
-        .withColumn("error_share", F.col("n_errors") / n_errors)
+        .withColumn("error_share", F.try_divide(F.col("n_errors"), n_errors))
         .withColumn("business_share", F.col("n_businesses") / n_businesses)
         .withColumn("lift", F.col("error_share") / F.col("business_share"))
     )

@@ -135,7 +135,7 @@ def city_error_counts(t):
 
 
 @query("city_overrepresentation", f"""SELECT city, n_businesses, n_errors, {r('es')} AS error_share, {r('bs')} AS business_share, {r('es / bs')} AS lift FROM (
-  SELECT b.city, b.n AS n_businesses, coalesce(e.n, 0) AS n_errors, coalesce(e.n, 0) / (SELECT count(*) FROM over_rows) AS es,
+  SELECT b.city, b.n AS n_businesses, coalesce(e.n, 0) AS n_errors, coalesce(e.n, 0) / nullif((SELECT count(*) FROM over_rows), 0) AS es,
     b.n / (SELECT count(*) FROM businesses) AS bs
   FROM (SELECT city, count(*) AS n FROM businesses GROUP BY city) b
   LEFT JOIN (SELECT city, count(*) AS n FROM over_rows JOIN businesses USING (business_id) GROUP BY city) e USING (city))""", OVER)
