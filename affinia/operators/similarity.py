@@ -287,10 +287,10 @@ def cosine_matrix(df: DataFrame, key: str, vec: str, n: int = 20, seed: int = 42
         raise ValueError("sample at least one row")
     order = [hash32(F.lit(seed), key), F.col(key)]
     sample = materialise(df.select(key, l2_normalize(vec).alias("v")).orderBy(*order).limit(n), "sample")
-    numbered = sample.join(dense_index(sample, key, "i"), key)
-    left = numbered.select(F.col(key).alias("a"), F.col("v").alias("va"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))).alias("i"))
-    right = numbered.select("i", F.col(key).alias("b"), F.col("v").alias("vb"))
-    return left.join(right, "i").select("a", "b", dot("va", "vb").alias("similarity"))
+    numbered = sample.join(dense_index(sample, key, "_i"), key)
+    left = numbered.select(F.col(key).alias("a"), F.col("v").alias("va"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))).alias("_i"))
+    right = numbered.select("_i", F.col(key).alias("b"), F.col("v").alias("vb"))
+    return left.join(right, "_i").select("a", "b", dot("va", "vb").alias("similarity"))
 
 
 def cosine_by_label(df: DataFrame, label: str, vec: str) -> DataFrame:
