@@ -1,17 +1,20 @@
-"""The batch jobs: rating prediction, business similarity, and scoring a result.
+"""The batch jobs: rating prediction, business similarity, factorization search, and scoring a result.
 
-    python -m affinia.jobs rating   DATA_DIR TRAIN_PAIRS TEST_PAIRS OUT
+    python -m affinia.jobs rating   DATA_DIR TRAIN_PAIRS[,VALIDATION_PAIRS] TEST_PAIRS OUT
     python -m affinia.jobs similar  PAIRS OUT [THRESHOLD]
+    python -m affinia.jobs tune     TIPS OUT
     python -m affinia.jobs rmse     TRUTH PREDICTIONS
 
 DATA_DIR holds user.json, business.json, review_train.json and tip.json, one
-record per line; pair files are CSV with a header.
+record per line, and TIPS is such a tip file; pair files are CSV with a header.
+A job deletes its intermediate tables when it ends.
 """
 
 from __future__ import annotations
 
 import os
 import sys
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +27,7 @@ from affinia.operators.interactions import (
 from affinia.operators.joins import attach_cluster, feature_rows
 from affinia.operators.profiles import transform_businesses, transform_reviews, transform_users
 from affinia.operators.transforms import city_matrix
-from affinia.session import materialise, tune
+from affinia.session import materialise, release, tune
 from affinia.sources import files, schemas
 
 
@@ -66,15 +69,22 @@ NOT_FEATURES = ("user_id", "business_id", "stars", "Cluster", "score_source")
 def rating_job(
     spark: SparkSession, data_dir: str, train_path: str, test_path: str, out_path: str,
     als_settings: dict | None = None, clusters: int = segments.CLUSTERS, tier_params: dict | None = None,
+    cluster_params: dict[int, dict] | None = None,
 ) -> DataFrame:
-    """Predict the pairs of the test file and write them as CSV."""
+    """Predict the pairs of the test file and write them as CSV.
+
+    `train_path` may name several pair files, separated by commas; all of them are
+    learned from. Columns left out per cluster are written to OUT-dropped.
+    """
     data = RatingData(spark, data_dir, als_settings, clusters)
-    train = data.features(files.read_csv(spark, train_path, schemas.PAIRS))
+    pairs = reduce(files.combine_pairs, [files.read_csv(spark, path, schemas.PAIRS) for path in train_path.split(",")])
+    train = data.features(pairs)
     test = data.features(files.read_csv(spark, test_path, schemas.PAIRS))
     names = [c for c in train.columns if c not in NOT_FEATURES]
     sizes = segments.size_tiers(train.where(F.col("Cluster").isNotNull())).collect()  # one row per cluster
     tiers = {row["Cluster"]: row["tier"] for row in sizes}
-    fitted = models.fit_by_cluster(train, names, tiers, tier_params=tier_params)
+    fitted = models.fit_by_cluster(train, names, tiers, tier_params=tier_params, cluster_params=cluster_params)
+    files.write_csv(models.dropped_columns(fitted, spark), f"{out_path}-dropped", "Cluster", "column_name")
     predictions = models.predict_clip(fitted, test).select("user_id", "business_id", "prediction")
     files.write_csv(predictions, out_path)
     return files.read_csv(spark, out_path, schemas.PREDICTIONS)
@@ -89,6 +99,19 @@ def similarity_job(spark: SparkSession, pairs_path: str, out_path: str, threshol
     return files.read_csv(spark, out_path, schemas.SIMILAR_PAIRS)
 
 
+# Factorization settings that the search tries: the job's own and weaker ones.
+GRID = {"rank": [10, factors.RANK], "reg": [0.5, factors.REG], "alpha": [40.0, factors.ALPHA]}
+
+
+def tuning_job(spark: SparkSession, tips_path: str, out_path: str, grid: dict[str, list] | None = None, **settings) -> DataFrame:
+    """Fit every factorization setting of the grid and write its RMSE as CSV, the best first."""
+    counts = materialise(interaction_counts(files.read_jsonl(spark, tips_path, schemas.TIPS)), "counts")
+    ratings = implicit_ratings(counts, index_ids(counts, "user_id"), index_ids(counts, "business_id"))
+    _, log = factors.tune_als(ratings, grid or GRID, **settings)
+    files.write_csv(log, out_path, "rmse", "rank", "reg", "alpha")
+    return files.read_csv(spark, out_path, schemas.SETTINGS)
+
+
 def rmse_job(spark: SparkSession, truth_path: str, predictions_path: str) -> DataFrame:
     """RMSE of a prediction file against a labelled pair file."""
     truth = files.read_csv(spark, truth_path, schemas.PAIRS)
@@ -96,14 +119,19 @@ def rmse_job(spark: SparkSession, truth_path: str, predictions_path: str) -> Dat
 
 
 def main(argv: list[str]) -> None:
-    jobs = {"rating": (rating_job, 4, 4), "similar": (similarity_job, 2, 3), "rmse": (rmse_job, 2, 2)}
+    jobs = {
+        "rating": (rating_job, 4, 4), "similar": (similarity_job, 2, 3), "tune": (tuning_job, 2, 2), "rmse": (rmse_job, 2, 2),
+    }
     if not argv or argv[0] not in jobs or not jobs[argv[0]][1] <= len(argv) - 1 <= jobs[argv[0]][2]:
         sys.exit(__doc__)
     job, args = jobs[argv[0]][0], argv[1:]
     if job is similarity_job and len(args) == 3:
         args = [*args[:2], float(args[2])]
     spark = tune(SparkSession.builder.appName(f"affinia-{argv[0]}").getOrCreate())
-    job(spark, *args).show(20, truncate=False)
+    try:
+        job(spark, *args).show(20, truncate=False)
+    finally:
+        release(spark)
 
 
 if __name__ == "__main__":

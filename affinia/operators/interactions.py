@@ -44,16 +44,17 @@ def decode_ids(df: DataFrame, index: DataFrame, idx_col: str, id_col: str, unkno
 
 
 def implicit_ratings(
-    counts: DataFrame, users: DataFrame, businesses: DataFrame, max_n: int = MAX_INTERACTIONS
+    counts: DataFrame, users: DataFrame, businesses: DataFrame, max_n: int = MAX_INTERACTIONS, raw: bool = False
 ) -> DataFrame:
-    """(user idx, business idx, rating) with half-precision log ratings."""
+    """(user idx, business idx, rating) with half-precision log ratings, or the raw counts."""
+    rating = F.col("n") if raw else half_precision(log_affinity("n", max_n))
     return (
         counts.join(users.withColumnRenamed("idx", "user"), "user_id")
         .join(businesses.withColumnRenamed("idx", "business"), "business_id")
         .select(
             F.col("user").cast("int").alias("user"),
             F.col("business").cast("int").alias("business"),
-            half_precision(log_affinity("n", max_n)).cast("float").alias("rating"),
+            rating.cast("float").alias("rating"),
         )
     )
 

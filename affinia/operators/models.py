@@ -10,13 +10,14 @@ from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from affinia.functions.scalars import clip, hash32
 from affinia.operators.aggregates import union_all
 from affinia.operators.evaluation import rmse_of
 from affinia.operators.interactions import PAIR
+from affinia.operators.quality import is_constant
 from affinia.operators.scale import dense_index
 from affinia.session import ensure_checkpoint_dir, materialise
 
@@ -37,15 +38,34 @@ class FeatureSpec:
     names: list[str]
     means: dict[str, float]
     flagged: list[str] = field(default_factory=list)
+    dropped: list[str] = field(default_factory=list)
 
     @classmethod
     def fit(cls, df: DataFrame, names: list[str]) -> FeatureSpec:
-        row = df.agg(  # one row
+        return cls._of(df.agg(*cls._aggregates(names)).first(), names)  # one row
+
+    @classmethod
+    def fit_each(cls, df: DataFrame, names: list[str], key: str) -> dict[object, FeatureSpec]:
+        """A spec per value of `key` from one pass, each without the columns that are constant there."""
+        rows = df.groupBy(key).agg(*cls._aggregates(names)).collect()  # a row per cluster
+        return {row[key]: cls._of(row, names, drop_constant=True) for row in rows}
+
+    @staticmethod
+    def _aggregates(names: list[str]) -> list[Column]:
+        return [
             *[F.avg(c).alias(f"m_{c}") for c in names],
             *[F.count_if(F.col(c).isNull() | F.isnan(F.col(c).cast("double"))).alias(f"n_{c}") for c in names],
-        ).first()
-        means = {c: float(row[f"m_{c}"] if row[f"m_{c}"] is not None else 0.0) for c in names}
-        return cls(list(names), means, [c for c in names if row[f"n_{c}"]])
+            *[is_constant(c).alias(f"c_{c}") for c in names],
+        ]
+
+    @classmethod
+    def _of(cls, row: Row, names: list[str], drop_constant: bool = False) -> FeatureSpec:
+        dropped = [c for c in names if drop_constant and row[f"c_{c}"]]
+        if len(dropped) == len(names):  # a fit needs a column
+            dropped = dropped[1:]
+        used = [c for c in names if c not in dropped]
+        means = {c: float(row[f"m_{c}"] if row[f"m_{c}"] is not None else 0.0) for c in used}
+        return cls(used, means, [c for c in used if row[f"n_{c}"]], dropped)
 
     def vector(self, replace: dict[str, Column] | None = None) -> Column:
         """Feature vector; trees refuse NaN, so gaps are filled and flagged."""
@@ -82,23 +102,36 @@ def fit_gbt(df: DataFrame, params: dict | None = None, seed: int = 42, validatio
     return estimator.fit(df)
 
 
-def fit_by_cluster(train: DataFrame, names: list[str], tiers: dict[int, str], seed: int = 42, tier_params: dict | None = None) -> dict:
-    """One (spec, model) per cluster, tree settings by tier, and a fallback under None.
+def fit_by_cluster(
+    train: DataFrame, names: list[str], tiers: dict[int, str], seed: int = 42, tier_params: dict | None = None,
+    cluster_params: dict[int, dict] | None = None,
+) -> dict:
+    """One (spec, model) per cluster and a fallback under None.
 
-    The rows are written once; each fit reads its own cluster's files.
+    Tree settings go by tier; `cluster_params` changes those of single clusters.
+    Columns that are constant in a cluster are left out there and listed in the
+    `dropped` of its spec. The rows are written once; each fit reads its own
+    cluster's files.
     """
     rows = materialise(train.select(LABEL, "Cluster", *names), "cluster-train", partition_by="Cluster")
     params = tier_params or TIER_PARAMS
+    specs = FeatureSpec.fit_each(rows, names, "Cluster")
     models = {}
     for cluster, tier in tiers.items():
-        part = rows.where(F.col("Cluster") == cluster)
-        spec = FeatureSpec.fit(part, names)
-        models[cluster] = (spec, fit_gbt(spec.apply(part), params[tier], seed))
+        part, spec = rows.where(F.col("Cluster") == cluster), specs[cluster]
+        settings = params[tier] | (cluster_params or {}).get(cluster, {})
+        models[cluster] = (spec, fit_gbt(spec.apply(part), settings, seed))
     spec = FeatureSpec.fit(rows, names)
     models[None] = (spec, fit_gbt(spec.apply(rows), params["large"], seed))
     return models
 
 
+def dropped_columns(models: dict, spark: SparkSession) -> DataFrame:
+    """(Cluster, column_name): the constant columns that a cluster's model was fitted without."""
+    rows = [(cluster, name) for cluster, (spec, _) in models.items() for name in spec.dropped]
+    return spark.createDataFrame(rows, "Cluster int, column_name string")
+
+
 def predict_clip(models: dict, df: DataFrame, fallback: bool = True) -> DataFrame:
     """Predictions of every cluster's model in one frame, clipped to [1, 5].
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from affinia.functions.vectors import is_zero
@@ -69,21 +69,23 @@ def cold_start(pairs: DataFrame, users: DataFrame, businesses: DataFrame) -> Dat
     )
 
 
-def distinct_value_counts(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Distinct non-null values of each column: (column_name, n_distinct)."""
+def is_constant(col: str) -> Column:
+    """Whether a column has exactly one distinct value, as an aggregate; an all-null column has none.
+
+    The smallest and the largest value tell, so no values are shuffled.
+    """
+    return F.coalesce(F.min(col) == F.max(col), F.lit(False))
+
+
+def constant_columns(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(column_name, is_constant) of each column, in one pass."""
     cols = [c for c in df.columns if c not in keep]
-    wide = df.agg(*[F.count_distinct(c).alias(c) for c in cols])
-    rows = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("n_distinct")) for c in cols])
+    wide = df.agg(*[is_constant(c).alias(c) for c in cols])
+    rows = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("is_constant")) for c in cols])
     return wide.select(F.explode(rows).alias("x")).select("x.*")
 
 
 def drop_constant(df: DataFrame, keep: tuple[str, ...] = ()) -> tuple[DataFrame, list[str]]:
-    """Frame without columns of exactly one distinct value, and their names.
-
-    Whether a column is constant only needs its smallest and largest value, so
-    one pass without shuffle of values decides. An all-null column stays.
-    """
-    cols = [c for c in df.columns if c not in keep]
-    row = df.agg(*[(F.min(c) == F.max(c)).alias(c) for c in cols]).first()  # one row
-    names = [c for c in cols if row[c]]
+    """Frame without its constant columns, and their names."""
+    names = [row["column_name"] for row in constant_columns(df, keep).where("is_constant").collect()]  # a row per column
     return df.drop(*names), names

@@ -110,6 +110,13 @@ def embed_images(images: DataFrame, dim: int, encoder: Callable[[pd.Series], pd.
     return images.select("photo_id", F.coalesce(_batched(encoder)(F.col("content")), zeros(dim)).alias("embedding"))
 
 
+def image_table(photos: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
+    """Photos with their vector; zeros for a photo that is missing or could not be encoded."""
+    return photos.join(vectors.select("photo_id", "embedding"), "photo_id", "left").withColumn(
+        "embedding", F.coalesce("embedding", zeros(dim))
+    )
+
+
 def _batched(encoder: Callable[[pd.Series], pd.Series]):
     @F.pandas_udf("array<double>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

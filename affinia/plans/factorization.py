@@ -14,10 +14,10 @@ from affinia.plans.registry import query, r
 SETTINGS = {"rank": 10, "reg": 0.5, "alpha": 1520.0}
 
 
-def indexed(t):
+def indexed(t, raw=False):
     """User index, business index and ratings of the tips."""
     users, businesses = index_ids(t.counts, "user_id"), index_ids(t.counts, "business_id")
-    return users, businesses, implicit_ratings(t.counts, users, businesses)
+    return users, businesses, implicit_ratings(t.counts, users, businesses, raw=raw)
 
 
 def fitted(t):
@@ -108,7 +108,11 @@ def als_top_k(t):
 
 @query("als_holdout_rmse")
 def als_holdout_rmse(t):
-    return M.evaluate_als(indexed(t)[2], **SETTINGS)
+    """RMSE on held-out pairs of a fit on log ratings and of one on raw counts."""
+    return union_all([
+        M.evaluate_als(indexed(t, raw)[2], **SETTINGS).select(F.lit(name).alias("rating"), "n_scored", "rmse")
+        for name, raw in (("log", False), ("raw", True))
+    ])
 
 
 GRID = {"rank": [5, 10], "alpha": [100.0, 1520.0]}

@@ -203,11 +203,11 @@ CHECKED = ["fans", "useful", "compliment_hot", "friends", "elite", "source"]
 
 
 @query("constant_columns", " UNION ALL ".join(
-    f"SELECT '{c}' AS column_name, count(DISTINCT {c}) AS n_distinct FROM tagged" for c in CHECKED),
+    f"SELECT '{c}' AS column_name, count(DISTINCT {c}) = 1 AS is_constant FROM tagged" for c in CHECKED),
     "tagged AS (SELECT *, 'user' AS source FROM users)")
 def constant_columns(t):
     tagged = t.users.withColumn("source", F.lit("user")).select("user_id", *CHECKED)
-    return quality.distinct_value_counts(tagged, keep=("user_id",))
+    return quality.constant_columns(tagged, keep=("user_id",))
 
 
 @query("isin_filter", "SELECT photo_id, business_id, label FROM photos WHERE label IN ('inside', 'outside')")

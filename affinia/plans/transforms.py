@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from affinia.functions.scalars import photo_path, rounded
-from affinia.functions.vectors import norm, zeros
+from affinia.functions.vectors import is_zero, norm, zeros
 from affinia.operators import transforms as X
 from affinia.plans.aggregations import DIM, EDGES
 from affinia.plans.factorization import VECTORS, business_vectors
@@ -73,8 +73,9 @@ def text_embed(t):
 @query("image_embed_table", f"""SELECT photo_id, business_id, 'photos/' || photo_id || '.jpg' AS path,
   len(embedding) AS dims, {r('sqrt(list_dot_product(embedding, embedding))', 5)} AS length FROM photos""")
 def image_embed_table(t):
-    table = t.photos.select("photo_id", "embedding")
-    return t.photos.drop("embedding").join(table, "photo_id", "left").select(
+    # a zero vector stands for a photo that was not encoded, so the vector table does not list it
+    encoded = t.photos.where(~is_zero("embedding")).select("photo_id", "embedding")
+    return X.image_table(t.photos.drop("embedding"), encoded, DIM).select(
         "photo_id", "business_id", photo_path("photo_id").alias("path"),
         F.size("embedding").cast("bigint").alias("dims"), rounded(norm("embedding"), 5).alias("length"),
     )

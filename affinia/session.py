@@ -71,9 +71,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """Folder of this application's written tables, under the shared folder."""
+    return os.path.join(shared_dir(spark), f"affinia-{spark.sparkContext.applicationId}")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """Fresh path for one written table under the shared folder."""
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    """Fresh path for one written table."""
+    return os.path.join(scratch_dir(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+def release(spark: SparkSession) -> None:
+    """Delete this application's written tables; frames that read them can't be used any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df, name: str = "table", partition_by: str | None = None):

@@ -22,7 +22,9 @@ def folder(spark):
     t.reviews.drop("flag").write.json(os.path.join(path, "review_train.json"))
     t.tips.write.json(os.path.join(path, "tip.json"))
     held = hash32("user_id", "business_id") % 5 == 0
-    files.write_csv(t.pairs.where(~held), os.path.join(path, "train.csv"))
+    late = hash32(F.lit("late"), "user_id", "business_id") % 4 == 0
+    files.write_csv(t.pairs.where(~held & ~late), os.path.join(path, "train.csv"))
+    files.write_csv(t.pairs.where(~held & late), os.path.join(path, "validation.csv"))
     files.write_csv(t.pairs.where(held), os.path.join(path, "test.csv"))
     return path
 
@@ -30,8 +32,9 @@ def folder(spark):
 def test_rating_job(spark, folder):
     test, out = os.path.join(folder, "test.csv"), os.path.join(folder, "out.csv")
     light = {tier: {"maxIter": 3, "maxDepth": 3} for tier in ("large", "moderate", "small")}
+    train = ",".join(os.path.join(folder, name) for name in ("train.csv", "validation.csv"))
     predicted = jobs.rating_job(
-        spark, folder, os.path.join(folder, "train.csv"), test, out,
+        spark, folder, train, test, out,
         als_settings={"rank": 4, "reg": 0.5, "alpha": 40.0, "max_iter": 3, "blocks": 2}, clusters=3, tier_params=light,
     )
     truth = files.read_csv(spark, test, schemas.PAIRS)
@@ -40,6 +43,13 @@ def test_rating_job(spark, folder):
     assert score.n == truth.count() and score.rmse < truth.agg(F.stddev_pop("stars")).first()[0]
 
 
+def test_tuning_job(spark, folder):
+    grid = {"rank": [2, 3], "reg": [0.5], "alpha": [1.0, 40.0]}
+    log = jobs.tuning_job(spark, os.path.join(folder, "tip.json"), os.path.join(folder, "log.csv"), grid, max_iter=2, blocks=2).collect()
+    assert sorted((r["rank"], r["alpha"]) for r in log) == [(2, 1), (2, 40), (3, 1), (3, 40)]
+    assert all(r.rmse > 0 for r in log) and [r.rmse for r in log] == sorted(r.rmse for r in log)
+
+
 def test_similarity_job(spark, folder):
     out = os.path.join(folder, "similar.csv")
     found = jobs.similarity_job(spark, os.path.join(folder, "train.csv"), out, 0.2)

@@ -1,5 +1,7 @@
 """Invariants of the learners, and of sources and audits around them."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.ml.regression import LinearRegressionModel
@@ -102,6 +104,33 @@ def test_cluster_models_and_fallback(rated):
     assert R.predict_clip(models, rated).where("prediction not between 1 and 5").count() == 0
 
 
+def test_constant_columns_are_dropped_per_cluster(spark, rated):
+    small = {"large": {"maxIter": 1, "maxDepth": 1}}
+    rows = rated.withColumn("a", F.when(F.col("Cluster") == 1, F.lit(7.0)).otherwise(F.col("a")))
+    models = R.fit_by_cluster(rows, NAMES, {0: "large", 1: "large"}, tier_params=small, cluster_params={1: {"maxIter": 2}})
+    assert [tuple(r) for r in R.dropped_columns(models, spark).where("column_name = 'a'").collect()] == [(1, "a")]
+    assert "a" in models[0][0].names and "a" in models[None][0].names
+    assert (models[0][1].getNumTrees, models[1][1].getNumTrees) == (1, 2)
+    assert R.predict_clip(models, rows).count() == rows.count()
+
+
+def test_release_deletes_what_was_written(spark, monkeypatch):
+    from affinia import session
+
+    monkeypatch.setattr(session, "scratch_dir", lambda spark, own=session.scratch_dir(spark) + "-release": own)
+    session.materialise(spark.range(3))
+    folder = session.scratch_dir(spark)
+    assert len(os.listdir(folder)) == 1
+    session.release(spark)
+    assert not os.path.exists(folder)
+
+
+def test_missing_photos_get_zeros(spark):
+    photos = spark.createDataFrame([("p1",), ("p2",)], "photo_id string")
+    vectors = spark.createDataFrame([("p1", [1.0, 2.0])], "photo_id string, embedding array<double>")
+    assert {r.photo_id: r.embedding for r in X.image_table(photos, vectors, 2).collect()} == {"p1": [1.0, 2.0], "p2": [0.0, 0.0]}
+
+
 def test_random_search_stops_at_the_goal(rated):
     rows = R.FeatureSpec.fit(rated, NAMES).apply(rated).select("stars", "features")
     _, log = R.random_search(R.gbt({"maxIter": 1}), rows, {"maxDepth": (1, 3)}, n=4, folds=2, goal=10.0, batch=2)
