@@ -150,11 +150,12 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def identify(
-    docs: DataFrame, train: DataFrame | None = None, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id"
+    docs: DataFrame, train: DataFrame | None = None, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id",
+    out_col: str = "_language",
 ) -> DataFrame:
-    """All rows and columns of `docs`, and `_language` = struct(lang_pred, score).
+    """All rows and columns of `docs`, and `out_col` = struct(lang_pred, score), in place of a column of that name.
 
     Learns from `train`, or else from the rows of `docs` that are not held out.
     """
     names, logs = fit(train if train is not None else docs.where(~held_out(id_col)), text_col, lang_col)
-    return docs.withColumn("_language", predictor(docs.sparkSession, names, logs)(F.col(text_col)))
+    return docs.withColumn(out_col, predictor(docs.sparkSession, names, logs)(F.col(text_col)))

@@ -13,7 +13,7 @@ Defined results: a null or empty text is one empty line; lines shorter than
 `min_chars` always stay; rows without an id take no part and lose nothing; rows
 that repeat an id are one document, each row keeps its own bitmap; an empty
 table gives an empty table. Only the id and text columns are read, so other
-columns may have any name.
+columns may have any name; a column named like one of the counts is replaced.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from affinia.llm.names import free_name
 from affinia.session import materialise
 
 WHITE = " \t\n\x0b\x0c\r"
@@ -114,19 +115,21 @@ def kept_text(text: Column, dropped: Column) -> Column:
 
 
 def drop_repeated_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10,
+    lines_col: str = "_n_lines", dropped_col: str = "_n_dropped",
 ) -> DataFrame:
-    """All rows and columns of `docs`, the text without its dropped lines, and `_n_lines`, `_n_dropped`."""
+    """All rows and columns of `docs`, the text without its dropped lines, and the two counts."""
+    keep_id, keep_row, keep_n, keep_runs = (free_name(docs, f"_keep_{x}") for x in ("id", "row", "n", "runs"))
     keep = keep_bitmaps(docs, id_col, text_col, min_chars).select(
-        F.col("_id").alias("_keep_id"), F.col("_row").alias("_keep_row"), F.col("n_dropped").alias("_n_dropped"),
-        F.col("dropped").alias("_keep_runs"),
+        F.col("_id").alias(keep_id), F.col("_row").alias(keep_row), F.col("n_dropped").alias(keep_n),
+        F.col("dropped").alias(keep_runs),
     )
     text = F.col(text_col)
-    same = (F.col(id_col) == F.col("_keep_id")) & (F.xxhash64(text) == F.col("_keep_row"))
+    same = (F.col(id_col) == F.col(keep_id)) & (F.xxhash64(text) == F.col(keep_row))
     return (
         docs.join(keep, same, "left")
-        .withColumn("_n_lines", F.size(lines_of(text)).cast("bigint"))
-        .withColumn("_n_dropped", F.coalesce("_n_dropped", F.lit(0)).cast("bigint"))
-        .withColumn(text_col, kept_text(text, F.col("_keep_runs")))
-        .drop("_keep_id", "_keep_row", "_keep_runs")
+        .withColumn(lines_col, F.size(lines_of(text)).cast("bigint"))
+        .withColumn(dropped_col, F.coalesce(keep_n, F.lit(0)).cast("bigint"))
+        .withColumn(text_col, kept_text(text, F.col(keep_runs)))
+        .drop(keep_id, keep_row, keep_n, keep_runs)
     )

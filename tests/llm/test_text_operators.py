@@ -87,6 +87,22 @@ def test_line_dedup_without_ids_and_rows(spark, empty):
     assert Counter((r["doc_id"], r["text"]) for r in got) == Counter({(None, line): 1, (1, line): 2, (2, "x"): 1, (2, "y"): 1})
 
 
+def test_columns_with_the_operators_own_names(spark):
+    import corpus_pipeline as cp
+
+    line = "a line that is long enough to be read as prose"
+    names = ["_keep_id", "_keep_row", "_keep_runs", "_keep_n", "_n_lines", "_n_dropped", "_language", "_id", "_row"]
+    rows = [(i, f"{line}\nand an end of its own {i}", "en", i, *range(len(names))) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, n_chars bigint, " + ", ".join(f"{n} int" for n in names))
+    got = line_dedup.drop_repeated_lines(docs, lines_col="lines", dropped_col="dropped")
+    assert got.columns == [*docs.columns, "lines", "dropped"]
+    assert {(r["doc_id"], r["lines"], r["dropped"]) for r in got.collect()} == {(i, 2, min(i, 1)) for i in range(6)}
+    for stage in (cp.identify_language, cp.drop_repeated_lines):
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns
+        assert [tuple(r)[4:] for r in out.collect()] == [tuple(range(len(names)))] * 6
+
+
 def shingle_sets(rows, width):
     out = []
     for t in rows:
