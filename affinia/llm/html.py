@@ -7,6 +7,13 @@ of their own blocks, less link text; the pages of a host then vote, in Spark,
 for paths with their scores, and the host's winning path is used to extract every
 page of the host that has it. Pages without it use their own best container.
 
+The best container is often a box inside the article, with headings, lead and
+closing paragraphs beside it. Each page therefore also says how far its container
+can be widened: up to the outermost container that adds only text with few links.
+The host takes the widest step that pages with half of the votes agree to. `body`,
+`html` and the top of a fragment are no containers of an article: they are taken
+only where all they add are headings, paragraphs, lists and tables of their own.
+
 What never counts as text: head, scripts, styles, forms, menus, headers, footers,
 sidebars and elements whose class or id says advert, notice, comment and the like.
 
@@ -50,6 +57,8 @@ BOILERPLATE = re.compile(
     r"comments?|commentlist|discussion|disqus|repl(?:y|ies)|respond|reviews?|share|sharing|social|related|recommend\w*|"
     r"newsletter|subscri\w*|signup|login|search|pagination|pager|paging|widgets?|tags?|skip|copyright|legal|hidden)(?:$|[^a-z])"
 )
+LEAVES = frozenset("p pre li td th dt dd blockquote h1 h2 h3 h4 h5 h6 tr".split())
+PLAIN = LEAVES | frozenset("ul ol dl table thead tbody tfoot caption hgroup center address".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 
 _TOKEN = re.compile(
@@ -70,6 +79,10 @@ def _segment(name: str, attrs: dict[str, str]) -> str:
     return ".".join([name, *words])
 
 
+def _name(segment: str) -> str:
+    return segment.split(".")[0]
+
+
 def _unwanted(name: str, attrs: dict[str, str]) -> bool:
     if name in SKIPPED or attrs.get("role", "").lower() in ROLES or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true":
         return True
@@ -177,11 +190,10 @@ def container_scores(found: list[tuple[tuple[str, ...], str, int]]) -> dict[str,
         plain = len(text) - 2 * links
         if plain <= 0 or len(text) < 10:
             continue
-        leaf = path[-1].split(".")[0] if path else ""
-        top = len(path) - 1 if leaf in ("p", "pre", "li", "td", "th", "dt", "dd", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "tr") else len(path)
+        top = len(path) - 1 if path and _name(path[-1]) in LEAVES else len(path)
         share = 1.0
         for depth in range(top, 0, -1):
-            name = path[depth - 1].split(".")[0]
+            name = _name(path[depth - 1])
             bonus = 1.5 if name in ("article", "main") else 0.5 if name in ("body", "html") else 1.0
             key = "/".join(path[:depth])
             scores[key] = scores.get(key, 0.0) + plain * share * bonus
@@ -194,30 +206,83 @@ def best_container(found: list[tuple[tuple[str, ...], str, int]]) -> tuple[str,
     return max(sorted(scores.items()), key=lambda kv: kv[1]) if scores else ("", 0.0)
 
 
-def text_below(found: list[tuple[tuple[str, ...], str, int]], container: str) -> str | None:
-    """Texts of the blocks inside the container path; None if the page has no such container."""
-    want = tuple(container.split("/")) if container else ()
-    kept = [text for path, text, _ in found if path[: len(want)] == want]
-    return " ".join(kept) if kept else None
+def _common(path: tuple[str, ...], want: tuple[str, ...]) -> int:
+    """How many leading names two paths share."""
+    n = 0
+    while n < len(want) and n < len(path) and path[n] == want[n]:
+        n += 1
+    return n
+
+
+def _parts(container: str) -> tuple[str, ...]:
+    return tuple(container.split("/")) if container else ()
+
+
+def _page_levels(want: tuple[str, ...]) -> int:
+    """How many names at the start of a path stand for the page as a whole."""
+    n = 0
+    while n < len(want) and _name(want[n]) in ("html", "body"):
+        n += 1
+    return n
+
+
+def outer_depth(found: list[tuple[tuple[str, ...], str, int]], container: str) -> int:
+    """Names left of the container's path when it is widened as long as what is added has few links."""
+    want = _parts(container)
+    page = _page_levels(want)
+    chars, linked, boxed = [0] * len(want), [0] * len(want), [False] * len(want)
+    for path, text, links in found:
+        n = _common(path, want)
+        if n < len(want):
+            chars[n] += len(text)
+            linked[n] += links
+            boxed[n] = boxed[n] or any(_name(segment) not in PLAIN for segment in path[n:])
+    best, all_chars, all_links = len(want), 0, 0
+    for depth in range(len(want) - 1, -1, -1):
+        all_chars += chars[depth]
+        all_links += linked[depth]
+        if all_links * 3 > all_chars or (depth <= page and boxed[depth]):
+            break
+        best = depth
+    return best
+
+
+def text_around(found: list[tuple[tuple[str, ...], str, int]], container: str, depth: int) -> str | None:
+    """Texts of the blocks below the first `depth` names of the container path; None if the page has no such container."""
+    want = _parts(container)
+    if not any(path[: len(want)] == want for path, _, _ in found):
+        return None
+    page = _page_levels(want)
+    if depth <= page < len(want):  # other boxes of this page may lie beside the container
+        own = outer_depth(found, container)
+        depth = max(depth, own) if own <= page else page + 1
+    return " ".join(text for path, text, _ in found if path[:depth] == want[:depth])
 
 
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches, "_html"):
-        best = [best_container(blocks(h or "")) for h in batch.column("_html").to_pylist()]
+        paths, depths, scores = [], [], []
+        for html in batch.column("_html").to_pylist():
+            found = blocks(html or "")
+            path, score = best_container(found)
+            paths.append(path)
+            depths.append(outer_depth(found, path))
+            scores.append(score)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("_host"), pa.array([b[0] for b in best], pa.string()), pa.array([b[1] for b in best], pa.float64())],
-            ["_host", "path", "score"],
+            [batch.column("_host"), pa.array(paths, pa.string()), pa.array(depths, pa.int32()), pa.array(scores, pa.float64())],
+            ["_host", "path", "depth", "score"],
         )
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches, "_html"):
         texts = []
-        for html, path in zip(batch.column("_html").to_pylist(), batch.column("path").to_pylist()):
+        for html, path, depth in zip(*(batch.column(c).to_pylist() for c in ("_html", "path", "depth"))):
             found = blocks(html or "")
-            got = text_below(found, path) if path is not None else None
+            got = text_around(found, path, depth) if path is not None else None
             if got is None:
-                got = text_below(found, best_container(found)[0])
+                own = best_container(found)[0]
+                got = text_around(found, own, outer_depth(found, own))
             texts.append(got or "")
         yield pa.RecordBatch.from_arrays(
             [batch.column("_id"), batch.column("_url"), pa.array(texts, pa.string())], ["_id", "_url", "text"]
@@ -229,17 +294,27 @@ SPREAD = 32
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """(_host, path): the path with most votes, weighted by score; ties go to the last in order."""
-    votes = (
+    """(_host, path, depth): the path with most votes, weighted by score; ties go to the last in order.
+
+    `depth` is the smallest that pages with half of the path's votes agree to.
+    """
+    by_depth = (
         pages.where(F.col("_host") != "").select("_host", "_html")
-        .mapInArrow(_vote, "_host string, path string, score double")
+        .mapInArrow(_vote, "_host string, path string, depth int, score double")
         .where("path <> ''")
-        .groupBy("_host", "path")
+        .groupBy("_host", "path", "depth")
         # whole numbers, so that the sum does not depend on the order of the rows
         .agg(F.sum((F.log1p("score") * 1000).cast("bigint")).alias("votes"))
     )
-    best = votes.groupBy("_host").agg(F.max(F.struct("votes", "path")).alias("best"))
-    return best.select("_host", "best.path")
+    # a row per name of the path at most
+    votes = by_depth.groupBy("_host", "path").agg(F.sum("votes").alias("votes"), F.collect_list(F.struct("depth", "votes")).alias("steps"))
+    best = votes.groupBy("_host").agg(F.max_by(F.struct("votes", "path", "steps"), F.struct("votes", "path")).alias("best")).select("_host", "best.*")
+
+    def agreed(step):
+        wider = F.filter("steps", lambda s: s["depth"] <= step["depth"])
+        return F.aggregate(wider, F.lit(0).cast("bigint"), lambda total, s: total + s["votes"]) * 2 >= F.col("votes")
+
+    return best.select("_host", "path", F.array_min(F.transform(F.filter("steps", agreed), lambda s: s["depth"])).alias("depth"))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -251,7 +326,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     )
     salt = F.pmod(F.xxhash64("_id", "_url"), F.lit(SPREAD))
     winners = host_paths(rows).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)).cast("array<bigint>")))
-    met = rows.withColumn("_salt", salt).join(winners, ["_host", "_salt"], "left").select("_id", "_url", "_html", "path")
+    met = rows.withColumn("_salt", salt).join(winners, ["_host", "_salt"], "left").select("_id", "_url", "_html", "path", "depth")
     schema = T.StructType([rows.schema["_id"], T.StructField("_url", T.StringType()), T.StructField("text", T.StringType())])
     return met.mapInArrow(_extract, schema).select(
         F.col("_id").alias(id_col), F.col("_url").alias(url_col), "text", F.char_length("text").cast("bigint").alias("n_chars")

@@ -108,6 +108,39 @@ def test_host_path_overrules_one_page(spark):
     assert got[9] == "a brief story"
 
 
+def own_text(page):
+    found = html.blocks(page)
+    path = html.best_container(found)[0]
+    return html.text_around(found, path, html.outer_depth(found, path))
+
+
+def test_text_beside_the_largest_box_is_kept(spark):
+    """Headings, lead and closing paragraphs around an inner box, at one level and at two, by host and without."""
+    def story(i):
+        return f"sentence {i} of a long story, and on it goes. " * 25
+
+    def page(i):
+        lead = f"<p>lead paragraph number {i}</p>" if i % 3 else ""
+        return (
+            f"<html><body><div class='top'><a href='/'>home of the host</a> <a href='/b'>all the others</a></div><div class='page'><div class='post'><h1>heading number {i}</h1>{lead}"
+            f"<div class='entry'><p>{story(i)}</p></div><p>closing words number {i}</p></div><div class='after'>notes by the author {i}</div></div>"
+            f"<div class='else'>an unrelated box</div></body></html>"
+        )
+
+    def want(i):
+        lead = f"lead paragraph number {i} " if i % 3 else ""
+        return f"heading number {i} {lead}{story(i).strip()} closing words number {i} notes by the author {i}"
+
+    rows = [(i, "http://h/x" if i < 9 else None, page(i)) for i in range(12)]
+    got = dict(html.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).select("page_id", "text").collect())
+    assert got == {i: want(i) for i in range(12)}
+    body = "<body><h1>heading of it</h1><div class='entry'><p>%s</p></div><p>closing words</p>%s</body>"
+    assert own_text(body % (story(0), "")) == f"heading of it {story(0).strip()} closing words"
+    assert own_text(body % (story(0), "<div>an unrelated box</div>")) == story(0).strip()
+    linked = "<div class='page'><div class='entry'><p>%s</p></div><div><a href='/'>other stories to read</a></div></div>"
+    assert own_text(linked % story(0)) == story(0).strip()
+
+
 def test_broken_pages_do_not_crash():
     for page in ("<", "<p", "</", "<!--", "<a href='x", "&#0;&#xffffffff;&bogus;", "<div><p></div></p></p><td><li>x", "<script>never closed", "<b" * 2000, "a<b>c</b" * 500):
         html.best_container(html.blocks(page))
