@@ -14,8 +14,14 @@ The host takes the widest step that pages with half of the votes agree to. `body
 `html` and the top of a fragment are no containers of an article: they are taken
 only where all they add are headings, paragraphs, lists and tables of their own.
 
-What never counts as text: head, scripts, styles, forms, menus, headers, footers,
-sidebars and elements whose class or id says advert, notice, comment and the like.
+What never counts as text: head, scripts, styles, forms, menus, and the elements
+header, footer and aside. An element whose class or id has a name such as advert,
+sidebar or comments (not `has-sidebar`, `tag-news` or `entry-header`, which say
+something of another part) is in doubt: its text counts little in the scores and
+is left out, unless the winning container is in it. Where such elements of one
+path hold most of a page's text, they are taken like any other, comments only
+where next to nothing else is there, and neither beside an article or main
+element with text of its own.
 
 Defined results: null or empty html gives an empty text; a null url, or one
 without a host, votes in a group of its own per page (no consensus); repeated
@@ -51,12 +57,22 @@ CLOSES_P = frozenset(
 # An opening tag ends an open element of the listed names, looked for up to the nearest list or table.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("ul ol dl table body html article section div main".split())
+COMMENTS = re.compile(r"(?:^|[^a-z])(?:comments?|commentlist|discussion|disqus|repl(?:y|ies)|respond)(?:$|[^a-z])")
 BOILERPLATE = re.compile(
     r"(?:^|[^a-z])(?:ads?|advert\w*|adsense|banner\w*|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alerts?|popup|modal|"
     r"overlay|menus?|nav|navbar|navigation|breadcrumbs?|sidebars?|side|aside|footer|foot|header|masthead|topbar|toolbar|"
-    r"comments?|commentlist|discussion|disqus|repl(?:y|ies)|respond|reviews?|share|sharing|social|related|recommend\w*|"
+    r"reviews?|share|sharing|social|related|recommend\w*|"
     r"newsletter|subscri\w*|signup|login|search|pagination|pager|paging|widgets?|tags?|skip|copyright|legal|hidden)(?:$|[^a-z])"
 )
+# What a class says of the page around it or of its subject, not of its own part; the header of an article is its title.
+MODIFIER = re.compile(
+    r"^(?:category|tag(?!-(?:cloud|links?|lists?|box|items?)$))-.*|(?:^|-)(?:has|have|no|non|not|with|without)-+[a-z]+|"
+    r"^(?:entry|post|article|story|content)-+header$"
+)
+# Ends the name of a container in doubt; no class has a blank.
+DOUBT = {"part": " ?", "comments": " ??"}
+LOW = 0.02  # weight of text in doubt
+INLINE_LABEL = 200  # longer inline elements are passages of the text, whatever their class
 LEAVES = frozenset("p pre li td th dt dd blockquote h1 h2 h3 h4 h5 h6 tr".split())
 PLAIN = LEAVES | frozenset("ul ol dl table thead tbody tfoot caption hgroup center address".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
@@ -75,26 +91,33 @@ def _attributes(text: str) -> dict[str, str]:
 
 
 def _segment(name: str, attrs: dict[str, str]) -> str:
-    words = sorted({w for w in re.sub(r"\d+", "", attrs.get("class", "").lower()).split() if w.strip("-_")})
+    # a slash separates the names of a path
+    words = sorted({w for w in re.sub(r"\d+", "", attrs.get("class", "").lower()).replace("/", "_").split() if w.strip("-_")})
     return ".".join([name, *words])
 
 
 def _name(segment: str) -> str:
-    return segment.split(".")[0]
+    return segment.split(" ")[0].split(".")[0]
 
 
 def _unwanted(name: str, attrs: dict[str, str]) -> bool:
-    if name in SKIPPED or attrs.get("role", "").lower() in ROLES or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true":
-        return True
+    return name in SKIPPED or attrs.get("role", "").lower() in ROLES or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true"
+
+
+def _doubt(name: str, attrs: dict[str, str]) -> str:
+    """The ending of a container whose class or id names a part beside the text, or nothing."""
     said = f"{attrs.get('class', '')} {attrs.get('id', '')}"
+    if not said.strip() or name in ("body", "html", "main", "article"):
+        return ""
     # fooBar and foo_bar read as two words
-    return bool(said.strip()) and name not in ("body", "html", "main", "article") and bool(
-        BOILERPLATE.search(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", said).replace("_", " ").lower())
-    )
+    names = [MODIFIER.sub("", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", token).replace("_", "-").lower()) for token in said.split()]
+    if any(COMMENTS.search(n) for n in names):
+        return DOUBT["comments"]
+    return DOUBT["part"] if any(BOILERPLATE.search(n) for n in names) else ""
 
 
 def blocks(html: str) -> list[tuple[tuple[str, ...], str, int]]:
-    """(container path, text, characters of it in links) of every text block in page order, without boilerplate."""
+    """(container path, text, characters of it in links) of every text block in page order; names of containers in doubt end so."""
     out: list[tuple[tuple[str, ...], str, int]] = []
     names, path, bad = ["#"], ["#"], [False]  # open containers from the outside in
     text, links, in_link = [], 0, 0
@@ -157,10 +180,13 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, int]]:
         if name in INLINE:
             if name == "a":
                 in_link = 1
-            attrs = found["attrs"]
-            if attrs.strip() and name != "a" and _unwanted(name, _attributes(attrs)):
-                end = re.compile(rf"</{name}\s*>", re.I).search(html, at)
-                at = end.end() if end else at
+            if found["attrs"].strip() and name != "a":
+                attrs = _attributes(found["attrs"])
+                unwanted = _unwanted(name, attrs)
+                if unwanted or _doubt(name, attrs):
+                    end = re.compile(rf"</{name}\s*>", re.I).search(html, at)
+                    if end and (unwanted or end.start() - at <= INLINE_LABEL):
+                        at = end.end()
             continue
         if name in CLOSES_P and "p" in names:
             close_upto(len(names) - 1 - names[::-1].index("p"))
@@ -176,23 +202,49 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, int]]:
         if name in ("html", "body") and name in names:
             continue
         names.append(name)
-        path.append(_segment(name, attrs))
+        path.append(_segment(name, attrs) + _doubt(name, attrs))
         bad.append(bad[-1] or _unwanted(name, attrs))
         in_link = 0
     flush()
     return out
 
 
+def _in_doubt(found: list[tuple[tuple[str, ...], str, int]]) -> list[list[int]]:
+    """Per block, the places in its path of the containers in doubt, without those that hold most of the page."""
+    places = [[i for i, segment in enumerate(path) if segment.endswith(" ?") or segment.endswith(" ??")] for path, _, _ in found]
+    if not any(places):
+        return places
+    held: dict[tuple[str, ...], int] = {}
+    stated = set()
+    total = 0
+    for (path, text, links), at in zip(found, places):
+        plain = max(0, len(text) - links)
+        total += plain
+        if not at:
+            stated.update(path[: i + 1] for i, segment in enumerate(path) if _name(segment) in ("article", "main"))
+        for i in at:
+            held[path[: i + 1]] = held.get(path[: i + 1], 0) + plain
+    most = {
+        path for path, n in held.items()
+        if n * 10 > total * (9 if path[-1].endswith(DOUBT["comments"]) else 5) and all(path[: len(s)] == s for s in stated)
+    }
+    return [[i for i in at if path[: i + 1] not in most] for (path, _, _), at in zip(found, places)]
+
+
 def container_scores(found: list[tuple[tuple[str, ...], str, int]]) -> dict[str, float]:
-    """Score of every container path: text outside links, in full for the block's parent, less for those further out."""
+    """Score of every container path: text outside links, in full for the block's parent, less for those further out.
+
+    Text in doubt counts little, and only for containers inside the one in doubt.
+    """
     scores: dict[str, float] = {}
-    for path, text, links in found:
+    for (path, text, links), doubts in zip(found, _in_doubt(found)):
         plain = len(text) - 2 * links
         if plain <= 0 or len(text) < 10:
             continue
+        inside = doubts[-1] + 1 if doubts else 0
         top = len(path) - 1 if path and _name(path[-1]) in LEAVES else len(path)
-        share = 1.0
-        for depth in range(top, 0, -1):
+        share = LOW ** len(doubts)
+        for depth in range(top, max(inside, 1) - 1, -1):
             name = _name(path[depth - 1])
             bonus = 1.5 if name in ("article", "main") else 0.5 if name in ("body", "html") else 1.0
             key = "/".join(path[:depth])
@@ -203,7 +255,13 @@ def container_scores(found: list[tuple[tuple[str, ...], str, int]]) -> dict[str,
 
 def best_container(found: list[tuple[tuple[str, ...], str, int]]) -> tuple[str, float]:
     scores = container_scores(found)
-    return max(sorted(scores.items()), key=lambda kv: kv[1]) if scores else ("", 0.0)
+    if not scores:
+        return "", 0.0
+    path, score = max(sorted(scores.items()), key=lambda kv: kv[1])
+    want, doubts = _parts(path), _in_doubt(found)
+    if not all(doubts) and any(at and at[0] < len(want) and block[: len(want)] == want for (block, _, _), at in zip(found, doubts)):
+        return "", 0.0  # what is not in doubt, however short
+    return path, score
 
 
 def _common(path: tuple[str, ...], want: tuple[str, ...]) -> int:
@@ -231,9 +289,9 @@ def outer_depth(found: list[tuple[tuple[str, ...], str, int]], container: str) -
     want = _parts(container)
     page = _page_levels(want)
     chars, linked, boxed = [0] * len(want), [0] * len(want), [False] * len(want)
-    for path, text, links in found:
+    for (path, text, links), doubts in zip(found, _in_doubt(found)):
         n = _common(path, want)
-        if n < len(want):
+        if n < len(want) and (not doubts or doubts[-1] < n):
             chars[n] += len(text)
             linked[n] += links
             boxed[n] = boxed[n] or any(_name(segment) not in PLAIN for segment in path[n:])
@@ -256,7 +314,11 @@ def text_around(found: list[tuple[tuple[str, ...], str, int]], container: str, d
     if depth <= page < len(want):  # other boxes of this page may lie beside the container
         own = outer_depth(found, container)
         depth = max(depth, own) if own <= page else page + 1
-    return " ".join(text for path, text, _ in found if path[:depth] == want[:depth])
+    kept = [
+        text for (path, text, _), doubts in zip(found, _in_doubt(found))
+        if path[:depth] == want[:depth] and (not doubts or doubts[-1] < _common(path, want))
+    ]
+    return " ".join(kept if kept or want else [text for _, text, _ in found])
 
 
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -141,6 +141,28 @@ def test_text_beside_the_largest_box_is_kept(spark):
     assert own_text(linked % story(0)) == story(0).strip()
 
 
+def test_names_of_parts_do_not_empty_a_page(spark):
+    """Modifiers in class names, parts that hold most of the text, and real parts beside the text."""
+    story = "a sentence of a story that is told at some length here. " * 12
+    aside = "<div class='%s'><p>words that are beside the story, in a box of its own</p></div>"
+    wrappers = [
+        "class='site has-sidebar'", "class='content with-sidebar'", "class='container no-sidebar'", "class='wrap fixed-header'",
+        "class='post tag-news'", "class='review'", "id='legal'", "class='post comments-open'", "class='w-1/2'", "class='layout--with-sidebar'",
+    ]
+    pages = [f"<body><div {w}><div class='entry-header'><h1>the heading of it</h1></div><p>{story}</p>{aside % 'sidebar'}</div></body>" for w in wrappers]
+    for hosts in (False, True):
+        rows = [(i, f"http://h{i if hosts else ''}/x" , p) for i, p in enumerate(pages)]
+        got = dict(html.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).select("page_id", "text").collect())
+        assert got == {i: f"the heading of it {story.strip()}" for i in range(len(pages))}
+    talk = "<div id='comments'><p>%s</p></div>" % ("a reader has much to say about it. " * 60)
+    for part in [aside % "ad-box", aside % "content-sidebar", aside % "tag-cloud", aside % "siteHeader", aside % "related_posts", talk]:
+        assert own_text(f"<body><div class='post'><p>{story}</p></div>{part}</body>") == story.strip()
+        assert own_text(f"<body><div class='post'><p>{story}</p>{part}</div></body>") == story.strip()
+    label = "<span class='tag'>news</span>"
+    assert own_text(f"<body><div class='post'><p>{label}<span class='review'>{story}</span></p></div></body>") == story.strip()
+    assert own_text("<body><div class='sidebar'>all there is</div></body>") == "all there is"
+
+
 def test_broken_pages_do_not_crash():
     for page in ("<", "<p", "</", "<!--", "<a href='x", "&#0;&#xffffffff;&bogus;", "<div><p></div></p></p><td><li>x", "<script>never closed", "<b" * 2000, "a<b>c</b" * 500):
         html.best_container(html.blocks(page))
