@@ -56,13 +56,10 @@ def rating_regressor_rmse(t):
     return scored.agg(F.count("*").alias("n"), rmse_of("prediction").alias("rmse"), rmse_of("mean").alias("rmse_of_mean"))
 
 
-TIERS = {tier: {**params, "maxIter": 3, "maxDepth": 3} for tier, params in M.TIER_PARAMS.items()}
-
-
 def cluster_models(t):
     train, test = (attach_cluster(part, rule_clusters(t)) for part in train_test(t))
     tiers = {row["Cluster"]: row["tier"] for row in size_tiers(train).where("Cluster is not null").collect()}  # a row per cluster
-    return M.fit_by_cluster(train, NAMES, tiers, tier_params=TIERS), test
+    return M.fit_by_cluster(train, NAMES, tiers), test
 
 
 @query("cluster_regressors")

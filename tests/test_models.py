@@ -104,6 +104,19 @@ def test_cluster_models_and_fallback(rated):
     assert R.predict_clip(models, rated).where("prediction not between 1 and 5").count() == 0
 
 
+def test_registered_cluster_fits_use_the_tier_settings(rated, monkeypatch):
+    from affinia.plans import learning
+
+    used = []
+    monkeypatch.setattr(R, "fit_gbt", lambda rows, params, seed: used.append(params))
+    monkeypatch.setattr(learning, "NAMES", NAMES)
+    monkeypatch.setattr(learning, "train_test", lambda t: (rated, rated))
+    monkeypatch.setattr(learning, "rule_clusters", lambda t: None)
+    monkeypatch.setattr(learning, "attach_cluster", lambda part, clusters: part)
+    learning.cluster_models(None)
+    assert used == [R.TIER_PARAMS["small"], R.TIER_PARAMS["small"], R.TIER_PARAMS["large"]]
+
+
 def test_constant_columns_are_dropped_per_cluster(spark, rated):
     small = {"large": {"maxIter": 1, "maxDepth": 1}}
     rows = rated.withColumn("a", F.when(F.col("Cluster") == 1, F.lit(7.0)).otherwise(F.col("a")))
