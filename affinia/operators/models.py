@@ -102,6 +102,30 @@ def fit_gbt(df: DataFrame, params: dict | None = None, seed: int = 42, validatio
     return estimator.fit(df)
 
 
+def fit_until_flat(df: DataFrame, held_out: str, params: dict | None = None, patience: int = 10, limit: int = 480, seed: int = 42):
+    """Boosted trees up to the round with the least error on the flagged rows, once `patience` rounds brought none lower.
+
+    Spark's own rule ends at the first round that gains too little, so longer fits
+    are made until one has that many rounds after its best; the rounds of a
+    shorter fit are the first of a longer one.
+    """
+    rows, held = df.where(~F.col(held_out)), df.where(held_out)
+    trees = min(limit, 4 * patience)
+    while True:
+        model = fit_gbt(rows, {**(params or {}), "maxIter": trees}, seed)
+        best, flat = 0, False
+        errors = model.evaluateEachIteration(held, "squared")
+        for i, error in enumerate(errors):
+            if error < errors[best]:
+                best = i
+            elif i - best >= patience:
+                flat = True
+                break
+        if flat or trees >= limit:
+            return model if best + 1 == trees else fit_gbt(rows, {**(params or {}), "maxIter": best + 1}, seed)
+        trees = min(limit, 2 * trees)
+
+
 def fit_by_cluster(
     train: DataFrame, names: list[str], tiers: dict[int, str], seed: int = 42, tier_params: dict | None = None,
     cluster_params: dict[int, dict] | None = None,
@@ -159,7 +183,7 @@ def fit_stack(df: DataFrame, names: list[str], folds: int = 3, seed: int = 42, a
         spec.apply(df).withColumn("fold", hash32(F.lit(seed), *PAIR) % folds).select(*PAIR, LABEL, "features", "fold"), "stack"
     )
     bases = {
-        "gbt": gbt({"maxIter": 10, "maxDepth": 4}, seed),
+        "gbt": gbt(seed=seed),
         "forest": RandomForestRegressor(labelCol=LABEL, numTrees=20, maxDepth=5, seed=seed),
         "linear": LinearRegression(labelCol=LABEL, regParam=0.01),
     }

@@ -115,16 +115,16 @@ def als_holdout_rmse(t):
     ])
 
 
-GRID = {"rank": [5, 10], "alpha": [100.0, 1520.0]}
-SEARCH = {"max_iter": 3, "blocks": 4, "reg": 0.5}
+GRID = {"rank": [48, 50, 55], "reg": [0.00001, 0.0001, 0.0005], "alpha": [4.5, 5.0, 6.0]}
+FOLD_GRID = {"rank": [45, 48, 50], "reg": [0.0001, 0.0005, 0.001], "alpha": [4.0, 4.5, 5.0]}
 
 
 @query("als_grid_search")
 def als_grid_search(t):
-    return M.tune_als(indexed(t)[2], GRID, **SEARCH)[1]
+    return M.tune_als(indexed(t)[2], GRID)[1]
 
 
 @query("als_kfold")
 def als_kfold(t):
-    return M.tune_als(indexed(t)[2], {"alpha": [100.0, 1520.0]}, folds=3, **SEARCH)[1]
+    return M.tune_als(indexed(t)[2], FOLD_GRID, folds=5)[1]
 

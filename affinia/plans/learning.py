@@ -19,7 +19,8 @@ NAMES = [
     "score", "affinity_score", "average_stars", "user_review_count", "fans", "useful", "num_interactions",
     "bus_stars", "bus_review_count", "is_open",
 ]
-LIGHT = {"maxIter": 5, "maxDepth": 4}
+FOLDS = 5
+SPACE = {"maxDepth": (3, 7), "stepSize": (0.01, 0.3)}
 
 
 def split_features(t):
@@ -43,7 +44,7 @@ def prepared(t):
 def rating_regressor(t):
     """Predictions of the global boosted trees for the test pairs, in [1, 5]."""
     spec, train, test = prepared(t)
-    scored = M.fit_gbt(train, LIGHT).transform(test)
+    scored = M.fit_gbt(train).transform(test)
     return scored.select("user_id", "business_id", "stars", M.clip("prediction").alias("prediction"))
 
 
@@ -52,7 +53,7 @@ def rating_regressor_rmse(t):
     """RMSE of the global trees next to that of the training mean."""
     spec, train, test = prepared(t)
     mean = train.agg(F.avg("stars")).scalar()
-    scored = M.fit_gbt(train, LIGHT).transform(test).withColumn("mean", mean)
+    scored = M.fit_gbt(train).transform(test).withColumn("mean", mean)
     return scored.agg(F.count("*").alias("n"), rmse_of("prediction").alias("rmse"), rmse_of("mean").alias("rmse_of_mean"))
 
 
@@ -78,17 +79,17 @@ def predict_clip(t):
 
 @query("early_stopping")
 def early_stopping(t):
-    """Trees kept when the held-out rows stop improving, and their RMSE."""
+    """Trees kept when the held-out rows have not improved for 10 rounds, and their RMSE."""
     spec, train, test = prepared(t)
     flagged = train.withColumn("held_out", hash32(F.lit("stop"), "user_id", "business_id") % 5 == 0)
-    model = M.fit_gbt(flagged, {"maxIter": 10, "maxDepth": 3}, validation="held_out")
+    model = M.fit_until_flat(flagged, "held_out")
     return model.transform(test).agg(rmse_of("prediction").alias("rmse")).withColumn("trees", F.lit(model.getNumTrees))
 
 
 @query("stacked_regressor")
 def stacked_regressor(t):
     train, test = train_test(t)
-    predict = M.fit_stack(train, NAMES, folds=2)
+    predict = M.fit_stack(train, NAMES, folds=FOLDS)
     return predict(test).agg(F.count("*").alias("n"), rmse_of("prediction").alias("rmse"))
 
 
@@ -99,26 +100,24 @@ def search_rows(t):
 
 @query("grid_search")
 def grid_search(t):
-    return M.grid_search(M.gbt({"maxIter": 3}), search_rows(t), {"maxDepth": [2, 4], "stepSize": [0.1, 0.3]}, folds=2)[1]
+    return M.grid_search(M.gbt(), search_rows(t), {"maxDepth": [4, 5, 6], "stepSize": [0.05, 0.1, 0.2]}, folds=FOLDS)[1]
 
 
 @query("random_search")
 def random_search(t):
-    space = {"maxDepth": (2, 4), "stepSize": (0.05, 0.4)}
-    return M.random_search(M.gbt({"maxIter": 3}), search_rows(t), space, n=4, folds=2)[1]
+    return M.random_search(M.gbt(), search_rows(t), SPACE, n=10, folds=FOLDS)[1]
 
 
 @query("sequential_search")
 def sequential_search(t):
-    space = {"maxDepth": (2, 4), "stepSize": (0.05, 0.4)}
-    return M.refine_search(M.gbt({"maxIter": 3}), search_rows(t), space, rounds=2, folds=2)[1]
+    return M.refine_search(M.gbt(), search_rows(t), SPACE, rounds=3, folds=FOLDS)[1]
 
 
 def photo_predictions(t, labels: list[str] | None = None):
     photos = t.photos if labels is None else t.photos.where(F.col("label").isin(labels))
     coded = label_encode(photos.withColumn("features", array_to_vector("embedding")).drop("embedding"), "label", "code")
     split = stratified_split(coded.withColumn("code", F.col("code").cast("double")), "label", "photo_id", 0.8)
-    model = M.fit_label(split.where("split = 'train'"), "code", max_iter=100)
+    model = M.fit_label(split.where("split = 'train'"), "code")
     return model.transform(split.where("split = 'test'")).select("photo_id", "label", "code", "prediction")
 
 
@@ -142,14 +141,14 @@ def photo_confusion(t):
 @query("feature_importance")
 def feature_importance(t):
     spec, train, _ = prepared(t)
-    return M.importances(M.fit_gbt(train, LIGHT), spec)
+    return M.importances(M.fit_gbt(train), spec)
 
 
 @query("permutation_importance")
 def permutation_importance(t):
     train, test = train_test(t)
     spec = M.FeatureSpec.fit(train, NAMES)
-    return M.permutation_importance(M.fit_gbt(spec.apply(train), LIGHT), spec, test)
+    return M.permutation_importance(M.fit_gbt(spec.apply(train)), spec, test)
 
 
 def linear_model(train):

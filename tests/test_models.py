@@ -117,6 +117,68 @@ def test_registered_cluster_fits_use_the_tier_settings(rated, monkeypatch):
     assert used == [R.TIER_PARAMS["small"], R.TIER_PARAMS["small"], R.TIER_PARAMS["large"]]
 
 
+def test_early_stopping_waits_for_a_late_best_round(rated, monkeypatch):
+    """The best round is found although the rounds before it were flat for less than the patience."""
+    class Fitted:
+        def __init__(self, trees):
+            self.getNumTrees = trees
+
+        def evaluateEachIteration(self, rows, loss):
+            return [1.0 - 0.01 * min(i // 6 * 6, 54) for i in range(self.getNumTrees)]
+
+    fits = []
+    monkeypatch.setattr(R, "fit_gbt", lambda rows, params, seed: fits.append(params["maxIter"]) or Fitted(params["maxIter"]))
+    flagged = rated.withColumn("held", F.col("stars") > 4)
+    assert R.fit_until_flat(flagged, "held").getNumTrees == 55 and fits == [40, 80, 55]
+    assert R.fit_until_flat(flagged, "held", limit=50).getNumTrees == 49
+    assert R.fit_until_flat(flagged, "held", patience=4).getNumTrees == 1
+
+
+def test_registered_learners_use_full_settings(rated, monkeypatch):
+    from affinia.plans import factorization, learning
+
+    seen = {}
+
+    class Seen(Exception):
+        pass
+
+    def record(name):
+        def stop(*args, **kwargs):
+            seen[name] = (args, kwargs)
+            raise Seen
+        return stop
+
+    spec = R.FeatureSpec.fit(rated, NAMES)
+    monkeypatch.setattr(learning, "NAMES", NAMES)
+    monkeypatch.setattr(learning, "train_test", lambda t: (rated, rated))
+    monkeypatch.setattr(learning, "prepared", lambda t: (spec, spec.apply(rated), spec.apply(rated)))
+    monkeypatch.setattr(factorization, "indexed", lambda t: (None, None, rated))
+    for name in ("fit_gbt", "fit_until_flat", "fit_stack", "grid_search", "random_search", "refine_search"):
+        monkeypatch.setattr(R, name, record(name))
+    monkeypatch.setattr(M, "tune_als", record("tune_als"))
+    for plan in ("rating_regressor", "rating_regressor_rmse", "feature_importance", "permutation_importance"):
+        with pytest.raises(Seen):
+            getattr(learning, plan)(None)
+        args, kwargs = seen.pop("fit_gbt")
+        assert len(args) == 1 and not kwargs
+    for plan, name in (("grid_search", "grid_search"), ("random_search", "random_search"), ("sequential_search", "refine_search")):
+        with pytest.raises(Seen):
+            getattr(learning, plan)(None)
+        args, kwargs = seen[name]
+        assert args[0].getMaxIter() == R.gbt().getMaxIter() and kwargs["folds"] == 5
+    with pytest.raises(Seen):
+        learning.early_stopping(None)
+    assert len(seen["fit_until_flat"][0]) == 2 and not seen["fit_until_flat"][1]
+    with pytest.raises(Seen):
+        learning.stacked_regressor(None)
+    assert seen["fit_stack"][1] == {"folds": 5}
+    for plan, own in (("als_grid_search", {}), ("als_kfold", {"folds": 5})):
+        with pytest.raises(Seen):
+            getattr(factorization, plan)(None)
+        args, kwargs = seen["tune_als"]
+        assert sorted(args[1]) == ["alpha", "rank", "reg"] and all(len(v) > 2 for v in args[1].values()) and kwargs == own
+
+
 def test_constant_columns_are_dropped_per_cluster(spark, rated):
     small = {"large": {"maxIter": 1, "maxDepth": 1}}
     rows = rated.withColumn("a", F.when(F.col("Cluster") == 1, F.lit(7.0)).otherwise(F.col("a")))
