@@ -410,3 +410,19 @@ def test_pipeline_stages(spark, tmp_path):
     want = [w for w in want if w[0] != 1000]
     assert Counter((r["doc_id"], r["text"]) for r in fourth.collect()) == Counter(want)
     assert check_packing(want, cp.run(spark, str(tmp_path)).collect(), 4096) >= 1
+
+
+def test_pipeline_judges_rows_that_share_an_id_by_their_texts(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    rng = __import__("random").Random(5)
+    copied, leaked, clean, clean_2, own = (prose(rng, 40) for _ in range(5))
+    spark.createDataFrame([(1, leaked)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(1, copied), (5, copied), (5, clean), (None, copied), (None, own), (7, leaked), (7, clean_2), (None, leaked), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], SCHEMA)
+    apart = cp.drop_near_duplicates(spark, docs, str(tmp_path))
+    assert apart.columns == docs.columns
+    kept = [(1, copied), (5, clean), (None, own), (7, leaked), (7, clean_2), (None, None)]
+    assert Counter((r["doc_id"], r["text"]) for r in apart.collect()) == Counter(kept)
+    clear = cp.drop_leaks(spark, docs, str(tmp_path))
+    assert Counter((r["doc_id"], r["text"]) for r in clear.collect()) == Counter(r for r in rows if r[1] != leaked)
