@@ -426,3 +426,15 @@ def test_pipeline_judges_rows_that_share_an_id_by_their_texts(spark, tmp_path):
     assert Counter((r["doc_id"], r["text"]) for r in apart.collect()) == Counter(kept)
     clear = cp.drop_leaks(spark, docs, str(tmp_path))
     assert Counter((r["doc_id"], r["text"]) for r in clear.collect()) == Counter(r for r in rows if r[1] != leaked)
+
+
+def test_pipeline_keeps_short_and_unlabelled_documents(spark):
+    import corpus_pipeline as cp
+
+    tongues = ["en", "de", "fr", "nl", "sv"]
+    rows = [(i, f"a b c d e {t} " * 9, t) for i, t in enumerate(tongues * 4)] + [(100, "a b", None), (101, "12 --", None)]
+    docs = spark.createDataFrame([(i, t, lang, "s", len(t)) for i, t, lang in rows], SCHEMA)
+    got = cp.identify_language(spark, docs, "")
+    assert {r["doc_id"] for r in got.collect()} == {i for i, _, _ in rows} - {101}
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert cp.identify_language(spark, unlabelled, "").count() == len(rows)
