@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 from dataclasses import dataclass, field
 
+from pyspark import SparkContext
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +19,7 @@ from affinia.operators.evaluation import rmse_of
 from affinia.operators.interactions import PAIR
 from affinia.operators.quality import is_constant
 from affinia.operators.scale import dense_index
+from affinia.operators.trials import Folds, best_of, run_trials, trial_log
 from affinia.session import ensure_checkpoint_dir, materialise
 
 LABEL = "stars"
@@ -107,7 +108,8 @@ def fit_until_flat(df: DataFrame, held_out: str, params: dict | None = None, pat
 
     Spark's own rule ends at the first round that gains too little, so longer fits
     are made until one has that many rounds after its best; the rounds of a
-    shorter fit are the first of a longer one.
+    shorter fit are the first of a longer one, so the model is the longest fit
+    cut at its best round.
     """
     rows, held = df.where(~F.col(held_out)), df.where(held_out)
     trees = min(limit, 4 * patience)
@@ -122,10 +124,22 @@ def fit_until_flat(df: DataFrame, held_out: str, params: dict | None = None, pat
                 flat = True
                 break
         if flat or trees >= limit:
-            return model if best + 1 == trees else fit_gbt(rows, {**(params or {}), "maxIter": best + 1}, seed)
+            return first_trees(model, best + 1)
         trees = min(limit, 2 * trees)
 
 
+def first_trees(model: GBTRegressionModel, n: int) -> GBTRegressionModel:
+    """The model of the first n rounds of a fit."""
+    if n >= model.getNumTrees:
+        return model
+    java, gateway = model._java_obj, SparkContext._gateway
+    regression = gateway.jvm.org.apache.spark.ml.regression
+    trees, weights = gateway.new_array(regression.DecisionTreeRegressionModel, n), gateway.new_array(gateway.jvm.double, n)
+    for i, (tree, weight) in enumerate(zip(java.trees()[:n], model.treeWeights)):
+        trees[i], weights[i] = tree, weight
+    return GBTRegressionModel(regression.GBTRegressionModel(f"{model.uid}_{n}", trees, weights, model.numFeatures))
+
+
 def fit_by_cluster(
     train: DataFrame, names: list[str], tiers: dict[int, str], seed: int = 42, tier_params: dict | None = None,
     cluster_params: dict[int, dict] | None = None,
@@ -209,77 +223,87 @@ def fit_stack(df: DataFrame, names: list[str], folds: int = 3, seed: int = 42, a
 # --- search ----------------------------------------------------------------
 
 
-def _trials(estimator, rows: DataFrame, settings: list[dict], folds: int, seed: int, parallelism: int):
-    """Fit every setting by K-fold; best model and the trial log."""
-    ensure_checkpoint_dir(rows.sparkSession)
-    maps = [{estimator.getParam(n): v for n, v in s.items()} for s in settings]
-    cv = CrossValidator(
-        estimator=estimator, estimatorParamMaps=maps, numFolds=folds, seed=seed, parallelism=parallelism,
-        evaluator=RegressionEvaluator(metricName="rmse", labelCol=LABEL),
-    ).fit(rows)
-    names = sorted(settings[0])
-    log = rows.sparkSession.createDataFrame(
-        [(*[float(s[n]) for n in names], float(m)) for s, m in zip(settings, cv.avgMetrics)],
-        ", ".join(f"{n} double" for n in names) + ", rmse double",
-    )
-    return cv.bestModel, log
+class _Search:
+    """Settings of an estimator tried so far, over one set of folds."""
+
+    def __init__(self, estimator, rows: DataFrame, folds: int, seed: int, log_path: str | None):
+        self.estimator, self.folds = estimator, Folds.write(rows, folds, seed, log_path=log_path)
+        self.settings: list[dict] = []
+        self.errors: list[float | None] = []
+
+    def _fit(self, rows: DataFrame, setting: dict):
+        return self.estimator.fit(rows, {self.estimator.getParam(n): v for n, v in setting.items()})
+
+    def _error(self, model, rows: DataFrame) -> float | None:
+        return model.transform(rows).agg(rmse_of("prediction", LABEL).alias("rmse")).first()["rmse"]
+
+    def run(self, settings: list[dict]) -> list[float | None]:
+        errors = run_trials(self.folds, settings, self._fit, self._error)
+        self.settings += settings
+        self.errors += errors
+        return errors
 
+    @property
+    def best(self) -> int:
+        return best_of(self.settings, self.errors)
+
+    def result(self, **extra: list):
+        """The best setting fitted on all rows, and the log."""
+        spark = self.folds.table.sparkSession
+        return self._fit(self.folds.all(), self.settings[self.best]), trial_log(spark, self.settings, self.errors, extra)
+
+
+def combinations(grid: dict[str, list]) -> list[dict]:
+    return [dict(zip(grid, values)) for values in itertools.product(*grid.values())]
 
-def grid_search(estimator, rows: DataFrame, grid: dict[str, list], folds: int = 3, seed: int = 42, parallelism: int = 2):
-    """Every combination of the grid."""
-    builder = ParamGridBuilder()
-    for name, values in grid.items():
-        builder = builder.addGrid(estimator.getParam(name), values)
-    settings = [{p.name: v for p, v in m.items()} for m in builder.build()]
-    return _trials(estimator, rows, settings, folds, seed, parallelism)
+
+def grid_search(estimator, rows: DataFrame, grid: dict[str, list], folds: int = 3, seed: int = 42, log_path: str | None = None):
+    """Every combination of the grid: (best model, log)."""
+    search = _Search(estimator, rows, folds, seed, log_path)
+    search.run(combinations(grid))
+    return search.result()
 
 
 def random_search(
     estimator, rows: DataFrame, space: dict[str, tuple], n: int, seed: int = 42, folds: int = 3,
-    goal: float | None = None, batch: int = 4, parallelism: int = 2,
+    goal: float | None = None, batch: int | None = None, log_path: str | None = None,
 ):
-    """Seeded draws from ranges, in batches, until the goal or n draws are reached."""
+    """Seeded draws from ranges until n are tried or, after a batch of them, one reaches the goal: (best model, log)."""
     draw = random.Random(seed)
-    best, log = None, None
-    for start in range(0, n, batch):
-        settings = [
-            {k: draw.randint(lo, hi) if isinstance(lo, int) else draw.uniform(lo, hi) for k, (lo, hi) in space.items()}
-            for _ in range(min(batch, n - start))
-        ]
-        model, trials = _trials(estimator, rows, settings, folds, seed, parallelism)
-        low = trials.agg(F.min("rmse")).first()[0]
-        if best is None or low < best[0]:
-            best = (low, model)
-        log = trials if log is None else log.unionByName(trials)
-        if goal is not None and best[0] <= goal:
+    settings = [
+        {k: draw.randint(lo, hi) if isinstance(lo, int) else draw.uniform(lo, hi) for k, (lo, hi) in space.items()} for _ in range(n)
+    ]
+    search = _Search(estimator, rows, folds, seed, log_path)
+    step = n if goal is None else batch or 4  # without a goal nothing waits for a batch
+    for start in range(0, n, step):
+        search.run(settings[start : start + step])
+        least = search.errors[search.best]
+        if goal is not None and least is not None and least <= goal:
             break
-    return best[1], log
+    return search.result()
 
 
 def refine_search(
     estimator, rows: DataFrame, space: dict[str, tuple], rounds: int = 2, points: int = 2, seed: int = 42,
-    folds: int = 3, parallelism: int = 2,
+    folds: int = 3, log_path: str | None = None,
 ):
-    """Grid over the ranges, then grids over ranges halved around the best point."""
-    best, log = None, None
-    for number in range(rounds):
+    """Grid over the ranges, then grids over ranges halved around the best point: (best model, log)."""
+    search, number = _Search(estimator, rows, folds, seed, log_path), []
+    for turn in range(rounds):
         grid = {}
         for name, (lo, hi) in space.items():
             values = [lo + (hi - lo) * (i + 0.5) / points for i in range(points)]
             grid[name] = sorted({round(v) for v in values}) if isinstance(lo, int) else values
-        model, trials = grid_search(estimator, rows, grid, folds, seed, parallelism)
-        top = trials.orderBy("rmse").first()
-        if best is None or top["rmse"] < best[0]:
-            best = (top["rmse"], model, top)
-        trials = trials.withColumn("round", F.lit(number))
-        log = trials if log is None else log.unionByName(trials)
-        shrunk = {}
+        settings = combinations(grid)
+        search.run(settings)
+        number += [turn] * len(settings)
+        top, shrunk = search.settings[search.best], {}
         for name, (lo, hi) in space.items():
             quarter = (hi - lo) / 4
-            a, b = max(lo, best[2][name] - quarter), min(hi, best[2][name] + quarter)
+            a, b = max(lo, top[name] - quarter), min(hi, top[name] + quarter)
             shrunk[name] = (int(round(a)), int(round(b))) if isinstance(lo, int) else (a, b)
         space = shrunk
-    return best[1], log
+    return search.result(round=number)
 
 
 # --- photos, importances ---------------------------------------------------
@@ -307,9 +331,7 @@ def permutation_importance(model, spec: FeatureSpec, df: DataFrame, seed: int =
     value from the row whose hash number equals its key number.
     """
     keyed = materialise(
-        df.select(
-            F.concat_ws("|", *PAIR).alias("k"), F.md5(F.concat_ws("|", F.lit(str(seed)), *PAIR)).alias("h"), LABEL, *spec.names
-        ),
+        df.select(F.struct(*PAIR).alias("k"), F.struct(hash32(F.lit(seed), *PAIR).alias("drawn"), *PAIR).alias("h"), LABEL, *spec.names),
         "permute",
     )
     own = keyed.join(dense_index(keyed, "k", "i"), "k")

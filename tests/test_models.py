@@ -14,6 +14,8 @@ from affinia.operators import models as R
 from affinia.operators import quality as Q
 from affinia.operators import segments as C
 from affinia.operators import transforms as X
+from affinia.operators import trials
+from affinia.operators.evaluation import rmse_of
 from affinia.operators.interactions import histogram, implicit_ratings, index_ids, interaction_counts
 from affinia.operators.joins import feature_rows
 from affinia.session import scratch_path
@@ -128,8 +130,9 @@ def test_early_stopping_waits_for_a_late_best_round(rated, monkeypatch):
 
     fits = []
     monkeypatch.setattr(R, "fit_gbt", lambda rows, params, seed: fits.append(params["maxIter"]) or Fitted(params["maxIter"]))
+    monkeypatch.setattr(R, "first_trees", lambda model, n: Fitted(n))
     flagged = rated.withColumn("held", F.col("stars") > 4)
-    assert R.fit_until_flat(flagged, "held").getNumTrees == 55 and fits == [40, 80, 55]
+    assert R.fit_until_flat(flagged, "held").getNumTrees == 55 and fits == [40, 80]
     assert R.fit_until_flat(flagged, "held", limit=50).getNumTrees == 49
     assert R.fit_until_flat(flagged, "held", patience=4).getNumTrees == 1
 
@@ -212,6 +215,81 @@ def test_random_search_stops_at_the_goal(rated):
     assert log.count() == 2
 
 
+def test_first_trees_equal_a_shorter_fit(rated):
+    rows = R.FeatureSpec.fit(rated, NAMES).apply(rated).coalesce(1)
+    long, short = (R.fit_gbt(rows, {"maxIter": n, "maxDepth": 2}) for n in (6, 3))
+    cut = R.first_trees(long, 3)
+    assert cut.getNumTrees == 3 and cut.numFeatures == long.numFeatures
+    got, want = ([r.prediction for r in m.transform(rows).select("prediction").collect()] for m in (cut, short))
+    assert got == pytest.approx(want)
+
+
+def searched(rated):
+    return R.FeatureSpec.fit(rated, NAMES).apply(rated).select("stars", "features")
+
+
+def test_trials_equal_fits_one_by_one(rated):
+    """Concurrent fits over written folds give the errors and the model of a plain loop over the same folds."""
+    rows = searched(rated).withColumn("fold", F.floor(F.col("stars") * 7).cast("int") % 3)
+    grid = {"maxDepth": [1, 3], "stepSize": [0.1, 0.5]}
+    model, log = R.grid_search(R.gbt({"maxIter": 2, "subsamplingRate": 1.0}), rows, grid, folds=3)
+    got = {(r.maxDepth, r.stepSize): r.rmse for r in log.collect()}
+    assert len(got) == 4
+    for depth, step in got:
+        errors = []
+        for fold in range(3):
+            one = R.gbt({"maxIter": 2, "subsamplingRate": 1.0, "maxDepth": int(depth), "stepSize": step})
+            fitted = one.fit(rows.where(F.col("fold") != fold))
+            errors.append(fitted.transform(rows.where(F.col("fold") == fold)).agg(rmse_of("prediction").alias("e")).first().e)
+        assert got[depth, step] == pytest.approx(sum(errors) / 3, rel=1e-6)
+    depth, step = min(got, key=got.get)
+    assert (model.getOrDefault("maxDepth"), model.getOrDefault("stepSize")) == (depth, step)
+
+
+def test_a_search_goes_on_where_it_was_ended(spark, rated):
+    path, rows = scratch_path(spark, "search"), searched(rated)
+    fitted = []
+
+    class Counted:
+        def __init__(self, inner, limit):
+            self.inner, self.limit = inner, limit
+
+        def getParam(self, name):
+            return self.inner.getParam(name)
+
+        def fit(self, part, params):
+            if len(fitted) >= self.limit:
+                raise RuntimeError("driver lost")
+            fitted.append({p.name: v for p, v in params.items()})
+            return self.inner.fit(part, params)
+
+    grid = {"maxDepth": [1, 2, 3]}
+    with pytest.raises(RuntimeError):
+        R.grid_search(Counted(R.gbt({"maxIter": 1}), 4), rows, grid, folds=2, log_path=path)
+    assert len(fitted) == 4
+    _, log = R.grid_search(Counted(R.gbt({"maxIter": 1}), 100), rows, grid, folds=2, log_path=path)
+    assert len(fitted) == 7  # two fits that were missing, and the best setting on all rows
+    _, fresh = R.grid_search(R.gbt({"maxIter": 1}), rows, grid, folds=2)
+    assert len(log.collect()) == 3 and all(r.rmse > 0 for r in log.collect()) and fresh.count() == 3
+
+
+def test_folds_are_packed_by_their_bytes(rated, monkeypatch):
+    rows = searched(rated).repartition(6)
+    small = trials.Folds.write(rows, 3, 42)
+    assert small.partitions == 1 and small.concurrent == rated.sparkSession.sparkContext.defaultParallelism
+    train, test = small.parts(1)
+    assert train.rdd.getNumPartitions() == 1 and train.count() + test.count() == rows.count() == small.all().count()
+    monkeypatch.setattr(trials, "PACK_BYTES", 2000)
+    large = trials.Folds.write(rows, 3, 42)
+    assert large.partitions > 4 and large.concurrent < small.concurrent
+    assert trials.best_of([{}, {}, {}], [None, 2.0, 2.0]) == 1 and trials.best_of([{}], [None]) == 0
+
+
+def test_blocks_follow_the_ratings():
+    assert [M.block_count(n, 8) for n in (0, 50_000, 250_000, 10_000_000)] == [1, 1, 3, 8]
+    assert M.block_count(10**10, 1000) == 2000 and M.block_count(10**9, 4000) == 4000
+
+
 def test_model_round_trip(spark, rated):
     from affinia.plans.learning import linear_model
 
