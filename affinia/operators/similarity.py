@@ -5,14 +5,17 @@ from __future__ import annotations
 import math
 import random
 from collections.abc import Iterator
+from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from affinia.functions.scalars import hash32, rounded
 from affinia.functions.vectors import dot, is_zero, l2_normalize
@@ -20,13 +23,16 @@ from affinia.operators.interactions import top_k_per
 from affinia.operators.scale import bucketed_row_number, dense_index, slices
 from affinia.session import materialise
 
-# Signature layout of the similarity job: 25 bands of 2 rows, pairs kept from 0.5.
+# Hashes of the plain signature, and the least similarity that the similarity job keeps.
 NUM_HASHES, THRESHOLD = 50, 0.5
-# Share of the pairs at the threshold that the bands have to find.
-RECALL = 0.95
 MODULUS = 2_147_483_647  # prime above every 31-bit index
-# Businesses of one user that are still joined with each other.
-HEAVY_USER = 1000
+SECOND_MODULUS = 2_147_483_629  # the prime below
+# Registers of a sketch, unless the threshold needs more.
+REGISTERS = 512
+# Share of the pairs at the threshold that share a band, and that also have enough equal registers.
+BAND_RECALL, AGREEMENT_RECALL = 0.96, 0.995
+RECALL = 0.95  # of both, with room
+DEVIATIONS = NormalDist().inv_cdf(AGREEMENT_RECALL)
 # Measured size of the item vectors up to which a copy goes to every executor.
 ITEM_BROADCAST_BYTES = 64 * 1024 * 1024
 
@@ -60,19 +66,111 @@ def set_groups(edges: DataFrame) -> DataFrame:
     return prints.join(firsts, ["size", "f1", "f2"]).select("business_id", "size", "representative")
 
 
-def hash_params(n: int = NUM_HASHES, seed: int = 42) -> list[tuple[int, int]]:
+def hash_params(n: int = NUM_HASHES, seed: int | str = 42) -> list[tuple[int, int]]:
     """(a, b) of each hash (a x + b) mod MODULUS, drawn independently by seed."""
     draw = random.Random(seed)
     return [(draw.randrange(1, MODULUS), draw.randrange(MODULUS)) for _ in range(n)]
 
 
-def rows_for(threshold: float, hashes: int = NUM_HASHES, recall: float = RECALL) -> int:
-    """Most rows per band with which a pair at the threshold shares a band with probability `recall`.
+@dataclass(frozen=True)
+class Layout:
+    """Bands of a sketch: `bands` times `rows` of its `registers`."""
 
-    One row per band finds the most; if even that falls short, more hashes are needed.
+    threshold: float
+    rows: int
+    bands: int
+    registers: int
+
+    @classmethod
+    def solve(cls, threshold: float, registers: int = REGISTERS, recall: float = BAND_RECALL) -> Layout:
+        """Most rows per band with which a pair at the threshold shares a band with probability `recall`.
+
+        More rows let fewer dissimilar pairs through and need more bands. Where even bands of one row
+        need more registers than given, there are as many as they need.
+        """
+        rows, bands = 1, cls._bands(threshold, 1, recall)
+        while (rows + 1) * cls._bands(threshold, rows + 1, recall) <= registers:
+            rows, bands = rows + 1, cls._bands(threshold, rows + 1, recall)
+        return cls(threshold, rows, bands, max(registers, rows * bands))
+
+    @staticmethod
+    def _bands(threshold: float, rows: int, recall: float) -> int:
+        if threshold >= 1.0:
+            return 1
+        return max(1, math.ceil(math.log(1 - recall) / math.log1p(-(threshold**rows))))
+
+    def least_agreement(self, n1: Column, n2: Column) -> Column:
+        """Equal registers that a pair of sets at the threshold reaches with probability `AGREEMENT_RECALL`.
+
+        Registers are drawn from the union of both sets, so a small union gives fewer independent ones.
+        A register is one byte, and bytes are equal by chance once in 256.
+        """
+        t, k = self.threshold, float(self.registers)
+        union = (n1 + n2) / F.lit(1.0 + t)
+        independent = F.lit(k) * union / (F.lit(k) + union)
+        least = F.lit(t) - F.lit(DEVIATIONS * math.sqrt(t * (1 - t))) / F.sqrt(independent)
+        return F.lit(k) * (least * F.lit(255.0) + F.lit(1.0)) / F.lit(256.0)
+
+
+def sketch_params(seed: int = 42) -> tuple[int, ...]:
+    """Factors and shifts of the hash of a member."""
+    draw = random.Random(f"sketch-{seed}")
+    return tuple(draw.randrange(1, SECOND_MODULUS) for _ in range(4))
+
+
+def fill_params(registers: int, seed: int = 42) -> list[tuple[int, int]]:
+    """(a, b) of each register: (a x + b) mod MODULUS orders the filled registers x that it may take its value from."""
+    return hash_params(registers, f"fill-{seed}")
+
+
+def _fill(found: list[tuple[int, int]], factor: np.ndarray, shift: np.ndarray) -> np.ndarray:
+    """All registers from the filled ones (number, value).
+
+    An empty register takes the value of the filled one that comes first in an order of its own, so two
+    sets choose the same one as often as they are similar, and independently in every register.
     """
-    fits = [r for r in range(1, hashes + 1) if 1 - (1 - threshold**r) ** (hashes // r) >= recall]
-    return max(fits, default=1)
+    number, value = (np.array(x, np.int64) for x in zip(*found))
+    out = np.full(len(factor), -1, np.int64)
+    out[number] = value
+    empty = np.flatnonzero(out < 0)
+    if len(empty):
+        order = (factor[empty, None] * number + shift[empty, None]) % MODULUS
+        out[empty] = value[order.argmin(axis=1)]
+    return out
+
+
+def register_sketch(edges: DataFrame, registers: int = REGISTERS, seed: int = 42) -> DataFrame:
+    """(business_id, registers, bytes): MinHash registers from one hash per member.
+
+    The hash of a member names its register and its value, and a register keeps its smallest value: one
+    aggregation with a row per register, however many members a set has. Empty registers are filled from
+    the others. `bytes` holds the low byte of each register.
+    """
+    a, b, c, d = sketch_params(seed)
+    factor, shift = (np.array(x, np.int64) for x in zip(*fill_params(registers, seed)))
+    h = ((F.lit(a) * F.col("user_idx") + F.lit(b)) % F.lit(MODULUS) * F.lit(c) + F.lit(d)) % F.lit(SECOND_MODULUS)
+    filled = (
+        edges.select("business_id", h.alias("h"))
+        .groupBy("business_id", (F.col("h") % registers).cast("int").alias("number")).agg(F.min("h").alias("h"))
+        .groupBy("business_id").agg(F.collect_list(F.struct("number", F.floor(F.col("h") / registers).cast("int").alias("value"))).alias("found"))
+    )
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = batch.column("found")
+            rows = [
+                _fill([(x["number"], x["value"]) for x in one], factor, shift) for one in found.to_pylist()  # at most `registers` each
+            ]
+            flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+            ends = np.arange(len(rows) + 1, dtype=np.int32) * registers
+            low = [(row & 255).astype(np.uint8).tobytes() for row in rows]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("business_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.astype(np.int32))), pa.array(low, pa.binary())],
+                ["business_id", "registers", "bytes"],
+            )
+
+    fields = [edges.schema["business_id"], *T.StructType.fromDDL("registers array<int>, bytes binary").fields]
+    return filled.mapInArrow(fill, T.StructType(fields))
 
 
 def minhash(edges: DataFrame, params: list[tuple[int, int]], modulus: int = MODULUS) -> DataFrame:
@@ -101,18 +199,20 @@ def _near_sizes(rows: DataFrame, keys: list[str], threshold: float) -> DataFrame
     cannot match each other; the remaining test is in the join condition, so
     hopeless pairs are never emitted.
     """
-    small = rows.withColumn("cls", _size_class(F.col("size"), threshold)).alias("s")
-    big = (
-        rows.withColumn("c", _size_class(F.col("size"), threshold))
-        .withColumn("cls", F.explode(F.array(F.col("c"), F.col("c") - 1) if threshold < 1.0 else F.array("c")))
-        .drop("c").alias("g")
-    )
+    small, big = (side.alias(name) for side, name in zip(_size_sides(rows, threshold), ("s", "g")))
     on = _may_match(threshold)
     for key in [*keys, "cls"]:
         on = on & (F.col(f"s.{key}") == F.col(f"g.{key}"))
     return small.join(big, on).select(*_pair_columns()).distinct()
 
 
+def _size_sides(rows: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join of sets with size class `cls`: the larger set meets its own class and the one below."""
+    c = _size_class(F.col("size"), threshold)
+    big = rows.withColumn("_c", c).withColumn("cls", F.explode(F.array(F.col("_c"), F.col("_c") - 1) if threshold < 1.0 else F.array("_c")))
+    return rows.withColumn("cls", c), big.drop("_c")
+
+
 def _may_match(threshold: float) -> Column:
     """The smaller set `s` is large enough for `g`; each unordered pair passes once."""
     smaller = (F.col("s.size") < F.col("g.size")) | (
@@ -128,25 +228,32 @@ def _pair_columns() -> list[Column]:
     ]
 
 
-def lsh_candidates(signatures: DataFrame, rows_per_band: int | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """Businesses that share a band: `signatures` is (business_id, size, signature).
+def lsh_candidates(sketches: DataFrame, layout: Layout) -> DataFrame:
+    """Pairs that share a band and agree in enough registers to reach the threshold.
 
-    Without `rows_per_band` the bands follow from the threshold.
+    `sketches` is (business_id, size, registers, bytes). Only the band keys meet in the join; the bytes of
+    both sides are compared before any set is read.
     """
-    rows_per_band = rows_per_band or rows_for(threshold)
-    bands = F.floor(F.size("signature") / F.lit(rows_per_band)).cast("int")
-    banded = signatures.select(
-        "business_id", "size",
-        F.explode(
-            F.transform(
-                F.sequence(F.lit(0), bands - 1),
-                lambda b: F.struct(
-                    b.alias("band"), F.slice("signature", b * rows_per_band + 1, rows_per_band).alias("key")
-                ),
-            )
-        ).alias("x"),
-    ).select("business_id", "size", F.col("x.band").alias("band"), F.col("x.key").alias("key"))
-    return _near_sizes(banded, ["band", "key"], threshold)
+    keys = F.transform(
+        F.sequence(F.lit(0), F.lit(layout.bands - 1)),
+        lambda i: F.struct(i.alias("band"), F.xxhash64(F.slice("registers", i * layout.rows + 1, layout.rows)).alias("key")),
+    )
+    banded = sketches.select("business_id", "size", F.explode(keys).alias("x")).select("business_id", "size", "x.band", "x.key")
+    met = _near_sizes(banded, ["band", "key"], layout.threshold)
+    for i in (1, 2):
+        side = sketches.select(F.col("business_id").alias(f"business_id_{i}"), F.col("size").alias(f"n{i}"), F.col("bytes").alias(f"bytes{i}"))
+        met = met.join(side, f"business_id_{i}")
+    counted = met.withColumn("agree", _equal_bytes("bytes1", "bytes2"))
+    return counted.where(F.col("agree") >= layout.least_agreement(F.col("n1"), F.col("n2"))).select("business_id_1", "business_id_2")
+
+
+@F.arrow_udf(T.IntegerType())
+def _equal_bytes(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Places where two byte strings of one length are equal."""
+    if not len(a):
+        return pa.array([], pa.int32())
+    x, y = (np.frombuffer(b"".join(side.to_pylist()), np.uint8).reshape(len(a), -1) for side in (a, b))
+    return pa.array((x == y).sum(axis=1).astype(np.int32))
 
 
 def _common(pairs: DataFrame, edges: DataFrame, n1: str, n2: str) -> DataFrame:
@@ -188,24 +295,21 @@ def jaccard(candidates: DataFrame, edges: DataFrame, threshold: float = THRESHOL
     return _above(_common(_with_sizes(candidates, sizes), edges, "n1", "n2"), threshold)
 
 
-def similar_businesses(
-    edges: DataFrame, threshold: float = THRESHOLD, params: list[tuple[int, int]] | None = None,
-    rows_per_band: int | None = None,
-) -> DataFrame:
-    """Similar pairs by MinHash bands with exact verification, smaller id first.
+def similar_businesses(edges: DataFrame, threshold: float = THRESHOLD, seed: int = 42) -> DataFrame:
+    """Similar pairs by bands of register sketches with exact verification, smaller id first.
 
-    Businesses with equal user sets are linked to their representative with
-    similarity 1; other pairs are between representatives.
+    A pair at the threshold is found with probability `RECALL`, whatever the threshold. Businesses with
+    equal user sets are linked to their representative with similarity 1; other pairs are between
+    representatives.
     """
     edges = materialise(edges, "edges")
     groups = materialise(set_groups(edges), "set-groups")
     reps = groups.where("business_id = representative").select("business_id", "size")
     rep_edges = edges.join(reps, "business_id", "left_semi")
-    params = params or hash_params()
-    rows_per_band = rows_per_band or rows_for(threshold, len(params))
-    signatures = materialise(minhash(rep_edges, params).join(reps, "business_id"), "signatures")
-    pairs = jaccard(lsh_candidates(signatures, rows_per_band, threshold), rep_edges, threshold)
-    return pairs.unionByName(_copies(groups))
+    layout = Layout.solve(threshold)
+    sketches = materialise(register_sketch(rep_edges, layout.registers, seed).join(reps, "business_id"), "sketches")
+    candidates = materialise(lsh_candidates(sketches, layout), "candidates")
+    return jaccard(candidates, rep_edges, threshold).unionByName(_copies(groups))
 
 
 def _copies(groups: DataFrame) -> DataFrame:
@@ -215,63 +319,54 @@ def _copies(groups: DataFrame) -> DataFrame:
     )
 
 
-def jaccard_all(edges: DataFrame, threshold: float = THRESHOLD, heavy: int = HEAVY_USER) -> DataFrame:
+def jaccard_all(edges: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Every pair with Jaccard of at least `threshold`, exactly: the yardstick for
     the banded search, in the same representative form.
 
-    Users with up to `heavy` businesses are counted by joining their businesses
-    with each other. More active users would join too many: their share of the
-    overlap is only looked up for pairs that can still reach the threshold, which
-    are pairs that met through a light user or share a heavy one in the first
-    |x| - ceil(t |x|) + 1 users of both sets, ordered from rare to frequent.
+    The users of every set are ordered from rare to frequent. Two sets at the threshold share a user in
+    the first |x| - ceil(t |x|) + 1 of both, so only these prefixes are joined, which leaves the most
+    active users out of large sets. The users that two prefixes share are counted, and with the places
+    behind them they bound the whole overlap from above: only pairs that can still reach the threshold
+    are looked up in the full sets.
     """
     edges = materialise(edges, "edges")
     groups = materialise(set_groups(edges), "set-groups")
     reps = groups.where("business_id = representative").select("business_id", "size")
-    rep_edges = edges.join(reps, "business_id")
-    frequency = rep_edges.groupBy("user_idx").agg(F.count("*").alias("f"))
-    is_heavy = F.col("f") > heavy
-    rated = materialise(rep_edges.join(frequency, "user_idx"), "rated-edges")
-    light_edges = rated.where(~is_heavy)
-    pair = ["business_id_1", "business_id_2"]
-    on = _may_match(threshold) & (F.col("s.user_idx") == F.col("g.user_idx"))
-    light = (
-        light_edges.alias("s").join(light_edges.alias("g"), on)
-        .groupBy(*_pair_columns()).agg(F.count("*").alias("light"))
-    )
-    heavy_edges = materialise(rated.where(is_heavy), "heavy-edges")
-    if heavy_edges.isEmpty():
-        return _above(_with_sizes(light.withColumn("common", F.col("light")), reps), threshold).unionByName(_copies(groups))
-
-    light = materialise(light, "light-overlap")
-    order_key = F.concat(F.lpad(F.col("f").cast("string"), 19, "0"), F.lpad(F.col("user_idx").cast("string"), 19, "0"))
-    keyed = heavy_edges.withColumn("order_key", order_key)
-    tokens = dense_index(keyed, "order_key", "token")
-    n_tokens = tokens.agg(F.count("*")).scalar()
-    n_heavy = heavy_edges.groupBy("business_id").agg(F.count("*").alias("n_heavy"))
-    ordered = (
-        keyed.join(tokens, "order_key").join(n_heavy, "business_id")
-        .withColumn("bucket", F.floor(F.col("token") * slices(F.col("n_heavy")) / n_tokens))
-    )
-    # heavy users sort behind all light users of a set
-    placed = bucketed_row_number(ordered, ["business_id"], "bucket", ["token"], "at").withColumn(
-        "pos", F.col("size") - F.col("n_heavy") + F.col("at")
-    )
+    rep_edges = materialise(edges.join(reps, "business_id"), "rep-edges")
+    placed = materialise(_placed(rep_edges), "placed")
     keep = F.col("size") - F.ceil(F.lit(threshold) * F.col("size") - F.lit(1e-9)) + 1
-    prefix = placed.where(F.col("pos") <= keep).select("business_id", "size", "token")
-    met = light.select(*pair).unionByName(_near_sizes(prefix, ["token"], threshold)).distinct()
-    sides = [
-        n_heavy.select(F.col("business_id").alias(p), F.col("n_heavy").alias(f"h{i}")) for i, p in enumerate(pair, 1)
-    ]
-    known = _with_sizes(met.join(light, pair, "left").fillna(0, ["light"]), reps)
-    known = known.join(sides[0], pair[0], "left").join(sides[1], pair[1], "left").fillna(0, ["h1", "h2"])
-    needed = F.lit(threshold / (1.0 + threshold)) * (F.col("n1") + F.col("n2")) - 1e-9
-    hopeful = materialise(known.where(F.col("light") + F.least("h1", "h2") >= needed), "hopeful")
-    found = _common(hopeful.select(*pair, "h1", "h2"), heavy_edges, "h1", "h2").withColumnRenamed("common", "heavy")
-    total = hopeful.join(found.select(*pair, "heavy"), pair, "left").withColumn(
-        "common", F.col("light") + F.coalesce("heavy", F.lit(0))
+    prefix = placed.where(F.col("pos") <= keep)
+    ends = prefix.groupBy("business_id").agg(F.max("token").alias("last"), F.max("pos").alias("kept"))
+    counted = _prefix_overlap(prefix.join(ends, "business_id"), threshold)
+    # users that are not in both prefixes stand behind the end of the prefix that ends first
+    s_first = F.col("s_last") <= F.col("g_last")
+    rest = F.when(s_first, F.least(F.col("s_size") - F.col("s_kept"), F.col("g_size") - F.col("g_at"))).otherwise(
+        F.least(F.col("g_size") - F.col("g_kept"), F.col("s_size") - F.col("s_at"))
+    )
+    needed = F.lit(threshold / (1.0 + threshold)) * (F.col("s_size") + F.col("g_size")) - 1e-9
+    hopeful = materialise(counted.where(F.col("met") + rest >= needed).select("business_id_1", "business_id_2"), "hopeful")
+    return jaccard(hopeful, rep_edges.select("business_id", "user_idx"), threshold).unionByName(_copies(groups))
+
+
+def _placed(rep_edges: DataFrame) -> DataFrame:
+    """(business_id, size, token, pos): users numbered from rare to frequent, and their place in each set."""
+    frequency = rep_edges.groupBy("user_idx").agg(F.count("*").alias("f"))
+    order = frequency.select(F.struct("f", "user_idx").alias("order_key"))
+    tokens = dense_index(order, "order_key", "token").select(F.col("order_key.user_idx").alias("user_idx"), "token")
+    n_tokens = frequency.agg(F.count("*")).scalar()
+    numbered = rep_edges.join(tokens, "user_idx").select("business_id", "size", "token")
+    cut = numbered.withColumn("bucket", F.floor(F.col("token") * slices(F.col("size")) / n_tokens))
+    return bucketed_row_number(cut, ["business_id"], "bucket", ["token"], "pos").select("business_id", "size", "token", "pos")
+
+
+def _prefix_overlap(prefix: DataFrame, threshold: float) -> DataFrame:
+    """Per pair of sets: the users that both prefixes share, and the last places where they meet."""
+    on = _may_match(threshold) & (F.col("s.token") == F.col("g.token")) & (F.col("s.cls") == F.col("g.cls"))
+    small, big = (side.alias(name) for side, name in zip(_size_sides(prefix, threshold), ("s", "g")))
+    first = [F.first(f"{x}.{c}").alias(f"{x}_{c}") for x in ("s", "g") for c in ("size", "last", "kept")]
+    return small.join(big, on).groupBy(*_pair_columns()).agg(
+        F.count("*").alias("met"), F.max("s.pos").alias("s_at"), F.max("g.pos").alias("g_at"), *first
     )
-    return _above(total, threshold).unionByName(_copies(groups))
 
 
 # --- vectors ---------------------------------------------------------------

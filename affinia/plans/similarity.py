@@ -1,17 +1,20 @@
 """Set and vector similarity."""
 
+import math
+
 from pyspark.sql import functions as F
 
 from affinia.functions.scalars import rounded
 from affinia.operators import similarity as L
 from affinia.operators.interactions import index_ids
 from affinia.plans.factorization import VECTORS, business_vectors, user_vectors
-from affinia.plans.joins import EDGES, bands_sql, minhash_sql
+from affinia.plans.joins import EDGES, minhash_sql
 from affinia.plans.registry import h32, query, r
+from affinia.session import materialise
 
 # The fixture's largest Jaccard is 0.2; the job's own 0.5 is used by the unit tests.
 THRESHOLD = 0.17
-BANDS = bands_sql(L.rows_for(THRESHOLD))
+LAYOUT = L.Layout.solve(THRESHOLD)
 
 
 def edges(t):
@@ -28,10 +31,37 @@ common AS (SELECT a.business_id AS business_id_1, b.business_id AS business_id_2
   WHERE a.business_id IN (SELECT rep FROM reps) AND b.business_id IN (SELECT rep FROM reps) GROUP BY ALL),
 jac AS (SELECT c.business_id_1, c.business_id_2, c.c / (x.n + y.n - c.c) AS similarity FROM common c
   JOIN reps x ON x.business_id = business_id_1 JOIN reps y ON y.business_id = business_id_2)"""
-CANDIDATES = f"""candidates AS (SELECT DISTINCT a.business_id AS business_id_1, b.business_id AS business_id_2
+
+
+def sketch_sql() -> str:
+    """(business_id, number, value): the registers, empty ones filled from the first filled one in an order of their own."""
+    a, b, c, d = L.sketch_params()
+    k, p, q = LAYOUT.registers, L.MODULUS, L.SECOND_MODULUS
+    orders = ", ".join(f"({i}, {x}, {y})" for i, (x, y) in enumerate(L.fill_params(k)))
+    return f"""fill_order(number, e, f) AS (VALUES {orders}),
+hashed AS (SELECT business_id, ((CAST({a} AS BIGINT) * user_idx + {b}) % {p} * {c} + {d}) % {q} AS h FROM edges),
+filled AS (SELECT business_id, h % {k} AS number, min(h) // {k} AS value FROM hashed GROUP BY business_id, h % {k}),
+empty AS (SELECT business_id, number FROM (SELECT DISTINCT business_id FROM filled) CROSS JOIN range({k}) AS r(number)
+  EXCEPT SELECT business_id, number FROM filled),
+registers AS (SELECT business_id, number, value FROM filled UNION ALL
+  SELECT x.business_id, x.number, arg_min(y.value, (CAST(e AS BIGINT) * y.number + f) % {p})
+  FROM empty x JOIN filled y ON x.business_id = y.business_id JOIN fill_order o ON o.number = x.number GROUP BY x.business_id, x.number)"""
+
+
+_UNION = f"((x.n + y.n) / {1.0 + THRESHOLD!r})"
+_INDEPENDENT = f"({float(LAYOUT.registers)!r} * {_UNION} / ({float(LAYOUT.registers)!r} + {_UNION}))"
+_LEAST = f"{THRESHOLD!r} - {L.DEVIATIONS * math.sqrt(THRESHOLD * (1 - THRESHOLD))!r} / sqrt({_INDEPENDENT})"
+BANDS = f"""{EDGES}, {sketch_sql()},
+bands AS (SELECT business_id, number // {LAYOUT.rows} AS band, list(value ORDER BY number) AS key FROM registers
+  WHERE number < {LAYOUT.rows * LAYOUT.bands} GROUP BY business_id, number // {LAYOUT.rows})"""
+CANDIDATES = f"""banded AS (SELECT DISTINCT a.business_id AS business_id_1, b.business_id AS business_id_2
   FROM bands a JOIN bands b ON a.band = b.band AND a.key = b.key AND a.business_id < b.business_id
-  JOIN reps x ON x.business_id = a.business_id JOIN reps y ON y.business_id = b.business_id
-  WHERE least(x.n, y.n) >= {THRESHOLD} * greatest(x.n, y.n))"""
+  WHERE a.business_id IN (SELECT rep FROM reps) AND b.business_id IN (SELECT rep FROM reps)),
+agreeing AS (SELECT business_id_1, business_id_2, count(*) FILTER (v.value % 256 = w.value % 256) AS agree
+  FROM banded JOIN registers v ON v.business_id = business_id_1 JOIN registers w ON w.business_id = business_id_2 AND w.number = v.number
+  GROUP BY business_id_1, business_id_2),
+candidates AS (SELECT business_id_1, business_id_2 FROM agreeing JOIN reps x ON x.business_id = business_id_1 JOIN reps y ON y.business_id = business_id_2
+  WHERE least(x.n, y.n) >= {THRESHOLD} * greatest(x.n, y.n) AND agree >= {float(LAYOUT.registers)!r} * (({_LEAST}) * 255e0 + 1e0) / 256e0)"""
 
 
 @query("business_user_sets", "SELECT business_id, user_idx FROM edges", EDGES)
@@ -46,9 +76,10 @@ def minhash_signature(t):
 
 @query("lsh_candidates", "SELECT * FROM candidates", f"{BANDS}, {GROUPS}, {CANDIDATES}")
 def lsh_candidates(t):
-    sets = edges(t)
+    sets = materialise(edges(t), "edges")
     reps = L.set_groups(sets).where("business_id = representative").select("business_id", "size")
-    return L.lsh_candidates(L.minhash(sets, L.hash_params()).join(reps, "business_id"), threshold=THRESHOLD)
+    sketches = L.register_sketch(sets, LAYOUT.registers).join(reps, "business_id")
+    return L.lsh_candidates(materialise(sketches, "sketches"), LAYOUT)
 
 
 @query("jaccard_verify", f"SELECT business_id_1, business_id_2, {r('similarity')} AS similarity FROM jac JOIN candidates USING (business_id_1, business_id_2) WHERE similarity >= {THRESHOLD}",

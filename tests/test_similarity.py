@@ -49,15 +49,40 @@ def test_fixture_pair(spark):
     assert found == {("x", "y"): 0.5}
 
 
-@pytest.mark.parametrize("seed,t,heavy", [(1, 0.5, 1000), (2, 0.5, 4), (3, 0.3, 2), (4, 1.0, 3), (5, 0.17, 1)])
-def test_jaccard_all(spark, tiny_buckets, seed, t, heavy):
+@pytest.mark.parametrize("seed,t", [(1, 0.5), (2, 0.5), (3, 0.3), (4, 1.0), (5, 0.17), (6, 0.8), (9, 0.05)])
+def test_jaccard_all(spark, tiny_buckets, seed, t):
     sets = random_sets(seed)
-    assert collect(L.jaccard_all(edges(spark, sets), t, heavy)) == pytest.approx(brute(sets, t))
+    assert collect(L.jaccard_all(edges(spark, sets), t)) == pytest.approx(brute(sets, t))
 
 
-def test_only_heavy_users(spark):
+def test_only_users_of_all_sets(spark):
     sets = {f"b{i}": {1, 2, 3} | ({10 + i} if i < 3 else set()) for i in range(6)}
-    assert collect(L.jaccard_all(edges(spark, sets), 0.6, heavy=2)) == pytest.approx(brute(sets, 0.6))
+    assert collect(L.jaccard_all(edges(spark, sets), 0.6)) == pytest.approx(brute(sets, 0.6))
+
+
+def test_prefixes_bound_the_overlap(spark):
+    """Few pairs that share a user reach the full sets, whose overlap the prefixes bound from above."""
+    rng = random.Random(11)
+    sets = {f"{i:03d}": set(rng.sample(range(300), 40)) for i in range(60)}
+    e = edges(spark, sets)
+    sizes = e.groupBy("business_id").count().withColumnRenamed("count", "size")
+    placed = L._placed(e.join(sizes, "business_id")).collect()
+    frequency = {u: sum(u in s for s in sets.values()) for u in range(300)}
+    for b, users in sets.items():
+        order = sorted(users, key=lambda u: (frequency[u], u))
+        rows = sorted((r.pos, r.token) for r in placed if r.business_id == b)
+        assert [p for p, _ in rows] == list(range(1, 41)) and len({t for _, t in rows}) == 40
+        ranks = sorted(frequency, key=lambda u: (frequency[u], u))
+        present = [u for u in ranks if frequency[u]]
+        assert [present[t] for _, t in rows] == order
+    seen = []
+    keep = L.jaccard
+    try:
+        L.jaccard = lambda pairs, *rest: seen.append(pairs.count()) or keep(pairs, *rest)
+        assert collect(L.jaccard_all(e, 0.3)) == pytest.approx(brute(sets, 0.3))
+    finally:
+        L.jaccard = keep
+    assert seen[0] < 200  # of 1770
 
 
 def test_banded_search_finds_a_subset_and_most(spark):
@@ -68,33 +93,64 @@ def test_banded_search_finds_a_subset_and_most(spark):
     assert len(found) >= 0.9 * len(exact)
 
 
-@pytest.mark.parametrize("t, rows", [(0.17, 1), (0.5, 2), (0.8, 4)])
-def test_bands_find_what_their_theory_says(spark, t, rows):
-    """Pairs of known similarity: the share found lies within three deviations of 1 - (1 - s^r)^b."""
-    assert L.rows_for(t) >= rows
-    rng, sets, chance = random.Random(12), {}, []
-    for i in range(300):
-        shared = round(40 * t / (1 + t)) + rng.randrange(3)
-        users = rng.sample(range(10**6), 40 - shared)
-        common, half = users[:shared], len(users) // 2
-        rest = users[shared:]
-        sets[f"{i:03d}a"], sets[f"{i:03d}b"] = set(common + rest[:half]), set(common + rest[half:])
-        s = len(sets[f"{i:03d}a"] & sets[f"{i:03d}b"]) / len(sets[f"{i:03d}a"] | sets[f"{i:03d}b"])
-        r = L.rows_for(t)
-        chance.append(1 - (1 - s**r) ** (L.NUM_HASHES // r))
-    e = edges(spark, sets)
-    sizes = e.groupBy("business_id").count().withColumnRenamed("count", "size")
-    pairs = L.lsh_candidates(L.minhash(e, L.hash_params()).join(sizes, "business_id"), threshold=t).collect()
-    found = sum(p.business_id_1[:3] == p.business_id_2[:3] for p in pairs)
-    spread = sum(p * (1 - p) for p in chance) ** 0.5
-    assert abs(found - sum(chance)) <= 3 * spread + 1
+THRESHOLDS = (0.02, 0.03, 0.05, 0.1, 0.17, 0.3, 0.5, 0.8, 0.95)
 
 
-def test_rows_for_the_threshold():
-    assert L.rows_for(0.17) == 1 and L.rows_for(0.5) == 2
-    for t in (0.17, 0.3, 0.5, 0.8, 0.95):
-        r = L.rows_for(t)
-        assert 1 - (1 - t**r) ** (50 // r) >= L.RECALL
+def pairs_at(t, n, rng, size=200):
+    """Sets in pairs of a similarity of t or just above."""
+    sets = {}
+    for i in range(n):
+        shared = int(np.ceil(2 * size * t / (1 + t)))
+        users = rng.sample(range(10**6), 2 * size - shared)
+        sets[f"{i:03d}a"], sets[f"{i:03d}b"] = set(users[:size]), set(users[size - shared :])
+    return sets
+
+
+def sketched(spark, sets, layout, seed=42):
+    e = edges(spark, sets)
+    sizes = e.groupBy("business_id").count().withColumnRenamed("count", "size")
+    return L.register_sketch(e, layout.registers, seed).join(sizes, "business_id")
+
+
+@pytest.mark.parametrize("t", THRESHOLDS)
+def test_bands_follow_the_threshold(t):
+    layout = L.Layout.solve(t)
+    found = 1 - (1 - t**layout.rows) ** layout.bands
+    assert found >= L.BAND_RECALL and found + L.AGREEMENT_RECALL - 1 >= L.RECALL
+    assert layout.rows * layout.bands <= layout.registers
+    more = L.Layout._bands(t, layout.rows + 1, L.BAND_RECALL) * (layout.rows + 1)
+    assert more > L.REGISTERS  # one more row would need more registers
+
+
+@pytest.mark.parametrize("t, size", [(0.02, 200), (0.05, 60), (0.17, 200), (0.17, 12), (0.5, 40), (0.8, 900)])
+def test_recall_at_the_threshold(spark, t, size):
+    layout = L.Layout.solve(t)
+    sets = pairs_at(t, 250, random.Random(12), size)
+    found = {(p.business_id_1, p.business_id_2) for p in L.lsh_candidates(sketched(spark, sets, layout), layout).collect()}
+    hits = sum((f"{i:03d}a", f"{i:03d}b") in found for i in range(250))
+    assert hits >= 0.95 * 250 - 3 * (250 * 0.95 * 0.05) ** 0.5
+
+
+def test_few_dissimilar_pairs_are_verified(spark):
+    """Sets with a sparse overlap: under a tenth of all pairs reaches the full sets."""
+    rng = random.Random(13)
+    sets = {f"{i:03d}": set(rng.sample(range(4000), 300)) for i in range(120)}  # similarity about 0.04
+    layout = L.Layout.solve(0.17)
+    found = L.lsh_candidates(sketched(spark, sets, layout), layout).count()
+    assert found < 0.1 * 120 * 119 / 2
+
+
+def test_sketch_matches_its_definition(spark):
+    sets = {"small": {5}, "three": {1, 2, 10**6}, "many": set(range(0, 3000, 7))}
+    a, b, c, d = L.sketch_params()
+    order = L.fill_params(64)
+    for r in L.register_sketch(edges(spark, sets), 64).collect():
+        filled = {}
+        for u in sets[r.business_id]:
+            h = ((a * u + b) % L.MODULUS * c + d) % L.SECOND_MODULUS
+            filled[h % 64] = min(filled.get(h % 64, h // 64), h // 64)
+        want = [filled[i] if i in filled else filled[min(filled, key=lambda j: (order[i][0] * j + order[i][1]) % L.MODULUS)] for i in range(64)]
+        assert r.registers == want and list(r.bytes) == [x & 255 for x in want]
 
 
 def test_minhash_matches_its_definition(spark):
