@@ -60,66 +60,78 @@ def slices(rows: Column) -> Column:
     return F.lit(1) + F.floor(rows / F.lit(ROWS_PER_BUCKET))
 
 
-def exact_quantiles(
-    df: DataFrame, keys: list[str], value: str, probs: list[float], accuracy: int = 10_000
-) -> DataFrame:
-    """Linear-interpolated quantiles per key: (keys, p, quantile).
-
-    `percentile` would hold every distinct value of a group in one task. Here a
-    bounded sketch brackets each quantile, equal values are counted map-side,
-    everything under the bracket is added up, and only the few values inside it
-    are sorted. The brackets are wider than the error of the sketch.
+# Cells that a bracket of a quantile is cut into.
+CELLS = 1024
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float]) -> DataFrame:
+    """Linear-interpolated quantiles per key: (keys, p, quantile). Nulls and NaN do not count.
+
+    `percentile` would hold every distinct value of a group in one task. Here the values of each (key, p)
+    start as one bracket, from the least to the largest. All brackets that hold more rows than a slice are
+    cut into cells at once, the rows of every cell are counted map-side, and a bracket shrinks to the values
+    of the cell that holds the wanted ranks. Two neighbouring ranks in different cells are the largest value
+    of one and the least of the other. The ends of a bracket are values and lie in different cells, so each
+    round leaves fewer; rounds alternate between even steps and even steps of the logarithm, which takes care
+    of outliers. What remains, at most a slice per bracket, is sorted.
     """
-    flat = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("v"))
-    margin = 4.0 / accuracy
-    low = [max(0.0, p - margin) for p in probs]
-    high = [min(1.0, p + margin) for p in probs]
-    small = F.col("rows") <= accuracy
-    brackets = (
-        flat.groupBy(*keys)
-        .agg(
-            F.count("*").alias("rows"),
-            F.percentile_approx("v", low, accuracy).alias("low"),
-            F.percentile_approx("v", high, accuracy).alias("high"),
-            F.min("v").alias("least"),
-            F.max("v").alias("most"),
-        )
-        .select(
-            *keys, "rows", "least", "most",
-            F.explode(F.arrays_zip(F.array(*[F.lit(p) for p in probs]).alias("p"), "low", "high")).alias("q"),
-        )
-        .select(
-            *keys, "rows", F.col("q.p").alias("p"),
-            # the ends of the range are exact, and a small group is its own bracket:
-            # there the margin would be less than the two ranks a quantile needs
-            F.when((F.col("q.p") <= margin) | small, F.col("least")).otherwise(F.col("q.low")).alias("low"),
-            F.when((F.col("q.p") >= 1 - margin) | small, F.col("most")).otherwise(F.col("q.high")).alias("high"),
-        )
+    number = F.col(value).cast("double")
+    flat = materialise(df.where(number.isNotNull() & ~F.isnan(number)).select(*keys, number.alias("v")), "values")
+    ends = flat.groupBy(*keys).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    asked = ends.where("n > 0").withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
+    h, none = (F.col("n") - 1) * F.col("p"), F.lit(None).cast("double")
+    brackets = asked.select(*keys, "p", h.alias("h"), "lo", "hi", F.lit(0).cast("bigint").alias("before"), "n", none.alias("a"), none.alias("b"))
+    even = True
+    while True:
+        brackets = materialise(brackets, "brackets")
+        wide = (F.col("n") > ROWS_PER_BUCKET) & (F.col("lo") < F.col("hi")) & F.col("a").isNull()
+        if brackets.where(wide).isEmpty():
+            break
+        brackets = brackets.where(~wide).unionByName(_narrower(flat, brackets.where(wide), keys, even))
+        even = not even
+    done = F.col("a").isNotNull() | (F.col("lo") == F.col("hi"))
+    found = brackets.where(done).select(*keys, "p", "h", F.coalesce("a", "lo").alias("a"), F.coalesce("b", "lo").alias("b"))
+    left = _inside(flat, brackets.where(~done), keys).groupBy(*keys, "p", "h", "before", "v").agg(F.count("*").alias("c"))
+    upto = W.partitionBy(*keys, "p").orderBy("v").rowsBetween(W.unboundedPreceding, 0)
+    placed = left.withColumn("end", F.col("before") + F.sum("c").over(upto)).withColumn("start", F.col("end") - F.col("c"))
+    ranked = placed.groupBy(*keys, "p", "h").agg(
+        *[F.max(F.when(_holds(rank), F.col("v"))).alias(name) for name, rank in (("a", F.floor("h")), ("b", F.ceil("h")))]
     )
-    counted = flat.groupBy(*keys, "v").agg(F.count("*").alias("c"))
+    between = F.col("a") + (F.col("b") - F.col("a")) * (F.col("h") - F.floor("h"))
+    return found.unionByName(ranked).select(*keys, "p", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(between).alias("quantile"))
+
+
+def _holds(rank: Column) -> Column:
+    return (F.col("start") <= rank) & (rank < F.col("end"))
+
+
+def _inside(flat: DataFrame, brackets: DataFrame, keys: list[str]) -> DataFrame:
+    """Every value with each bracket of its key that it lies in."""
     if keys:
-        paired = counted.join(brackets, keys)
+        met = flat.join(brackets, keys)
     else:  # one bracket per probability, handed to every row as one small array
         listed = brackets.agg(F.collect_list(F.struct(*brackets.columns))).scalar()
-        paired = counted.withColumn("q", F.explode(listed)).select("v", "c", "q.*")
-    inside = (
-        paired.where(F.col("v") <= F.col("high"))
-        .groupBy(*keys, "p", "rows", F.when(F.col("v") >= F.col("low"), F.col("v")).alias("v"))
-        .agg(F.sum("c").alias("c"))
-    )
-    upto = W.partitionBy(*keys, "p").orderBy(F.asc_nulls_first("v")).rowsBetween(W.unboundedPreceding, 0)
-    target = (F.col("rows") - 1) * F.col("p")
-    placed = inside.withColumn("end", F.sum("c").over(upto)).withColumn("start", F.col("end") - F.col("c"))
+        met = flat.withColumn("q", F.explode(listed)).select("v", "q.*")
+    return met.where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
 
-    def at(rank: Column) -> Column:
-        return F.max(F.when((F.col("start") <= rank) & (rank < F.col("end")), F.col("v")))
 
-    return (
-        placed.withColumn("h", target)
-        .groupBy(*keys, "p", "h")
-        .agg(at(F.floor("h")).alias("a"), at(F.ceil("h")).alias("b"))
-        .select(
-            *keys, "p",
-            (F.col("a") + (F.col("b") - F.col("a")) * (F.col("h") - F.floor("h"))).alias("quantile"),
-        )
+def _narrower(flat: DataFrame, brackets: DataFrame, keys: list[str], even: bool) -> DataFrame:
+    """The brackets shrunk to the cell with their ranks, or with `a` and `b` where these lie in two cells."""
+    v, lo, hi = ((F.col(c) if even else F.asinh(c)) for c in ("v", "lo", "hi"))
+    at = F.least(F.greatest(F.floor((v - lo) / F.nullif(hi - lo, F.lit(0.0)) * CELLS), F.lit(0)), F.lit(CELLS - 1))
+    cell = F.when(F.col("v") == F.col("hi"), CELLS).when(F.col("v") == F.col("lo"), -1).otherwise(F.coalesce(at, F.lit(0)))
+    counted = _inside(flat, brackets, keys).groupBy(*keys, "p", "h", "before", cell.cast("int").alias("cell")).agg(
+        F.count("*").alias("c"), F.min("v").alias("least"), F.max("v").alias("most")
+    )
+    upto = W.partitionBy(*keys, "p").orderBy("cell").rowsBetween(W.unboundedPreceding, 0)  # a row per cell
+    placed = counted.withColumn("end", F.col("before") + F.sum("c").over(upto)).withColumn("start", F.col("end") - F.col("c"))
+    one, two = _holds(F.floor("h")), _holds(F.ceil("h"))
+    picked = placed.groupBy(*keys, "p", "h").agg(
+        *[F.max(F.when(one, F.col(c))).alias(name) for name, c in (("lo", "least"), ("hi", "most"), ("start", "start"), ("n", "c"))],
+        F.max(F.when(two, F.col("start"))).alias("other"), F.max(F.when(two, F.col("least"))).alias("b"),
+    )
+    apart = F.col("start") < F.col("other")
+    return picked.select(
+        *keys, "p", "h", "lo", "hi", F.col("start").alias("before"), "n",
+        F.when(apart, F.col("hi")).alias("a"), F.when(apart, F.col("b")).alias("b"),
     )

@@ -9,7 +9,6 @@ from dataclasses import dataclass
 from statistics import NormalDist
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -19,7 +18,6 @@ from pyspark.sql import types as T
 
 from affinia.functions.scalars import hash32, rounded
 from affinia.functions.vectors import dot, is_zero, l2_normalize
-from affinia.operators.interactions import top_k_per
 from affinia.operators.scale import bucketed_row_number, dense_index, slices
 from affinia.session import materialise
 
@@ -33,8 +31,6 @@ REGISTERS = 512
 BAND_RECALL, AGREEMENT_RECALL = 0.96, 0.995
 RECALL = 0.95  # of both, with room
 DEVIATIONS = NormalDist().inv_cdf(AGREEMENT_RECALL)
-# Measured size of the item vectors up to which a copy goes to every executor.
-ITEM_BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 # --- sets of users ---------------------------------------------------------
@@ -409,64 +405,6 @@ def cosine_by_label(df: DataFrame, label: str, vec: str) -> DataFrame:
     return total.select("label_a", "label_b", pairs.alias("n_pairs"), (inner / F.nullif(pairs, F.lit(0))).alias("mean_similarity"))
 
 
-def _packed(df: DataFrame, key: str, vec: str, block: int) -> tuple[DataFrame, int, int]:
-    """Unit vectors packed into blocks of about `block` rows, spread by hash of the id,
-    with the number of blocks and the bytes of all vectors."""
-    df = materialise(df.select(key, vec), "vectors")
-    stats = df.agg(F.count("*").alias("rows"), F.max(F.size(vec)).alias("dims")).first()  # one row
-    n_blocks = max(1, math.ceil(stats["rows"] / block))
-    rows = F.array_sort(F.collect_list(F.struct(F.col(key).cast("string").alias("id"), l2_normalize(vec).alias("v"))))
-    packed = df.groupBy(F.pmod(F.xxhash64(key), F.lit(n_blocks)).alias("block")).agg(rows.alias("r"))
-    return packed.select("block", F.col("r.id").alias("ids"), F.flatten("r.v").alias("flat")), n_blocks, stats["rows"] * (stats["dims"] or 0) * 8
-
-
-def _block_top_k(k: int, digits: int):
-    scale = 10.0**digits
-
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for q_ids, q_flat, i_ids, i_flat in batch.itertuples(index=False):
-                q = np.asarray(q_flat, dtype="float64").reshape(len(q_ids), -1)
-                items = np.asarray(i_flat, dtype="float64").reshape(len(i_ids), -1)
-                score = np.floor(q @ items.T * scale + 0.5).astype("int64")
-                # unique order: score down, then id up (ids are sorted in the block)
-                order_key = score * len(i_ids) - np.arange(len(i_ids))
-                m = min(k, len(i_ids))
-                top = np.argpartition(-order_key, m - 1, axis=1)[:, :m]
-                yield pd.DataFrame({
-                    "query_id": np.repeat(np.asarray(q_ids, dtype=object), m),
-                    "item_id": np.asarray(i_ids, dtype=object)[top.ravel()],
-                    "score": np.take_along_axis(score, top, axis=1).ravel() / scale,
-                })
-
-    return best
-
-
-def embedding_top_k(
-    queries: DataFrame, items: DataFrame, query_key: str, item_key: str, vec: str = "features",
-    k: int = 10, block: int = 1024, digits: int = 6,
-) -> DataFrame:
-    """Best k items per query by cosine, exactly: (query_id, item_id, score, rank).
-
-    Both sides are packed into blocks of bounded size. Each pair of blocks is one
-    matrix product that hands on k rows per query, so scores of whole pairs are
-    never emitted and memory per task is two blocks. Items whose vectors were
-    measured to fit `ITEM_BROADCAST_BYTES` go to the queries; larger ones meet
-    them block by block in a shuffle. Scores are compared at `digits` digits,
-    ties by item id.
-    """
-    q, _, _ = _packed(queries, query_key, vec, block)
-    i, n_blocks, item_bytes = _packed(items, item_key, vec, block)
-    q = q.select(F.col("ids").alias("q_ids"), F.col("flat").alias("q_flat"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_blocks - 1).cast("bigint"))).alias("block"))
-    i = i.select("block", F.col("ids").alias("i_ids"), F.col("flat").alias("i_flat"))
-    if item_bytes <= ITEM_BROADCAST_BYTES:
-        i = F.broadcast(i)
-    scored = q.join(i, "block").select("q_ids", "q_flat", "i_ids", "i_flat").mapInPandas(
-        _block_top_k(k, digits), "query_id string, item_id string, score double"
-    )
-    return top_k_per(scored, ["query_id"], [F.desc("score"), "item_id"], k)
-
-
 def normalized(df: DataFrame, key: str, vec: str) -> DataFrame:
     """Unit vectors in long form: (key, pos, value)."""
     return df.select(key, F.posexplode(l2_normalize(vec)).alias("pos", "value")).withColumn("value", rounded("value"))

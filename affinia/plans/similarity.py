@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from affinia.functions.scalars import rounded
 from affinia.operators import similarity as L
 from affinia.operators.interactions import index_ids
+from affinia.operators.topk import embedding_top_k as embedding_top_k_of
 from affinia.plans.factorization import VECTORS, business_vectors, user_vectors
 from affinia.plans.joins import EDGES, minhash_sql
 from affinia.plans.registry import h32, query, r
@@ -125,7 +126,7 @@ ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY score
 
 
 def top_10(t):
-    found = L.embedding_top_k(user_vectors(t), business_vectors(t), "user_id", "business_id", "features", 10)
+    found = embedding_top_k_of(user_vectors(t), business_vectors(t), "user_id", "business_id", "features", 10)
     return found.withColumnsRenamed({"query_id": "user_id", "item_id": "business_id"})
 
 

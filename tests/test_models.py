@@ -276,7 +276,7 @@ def test_a_search_goes_on_where_it_was_ended(spark, rated):
 def test_folds_are_packed_by_their_bytes(rated, monkeypatch):
     rows = searched(rated).repartition(6)
     small = trials.Folds.write(rows, 3, 42)
-    assert small.partitions == 1 and small.concurrent == rated.sparkSession.sparkContext.defaultParallelism
+    assert small.partitions == 1 and small.concurrent == 2 * rated.sparkSession.sparkContext.defaultParallelism
     train, test = small.parts(1)
     assert train.rdd.getNumPartitions() == 1 and train.count() + test.count() == rows.count() == small.all().count()
     monkeypatch.setattr(trials, "PACK_BYTES", 2000)

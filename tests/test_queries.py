@@ -40,7 +40,7 @@ def test_entry(spark):
 
 @pytest.mark.parametrize("name", [
     "feature_rows", "category_user_map", "similar_businesses", "jaccard_exact", "nearest_negatives", "random_negatives",
-    "anti_join_negatives", "embedding_top_k", "cosine_matrix",
+    "anti_join_negatives", "embedding_top_k", "cosine_matrix", "all_pairs_affinity", "als_top_k",
 ])
 def test_no_nested_loop_join(spark, name):
     plan = QUERIES[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from affinia.operators import scale
 from affinia.operators.scale import bucketed_row_number, dense_index, exact_quantiles
 
 
@@ -45,3 +46,32 @@ def test_exact_quantiles(spark, keys):
     for g, vs in groups.items():
         for p in probs:
             assert got[(g, p)] == pytest.approx(float(np.quantile(vs, p)), rel=1e-9, abs=1e-9)
+
+
+@pytest.mark.parametrize("keys", [["g"], []])
+def test_quantiles_of_narrow_brackets(spark, tiny_buckets, keys):
+    """Brackets that are cut until they hold a few rows: ties, outliers, values that differ in their last bit, infinities."""
+    rng = np.random.default_rng(2)
+    groups = {
+        "ties": [1.0] * 4000 + [2.0] * 4000 + [1.5], "two": [0.0] * 50 + [1e300] * 50, "negative": (-rng.lognormal(0, 40, 3000)).tolist(),
+        "close": (1.0 + rng.integers(0, 50, 2000) * 2.0**-52).tolist(), "infinite": [float("-inf"), *rng.normal(size=500).tolist(), float("inf")],
+    }
+    df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs] + [("ties", None), ("ties", float("nan"))], "g string, v double")
+    probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
+    got = {(r["g"] if keys else None, r.p): r.quantile for r in exact_quantiles(df, keys, "v", probs).collect()}
+    for g, vs in (groups if keys else {None: [v for vs in groups.values() for v in vs]}).items():
+        for p in probs:
+            vs = sorted(vs)
+            rank = (len(vs) - 1) * p
+            a, b = vs[int(np.floor(rank))], vs[int(np.ceil(rank))]
+            assert got[(g, p)] == pytest.approx(a if a == b else a + (b - a) * (rank - np.floor(rank)), rel=1e-12)
+
+
+def test_quantiles_of_a_million_values_close_together(spark, monkeypatch):
+    """All values between two outliers: one cell holds them after the first round."""
+    monkeypatch.setattr(scale, "ROWS_PER_BUCKET", 1000)
+    inner = spark.range(1_000_000).select((F.lit(5.0) + F.pmod(F.col("id") * 7919, F.lit(1_000_000)) * 1e-9).alias("v"))
+    df = inner.unionByName(spark.createDataFrame([(-1e12,), (1e15,)], "v double"))
+    got = {r.p: r.quantile for r in exact_quantiles(df, [], "v", [0.25, 0.5, 0.999]).collect()}
+    vs = np.sort(np.concatenate([[-1e12], 5.0 + np.arange(1_000_000) * 1e-9, [1e15]]))
+    assert got == pytest.approx({p: float(np.quantile(vs, p)) for p in (0.25, 0.5, 0.999)}, rel=1e-13)

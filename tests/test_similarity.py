@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from affinia.operators import similarity as L
+from affinia.operators import topk as K
 
 
 def brute(sets, t):
@@ -160,22 +161,63 @@ def test_minhash_matches_its_definition(spark):
     assert got == {b: [min((a * u + c) % L.MODULUS for u in us) for a, c in params] for b, us in sets.items()}
 
 
-@pytest.mark.parametrize("limit", [0, 1 << 26])
-def test_embedding_top_k_over_several_blocks(spark, monkeypatch, limit):
-    monkeypatch.setattr(L, "ITEM_BROADCAST_BYTES", limit)
+def ranked(frame):
+    got = {}
+    for r in frame.orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.item_id, r.score))
+    return got
+
+
+def frames(spark, queries, items):
+    i = spark.createDataFrame([(f"i{n:03d}", [float(x) for x in v]) for n, v in enumerate(items)], "i string, v array<double>")
+    q = spark.createDataFrame([(f"q{n:03d}", [float(x) for x in v]) for n, v in enumerate(queries)], "q string, v array<double>")
+    return q, i
+
+
+@pytest.mark.parametrize("unit, blocks, pack, k", [(True, 1024, 256, 5), (False, 1024, 4, 5), (False, 3, 256, 100), (True, 2, 7, 1)])
+def test_top_k_over_several_blocks(spark, monkeypatch, unit, blocks, pack, k):
+    monkeypatch.setattr(K, "MAX_BLOCKS", blocks)
+    monkeypatch.setattr(K, "PACK", pack)
     rng = np.random.default_rng(5)
     items, queries = rng.normal(size=(70, 6)), rng.normal(size=(23, 6))
     items[10] = items[11] = items[12]  # ties go to the smaller id
-    i = spark.createDataFrame([(f"i{n:02d}", [float(x) for x in v]) for n, v in enumerate(items)], "i string, v array<double>")
-    q = spark.createDataFrame([(f"q{n:02d}", [float(x) for x in v]) for n, v in enumerate(queries)], "q string, v array<double>")
-    got = {}
-    for r in L.embedding_top_k(q, i, "q", "i", "v", k=5, block=16).orderBy("query_id", "rank").collect():
-        got.setdefault(r.query_id, []).append(r.item_id)
+    items[30:45] = items[3]
+    items[50], queries[4] = 0.0, 0.0
+    q, i = frames(spark, queries, items)
+    i = i.unionByName(spark.createDataFrame([("none", None)], i.schema))
+    got = ranked(K.product_top_k(q, i, "q", "i", "v", k=k, block=8, unit=unit))
+    length = lambda x: np.where((n := np.linalg.norm(x, axis=1)) > 0, n, 1.0)[:, None] if unit else 1.0
+    score = np.floor((queries / length(queries)) @ (items / length(items)).T * 1e6 + 0.5)
+    for n in range(23):
+        order = sorted(range(70), key=lambda j: (-score[n, j], j))[:k]
+        assert [j for j, _ in got[f"q{n:03d}"]] == [f"i{j:03d}" for j in order]
+        assert [s for _, s in got[f"q{n:03d}"]] == pytest.approx([score[n, j] / 1e6 for j in order])
+
+
+def test_top_k_without_rows(spark):
+    q, i = frames(spark, np.ones((2, 3)), np.ones((2, 3)))
+    assert K.product_top_k(q, i.limit(0), "q", "i", "v").count() == 0
+    assert K.product_top_k(q.limit(0), i, "q", "i", "v").count() == 0
+
+
+def test_blocks_far_away_are_not_visited(spark, monkeypatch):
+    """Clustered items: most pairs of packs and blocks are ruled out by their bound."""
+    monkeypatch.setattr(K, "PACK", 16)
+    rng = np.random.default_rng(6)
+    middles = rng.normal(size=(40, 16))
+    middles /= np.linalg.norm(middles, axis=1)[:, None]
+    items = np.repeat(middles, 20, axis=0) + rng.normal(size=(800, 16)) * 0.02
+    queries = middles[rng.integers(0, 40, 200)] + rng.normal(size=(200, 16)) * 0.02
+    q, i = frames(spark, queries, items)
+    seen = {}
+    keep = K.later_visits
+    monkeypatch.setattr(K, "later_visits", lambda packs, blocks, *rest: seen.update(packs=packs.count(), blocks=len(blocks.count), later=keep(packs, blocks, *rest).count()) or keep(packs, blocks, *rest))
+    got = ranked(K.embedding_top_k(q, i, "q", "i", "v", k=5, block=20))
+    assert seen["blocks"] >= 20 and seen["later"] < 0.3 * seen["packs"] * seen["blocks"]
     cos = (queries / np.linalg.norm(queries, axis=1)[:, None]) @ (items / np.linalg.norm(items, axis=1)[:, None]).T
     score = np.floor(cos * 1e6 + 0.5)
-    for n in range(23):
-        order = sorted(range(70), key=lambda j: (-score[n, j], j))[:5]
-        assert got[f"q{n:02d}"] == [f"i{j:02d}" for j in order]
+    for n in range(200):
+        assert [j for j, _ in got[f"q{n:03d}"]] == [f"i{j:03d}" for j in sorted(range(800), key=lambda j: (-score[n, j], j))[:5]]
 
 
 def test_cosine_by_label(spark):
