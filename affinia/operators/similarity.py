@@ -119,13 +119,12 @@ def fill_params(registers: int, seed: int = 42) -> list[tuple[int, int]]:
     return hash_params(registers, f"fill-{seed}")
 
 
-def _fill(found: list[tuple[int, int]], factor: np.ndarray, shift: np.ndarray) -> np.ndarray:
-    """All registers from the filled ones (number, value).
+def _fill(number: np.ndarray, value: np.ndarray, factor: np.ndarray, shift: np.ndarray) -> np.ndarray:
+    """All registers from the values of the filled ones.
 
     An empty register takes the value of the filled one that comes first in an order of its own, so two
     sets choose the same one as often as they are similar, and independently in every register.
     """
-    number, value = (np.array(x, np.int64) for x in zip(*found))
     out = np.full(len(factor), -1, np.int64)
     out[number] = value
     empty = np.flatnonzero(out < 0)
@@ -153,10 +152,10 @@ def register_sketch(edges: DataFrame, registers: int = REGISTERS, seed: int = 42
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = batch.column("found")
-            rows = [
-                _fill([(x["number"], x["value"]) for x in one], factor, shift) for one in found.to_pylist()  # at most `registers` each
-            ]
+            found = batch.column("found")  # lists of at most `registers`
+            size = found.value_lengths().to_numpy(zero_copy_only=False)
+            parts = (found.flatten().field(c).to_numpy().astype(np.int64) for c in ("number", "value"))
+            rows = [_fill(n, v, factor, shift) for n, v in zip(*(np.split(part, np.cumsum(size)[:-1]) for part in parts))] if len(size) else []
             flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
             ends = np.arange(len(rows) + 1, dtype=np.int32) * registers
             low = [(row & 255).astype(np.uint8).tobytes() for row in rows]
@@ -347,12 +346,12 @@ def jaccard_all(edges: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def _placed(rep_edges: DataFrame) -> DataFrame:
     """(business_id, size, token, pos): users numbered from rare to frequent, and their place in each set."""
     frequency = rep_edges.groupBy("user_idx").agg(F.count("*").alias("f"))
-    order = frequency.select(F.struct("f", "user_idx").alias("order_key"))
-    tokens = dense_index(order, "order_key", "token").select(F.col("order_key.user_idx").alias("user_idx"), "token")
-    n_tokens = frequency.agg(F.count("*")).scalar()
-    numbered = rep_edges.join(tokens, "user_idx").select("business_id", "size", "token")
-    cut = numbered.withColumn("bucket", F.floor(F.col("token") * slices(F.col("size")) / n_tokens))
-    return bucketed_row_number(cut, ["business_id"], "bucket", ["token"], "pos").select("business_id", "size", "token", "pos")
+    span = rep_edges.agg(F.max("user_idx") + 1).scalar()
+    # both grow from rare to frequent, ties by user; only sets larger than a slice are cut within a frequency
+    token = F.col("f") * span + F.col("user_idx")
+    bucket = F.col("f") * slices(F.col("size")) + F.floor(F.col("user_idx") * slices(F.col("size")) / span)
+    numbered = rep_edges.join(frequency, "user_idx").select("business_id", "size", token.alias("token"), bucket.alias("bucket"))
+    return bucketed_row_number(numbered, ["business_id"], "bucket", ["token"], "pos").select("business_id", "size", "token", "pos")
 
 
 def _prefix_overlap(prefix: DataFrame, threshold: float) -> DataFrame:

@@ -126,7 +126,7 @@ ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY score
 
 
 def top_10(t):
-    found = embedding_top_k_of(user_vectors(t), business_vectors(t), "user_id", "business_id", "features", 10)
+    found = embedding_top_k_of(user_vectors(t), business_vectors(t), "user_id", "business_id", "features", k=10)
     return found.withColumnsRenamed({"query_id": "user_id", "item_id": "business_id"})
 
 
