@@ -1,12 +1,14 @@
-"""The batch jobs: rating prediction, business similarity, factorization search, and scoring a result.
+"""The batch jobs: rating prediction, ranking, business similarity, factorization search, and scoring a result.
 
     python -m affinia.jobs rating   DATA_DIR TRAIN_PAIRS[,VALIDATION_PAIRS] TEST_PAIRS OUT
+    python -m affinia.jobs ranking  DATA_DIR TRAIN_PAIRS[,VALIDATION_PAIRS] TEST_PAIRS OUT [K]
     python -m affinia.jobs similar  PAIRS OUT [THRESHOLD]
     python -m affinia.jobs tune     TIPS OUT
     python -m affinia.jobs rmse     TRUTH PREDICTIONS
 
 DATA_DIR holds user.json, business.json, review_train.json and tip.json, one
-record per line, and TIPS is such a tip file; pair files are CSV with a header.
+record per line, and TIPS is such a tip file; pair files are CSV with a header. For
+ranking it may also hold photo.json and photo_vectors.parquet (photo_id, embedding).
 A job deletes its intermediate tables when it ends.
 """
 
@@ -19,8 +21,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from affinia.operators import evaluation, factors, models, segments, similarity
-from affinia.operators.aggregates import avg_useful, feedback
+from affinia.functions.scalars import hash32
+from affinia.operators import blocks, evaluation, factors, models, ranking, retrieval, segments, similarity, transforms
+from affinia.operators.aggregates import avg_useful, feedback, pool
 from affinia.operators.interactions import (
     implicit_ratings, index_ids, interaction_counts, label_encode,
 )
@@ -90,6 +93,59 @@ def rating_job(
     return files.read_csv(spark, out_path, schemas.PREDICTIONS)
 
 
+PHOTO_DIM = 64
+
+
+def _photo_vectors(spark: SparkSession, data_dir: str) -> DataFrame:
+    """(business_id, features): mean photo vector, from the two optional photo files."""
+    photos, vectors = os.path.join(data_dir, "photo.json"), os.path.join(data_dir, "photo_vectors.parquet")
+    if not (files.exists(spark, photos) and files.exists(spark, vectors)):
+        return spark.createDataFrame([], "business_id string, features array<double>")
+    table = transforms.image_table(files.read_jsonl(spark, photos, schemas.PHOTOS), files.read_table(spark, vectors), PHOTO_DIM)
+    return pool(table, "business_id", "embedding", PHOTO_DIM)
+
+
+def ranking_job(spark: SparkSession, data_dir: str, train_path: str, test_path: str, out_path: str, k: int = 10) -> DataFrame:
+    """Recommend k businesses to every user of the test file, and measure where the pairs of that file rank.
+
+    Businesses get block vectors of their numbers, categories, review texts and photos. Two thirds of the
+    training pairs are the users' histories, which make their profiles; the rest, against the nearest
+    unvisited businesses, weighs the parts. Writes OUT (user, business, score, rank), OUT-metrics,
+    OUT-layout and OUT-weights as CSV.
+    """
+    places = materialise(files.read_jsonl(spark, os.path.join(data_dir, "business.json"), schemas.BUSINESSES), "businesses")
+    reviews = files.read_jsonl(spark, os.path.join(data_dir, "review_train.json"), schemas.REVIEWS).select("business_id", "text")
+    found = blocks.business_blocks(places, reviews.where("text is not null"), _photo_vectors(spark, data_dir), PHOTO_DIM)
+    dims = {part: min(width, PHOTO_DIM) for part, _, width in found.layout}
+    slices = found.slices(dims)
+    vectors = materialise(found.dense(dims, places), "business-vectors")
+    pairs = reduce(files.combine_pairs, [files.read_csv(spark, path, schemas.PAIRS) for path in train_path.split(",")])
+    known = materialise(pairs.select("user_id", "business_id").distinct().join(places.select("business_id"), "business_id", "left_semi"), "pairs")
+    held = hash32(F.lit("weights"), "user_id", "business_id") % 3 == 0
+    history, learned = known.where(~held), known.where(held)
+    negatives = ranking.nearest_negatives(known, places, index_ids(places, "business_id")).select("user_id", "negative_id")
+    weights = retrieval.part_weights(
+        learned, negatives, materialise(retrieval.profiles(history, vectors, slices), "histories"), vectors, slices
+    )
+    test = materialise(files.read_csv(spark, test_path, schemas.PAIRS).select("user_id", "business_id").distinct(), "test")
+    users = materialise(retrieval.profiles(known, vectors, slices).join(test.select("user_id").distinct(), "user_id", "left_semi"), "profiles")
+    listed = materialise(retrieval.recommend(users, vectors, weights, slices, k), "recommended")
+    files.write_csv(listed.select("user_id", "business_id", "score", "rank"), out_path, "user_id", "rank")
+    ranks = materialise(ranking.rank_of(listed, test), "ranks")
+    measured = [
+        (name, frame.select(F.col(column).alias("value")))
+        for name, column, frame in (
+            ("recall", "recall", ranking.recall_at_k(ranks, k)), ("ndcg", "ndcg", ranking.ndcg_at_k(ranks, k)),
+            ("ndcg_late", "ndcg", ranking.ndcg_at_k(ranks, k, "late")), ("map", "mean_ap", ranking.map_at_k(ranks, k)),
+        )
+    ]
+    metrics = reduce(DataFrame.unionByName, [frame.select(F.lit(name).alias("metric"), "value") for name, frame in measured])
+    files.write_csv(metrics, f"{out_path}-metrics", "metric")
+    files.write_csv(found.layout_table(), f"{out_path}-layout", "offset")
+    files.write_csv(spark.createDataFrame(list(weights.items()), "part string, weight double"), f"{out_path}-weights", "part")
+    return files.read_csv(spark, out_path, schemas.RECOMMENDED)
+
+
 def similarity_job(spark: SparkSession, pairs_path: str, out_path: str, threshold: float = similarity.THRESHOLD) -> DataFrame:
     """Write the similar business pairs of a pair file, sorted, as CSV."""
     pairs = materialise(files.read_csv(spark, pairs_path, schemas.TIPS).distinct(), "pairs")
@@ -120,13 +176,15 @@ def rmse_job(spark: SparkSession, truth_path: str, predictions_path: str) -> Dat
 
 def main(argv: list[str]) -> None:
     jobs = {
-        "rating": (rating_job, 4, 4), "similar": (similarity_job, 2, 3), "tune": (tuning_job, 2, 2), "rmse": (rmse_job, 2, 2),
+        "rating": (rating_job, 4, 4), "ranking": (ranking_job, 4, 5), "similar": (similarity_job, 2, 3), "tune": (tuning_job, 2, 2), "rmse": (rmse_job, 2, 2),
     }
     if not argv or argv[0] not in jobs or not jobs[argv[0]][1] <= len(argv) - 1 <= jobs[argv[0]][2]:
         sys.exit(__doc__)
     job, args = jobs[argv[0]][0], argv[1:]
     if job is similarity_job and len(args) == 3:
         args = [*args[:2], float(args[2])]
+    if job is ranking_job and len(args) == 5:
+        args = [*args[:4], int(args[4])]
     spark = tune(SparkSession.builder.appName(f"affinia-{argv[0]}").getOrCreate())
     try:
         job(spark, *args).show(20, truncate=False)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.ml.feature import PCA, CountVectorizer
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,13 +68,27 @@ def city_matrix(visits: DataFrame, businesses: DataFrame) -> DataFrame:
 
 
 def pca(df: DataFrame, key: str, cols: list[str], k: int = 2) -> DataFrame:
-    """Scores on the first k principal components of centred columns."""
-    means = df.agg(F.struct(*[F.avg(c).alias(c) for c in cols])).scalar()
-    centred = df.withColumn("_m", means).select(
-        key, array_to_vector(F.array(*[F.col(c).cast("double") - F.col(f"_m.{c}") for c in cols])).alias("v")
-    )
-    model = PCA(k=k, inputCol="v", outputCol="p").fit(centred)
-    return model.transform(centred).select(key, vector_to_array("p").alias("components"))
+    """Scores on the first k principal components of centred columns: (key, components).
+
+    One pass gives the mean of every column and the covariance of every two, sums that merge between tasks;
+    the driver gets these numbers alone. A component's largest entry is positive (the first on a tie). A row
+    with a null in a column has no components; without rows nothing is returned.
+    """
+    x = {c: F.col(c).cast("double") for c in cols}
+    whole = df.where(functools.reduce(lambda a, b: a & b, [v.isNotNull() for v in x.values()]))
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    found = whole.agg(
+        *[F.avg(v).alias(f"m_{i}") for i, v in enumerate(x.values())],
+        *[F.covar_pop(x[cols[i]], x[cols[j]]).alias(f"c_{i}_{j}") for i, j in pairs],
+    ).first()  # one row
+    covariance = np.zeros((len(cols), len(cols)))
+    for i, j in pairs:
+        covariance[i, j] = covariance[j, i] = found[f"c_{i}_{j}"] or 0.0
+    axes = np.linalg.eigh(covariance)[1][:, ::-1][:, :k].T
+    axes = [axis if axis[np.abs(axis).argmax()] > 0 else -axis for axis in axes]
+    centred = [v - F.lit(found[f"m_{i}"]) for i, v in enumerate(x.values())]
+    scores = [functools.reduce(lambda a, b: a + b, [v * F.lit(float(w)) for v, w in zip(centred, axis)]) for axis in axes]
+    return df.select(key, F.when(functools.reduce(lambda a, b: a & b, [v.isNotNull() for v in x.values()]), F.array(*scores)).alias("components"))
 
 
 def word_vectors(df: DataFrame, key: str, text: str, dim: int) -> DataFrame:

@@ -180,6 +180,14 @@ class Tables:
             F.col("embedding").cast("array<double>").alias("embedding"),
         )
 
+    @property
+    def texts(self) -> DataFrame:
+        """The documents as texts about businesses, dealt by number."""
+        n = self.table("supplier").agg(F.count("*")).scalar()
+        return self.table("documents").where("text is not null").select(
+            F.concat(F.lit("b"), (F.col("doc_id") % n + 1).cast("string")).alias("business_id"), "text"
+        )
+
     @property
     def predictions(self) -> DataFrame:
         """A fixed predictor: business mean shifted by the user's leaning."""

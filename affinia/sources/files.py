@@ -72,6 +72,11 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()).exists(found)
+
+
 def read_images(spark: SparkSession, path: str) -> DataFrame:
     """Photo files as bytes, with the photo id cut from the file name."""
     df = spark.read.format("binaryFile").option("pathGlobFilter", "*.jpg").load(path)

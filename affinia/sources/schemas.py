@@ -31,4 +31,5 @@ PHOTOS = _struct(photo_id=STR, business_id=STR, label=STR)
 PAIRS = _struct(user_id=STR, business_id=STR, stars=DBL)
 PREDICTIONS = _struct(user_id=STR, business_id=STR, prediction=DBL)
 SETTINGS = _struct(rank=DBL, reg=DBL, alpha=DBL, rmse=DBL)
+RECOMMENDED = _struct(user_id=STR, business_id=STR, score=DBL, rank=INT)
 SIMILAR_PAIRS = _struct(business_id_1=STR, business_id_2=STR, similarity=DBL)

@@ -1,5 +1,6 @@
 """The batch jobs from files to files."""
 
+import math
 import os
 
 import pytest
@@ -50,6 +51,48 @@ def test_tuning_job(spark, folder):
     assert all(r.rmse > 0 for r in log) and [r.rmse for r in log] == sorted(r.rmse for r in log)
 
 
+def test_ranking_job(spark, folder):
+    t = Tables(spark, "/root/testdata/sf0.001")
+    data = os.path.join(folder, "ranking")
+    t.businesses.write.json(os.path.join(data, "business.json"))
+    named = t.texts.select("business_id", "text", F.lit("u1").alias("user_id"))
+    named.write.json(os.path.join(data, "review_train.json"))
+    t.photos.select("photo_id", "business_id", "label").write.json(os.path.join(data, "photo.json"))
+    files.write_table(t.photos.select("photo_id", "embedding"), os.path.join(data, "photo_vectors.parquet"))
+    out, test = os.path.join(folder, "ranked.csv"), files.read_csv(spark, os.path.join(folder, "test.csv"), schemas.PAIRS)
+    found = jobs.ranking_job(spark, data, os.path.join(folder, "train.csv"), os.path.join(folder, "test.csv"), out, k=5).collect()
+    lists = {}
+    for r in found:
+        lists.setdefault(r.user_id, []).append((r.rank, r.business_id, r.score))
+    pairs = {(r.user_id, r.business_id) for r in test.collect()}
+    assert set(lists) <= {u for u, _ in pairs}
+    for ranked in lists.values():
+        ranked.sort()
+        assert [k for k, _, _ in ranked] == list(range(1, len(ranked) + 1)) and len(ranked) == 5
+        assert len({b for _, b, _ in ranked}) == 5 and all(x[2] >= y[2] for x, y in zip(ranked, ranked[1:]))
+    # the metrics follow from the files
+    place = {(u, b): k for u, ranked in lists.items() for k, b, _ in ranked}
+    hits = [place.get(pair) for pair in pairs]
+    read = lambda name: {r[0]: float(r[1]) for r in spark.read.csv(f"{out}-{name}", header=True).collect()}
+    metrics = read("metrics")
+    assert metrics["recall"] == pytest.approx(sum(h is not None for h in hits) / len(hits))
+    assert metrics["map"] == pytest.approx(sum(1 / h for h in hits if h) / len(hits))
+    assert metrics["ndcg"] == pytest.approx(sum(1 / math.log2(h + 1) for h in hits if h) / len(hits))
+    weights = read("weights")
+    assert list(sorted(weights)) == ["categories", "numbers", "photo", "text"] and min(weights.values()) >= 0 < max(weights.values())
+    layout = {r[0]: (int(r[1]), int(r[2])) for r in spark.read.csv(f"{out}-layout", header=True).collect()}
+    assert layout["numbers"] == (0, 4) and layout["text"][0] == 4 + layout["categories"][1] and layout["photo"][1] == jobs.PHOTO_DIM
+
+
+def test_ranking_job_without_photos_and_texts(spark, folder):
+    data = os.path.join(folder, "bare")
+    Tables(spark, "/root/testdata/sf0.001").businesses.write.json(os.path.join(data, "business.json"))
+    spark.createDataFrame([("r1", "b1")], "review_id string, business_id string").write.json(os.path.join(data, "review_train.json"))
+    out = os.path.join(folder, "bare.csv")
+    found = jobs.ranking_job(spark, data, os.path.join(folder, "train.csv"), os.path.join(folder, "test.csv"), out, k=3)
+    assert found.count() > 0 and found.where("rank > 3").count() == 0
+
+
 def test_similarity_job(spark, folder):
     out = os.path.join(folder, "similar.csv")
     found = jobs.similarity_job(spark, os.path.join(folder, "train.csv"), out, 0.2)
