@@ -14,11 +14,12 @@ The host takes the widest step that pages with half of the votes agree to. `body
 `html` and the top of a fragment are no containers of an article: they are taken
 only where all they add are headings, paragraphs, lists and tables of their own.
 
-What never counts as text: head, scripts, styles, forms, menus, and the elements
-header, footer and aside. An element whose class or id has a name such as advert,
-sidebar or comments (not `has-sidebar`, `tag-news` or `entry-header`, which say
-something of another part) is in doubt: its text counts little in the scores and
-is left out, unless the winning container is in it. Where such elements of one
+What never counts as text: head, scripts, styles, the controls of forms, menus, and
+the elements header, footer and aside. A form, and an element whose class or id has
+a name such as advert, sidebar or comments (not `has-sidebar`, `tag-news` or `entry-header`, which say
+something of another part), are in doubt: their text counts little in the scores and
+is left out, unless the winning container is in it. Inline elements of such names
+are left out at the edges of a block only. Where such elements of one
 path hold most of a page's text, they are taken like any other, comments only
 where next to nothing else is there, and neither beside an article or main
 element with text of its own.
@@ -44,11 +45,16 @@ from affinia.llm.words import pieces
 
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template svg math iframe object canvas select button xmp noembed noframes".split())
-SKIPPED = frozenset("head nav header footer aside form dialog menu fieldset figure video audio".split())
+RAW = frozenset(
+    "script style textarea title noscript template svg annotation annotation-xml iframe object canvas select button label legend datalist "
+    "xmp noembed noframes".split()
+)
+SKIPPED = frozenset("head nav header footer aside dialog menu video audio".split())
+FORMS = frozenset("form fieldset".split())  # in doubt: some pages are one form
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp "
-    "small span strike strong sub sup time tt u var wbr".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark nobr q rp rt ruby s samp "
+    "small span strike strong sub sup time tt u var wbr "
+    "math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mstyle mpadded mphantom mspace semantics".split()
 )
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 "
@@ -72,14 +78,14 @@ MODIFIER = re.compile(
 # Ends the name of a container in doubt; no class has a blank.
 DOUBT = {"part": " ?", "comments": " ??"}
 LOW = 0.02  # weight of text in doubt
-INLINE_LABEL = 200  # longer inline elements are passages of the text, whatever their class
 LEAVES = frozenset("p pre li td th dt dd blockquote h1 h2 h3 h4 h5 h6 tr".split())
 PLAIN = LEAVES | frozenset("ul ol dl table thead tbody tfoot caption hgroup center address".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<![^>]*>?|<\?[^>]*>?|"
-    r"<(?P<close>/)?(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?",
+    r"<!--(?:-?>|.*?(?:--!?>|$))|<![^>]*>?|<\?[^>]*>?|"
+    # a quote opens a value right after `=` alone
+    r"<(?P<close>/)?(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+)>?",
     re.S,
 )
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.S)
@@ -106,6 +112,8 @@ def _unwanted(name: str, attrs: dict[str, str]) -> bool:
 
 def _doubt(name: str, attrs: dict[str, str]) -> str:
     """The ending of a container whose class or id names a part beside the text, or nothing."""
+    if name in FORMS:
+        return DOUBT["part"]
     said = f"{attrs.get('class', '')} {attrs.get('id', '')}"
     if not said.strip() or name in ("body", "html", "main", "article"):
         return ""
@@ -116,20 +124,44 @@ def _doubt(name: str, attrs: dict[str, str]) -> str:
     return DOUBT["part"] if any(BOILERPLATE.search(n) for n in names) else ""
 
 
+def _without_labels(text: list[str], labels: list[list]) -> tuple[str, list[str]]:
+    """The text of a block, and the ending of its path.
+
+    Inline elements in doubt are left out at the start and the end of a block that says more than they do;
+    within a sentence they are part of it. A block of nothing else is itself in doubt, as its longest element is.
+    """
+    closed = [(a, b, segment) for a, b, _, segment in labels if b is not None]
+    size = [len(part.strip()) for part in text]
+    inside = [any(a <= i < b for a, b, _ in closed) for i in range(len(text))]
+    ending: list[str] = []
+    if closed and not any(n for n, label in zip(size, inside) if not label):
+        a, b, segment = max(closed, key=lambda c: sum(size[c[0] : c[1]]))
+        inside[a:b] = [False] * (b - a)
+        ending = [segment]
+    own = [i for i, n in enumerate(size) if n and not inside[i]]
+    first, last = (own[0], own[-1]) if own else (0, len(text))
+    said = sum(size[i] for i in own)
+    head, tail = sum(size[:first]), sum(size[last + 1 :])
+    kept = text[first if head < said else 0 : last + 1 if tail < said else len(text)]
+    return _SPACE.sub(" ", "".join(kept)).strip(), ending
+
+
 def blocks(html: str) -> list[tuple[tuple[str, ...], str, int]]:
     """(container path, text, characters of it in links) of every text block in page order; names of containers in doubt end so."""
     out: list[tuple[tuple[str, ...], str, int]] = []
     names, path, bad = ["#"], ["#"], [False]  # open containers from the outside in
     text, links, in_link = [], 0, 0
+    labels: list[list] = []  # inline elements in doubt: first and last place in `text`, element name, segment
     at, size = 0, len(html)
 
     def flush() -> None:
         nonlocal links
         if text:
-            joined = _SPACE.sub(" ", "".join(text)).strip()
+            joined, segment = _without_labels(text, labels)
             if joined:
-                out.append((tuple(path[1:]), joined, min(links, len(joined))))
+                out.append((tuple(path[1:] + segment), joined, min(links, len(joined))))
             text.clear()
+        labels.clear()
         links = 0
 
     def say(raw: str) -> None:
@@ -159,6 +191,10 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, int]]:
             if name == "a":
                 in_link = max(0, in_link - 1)
             elif name in INLINE:
+                for label in reversed(labels):
+                    if label[1] is None and label[2] == name:
+                        label[1] = len(text)
+                        break
                 continue
             elif name in names:
                 close_upto(len(names) - 1 - names[::-1].index(name))
@@ -182,11 +218,12 @@ def blocks(html: str) -> list[tuple[tuple[str, ...], str, int]]:
                 in_link = 1
             if found["attrs"].strip() and name != "a":
                 attrs = _attributes(found["attrs"])
-                unwanted = _unwanted(name, attrs)
-                if unwanted or _doubt(name, attrs):
+                if _unwanted(name, attrs):
                     end = re.compile(rf"</{name}\s*>", re.I).search(html, at)
-                    if end and (unwanted or end.start() - at <= INLINE_LABEL):
+                    if end:
                         at = end.end()
+                elif _doubt(name, attrs):
+                    labels.append([len(text), None, name, _segment(name, attrs) + _doubt(name, attrs)])
             continue
         if name in CLOSES_P and "p" in names:
             close_upto(len(names) - 1 - names[::-1].index("p"))
@@ -236,21 +273,29 @@ def container_scores(found: list[tuple[tuple[str, ...], str, int]]) -> dict[str,
 
     Text in doubt counts little, and only for containers inside the one in doubt.
     """
-    scores: dict[str, float] = {}
+    number: dict[tuple[int, str], int] = {}  # of a path, by that of the path before its last name
+    scores: dict[int, float] = {}
     for (path, text, links), doubts in zip(found, _in_doubt(found)):
         plain = len(text) - 2 * links
         if plain <= 0 or len(text) < 10:
             continue
         inside = doubts[-1] + 1 if doubts else 0
         top = len(path) - 1 if path and _name(path[-1]) in LEAVES else len(path)
-        share = LOW ** len(doubts)
+        nodes, node = [], 0
+        for segment in path[:top]:
+            node = number.setdefault((node, segment), len(number) + 1)
+            nodes.append(node)
+        share = plain * LOW ** len(doubts)
         for depth in range(top, max(inside, 1) - 1, -1):
-            name = _name(path[depth - 1])
-            bonus = 1.5 if name in ("article", "main") else 0.5 if name in ("body", "html") else 1.0
-            key = "/".join(path[:depth])
-            scores[key] = scores.get(key, 0.0) + plain * share * bonus
+            scores[nodes[depth - 1]] = scores.get(nodes[depth - 1], 0.0) + share
             share *= 0.8
-    return scores
+    texts, out = {0: ""}, {}
+    for (before, segment), node in number.items():
+        texts[node] = f"{texts[before]}/{segment}" if before else segment
+        if node in scores:
+            name = _name(segment)
+            out[texts[node]] = scores[node] * (1.5 if name in ("article", "main") else 0.5 if name in ("body", "html") else 1.0)
+    return out
 
 
 def best_container(found: list[tuple[tuple[str, ...], str, int]]) -> tuple[str, float]:
@@ -351,8 +396,16 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-# Pages of one host are dealt over this many keys when they meet the host's path.
-SPREAD = 32
+# A host with more than this part of all pages is dealt over several keys, about so many pages each.
+HOST_PARTS = 4096
+
+
+def _large_hosts(rows: DataFrame) -> DataFrame:
+    """(_host, _keys) of the hosts that are dealt over several keys: at most `HOST_PARTS` rows."""
+    counts = rows.where(F.col("_host") != "").groupBy("_host").agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n").alias("n")).first()["n"] or 0
+    keys = F.least(F.col("n"), F.ceil(F.col("n") * HOST_PARTS / F.lit(max(total, 1))))
+    return F.broadcast(counts.where(F.col("n") * HOST_PARTS > total).select("_host", keys.cast("bigint").alias("_keys")))
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
@@ -386,9 +439,10 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     rows = pages.select(
         F.col(id_col).alias("_id"), url.alias("_url"), F.coalesce(host, F.lit("")).alias("_host"), F.col(html_col).alias("_html")
     )
-    salt = F.pmod(F.xxhash64("_id", "_url"), F.lit(SPREAD))
-    winners = host_paths(rows).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1)).cast("array<bigint>")))
-    met = rows.withColumn("_salt", salt).join(winners, ["_host", "_salt"], "left").select("_id", "_url", "_html", "path", "depth")
+    large, keys = _large_hosts(rows), F.coalesce("_keys", F.lit(1).cast("bigint"))
+    winners = host_paths(rows).join(large, "_host", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), keys - 1)))
+    salted = rows.join(large, "_host", "left").withColumn("_salt", F.pmod(F.xxhash64("_id", "_url"), keys))
+    met = salted.join(winners.drop("_keys"), ["_host", "_salt"], "left").select("_id", "_url", "_html", "path", "depth")
     schema = T.StructType([rows.schema["_id"], T.StructField("_url", T.StringType()), T.StructField("text", T.StringType())])
     return met.mapInArrow(_extract, schema).select(
         F.col("_id").alias(id_col), F.col("_url").alias(url_col), "text", F.char_length("text").cast("bigint").alias("n_chars")

@@ -170,6 +170,46 @@ def test_broken_pages_do_not_crash():
     assert [b[1] for b in deep] == ["deep text"]
 
 
+def test_text_in_forms_figures_formulas_and_labels_is_kept():
+    story = "<p>The story is told here, at some length and in full, and then it goes on.</p>"
+    told = "The story is told here, at some length and in full, and then it goes on."
+    form = f"<body><form id='aspnet'><input><label>Name</label><select><option>x</option></select><div class=post>{story * 3}</div></form></body>"
+    assert own_text(form) == " ".join([told] * 3)
+    search = f"<body><article>{story * 3}<form><p>Search this site for more</p><button>Go</button></form></article></body>"
+    assert own_text(search) == " ".join([told] * 3)
+    figure = f"<article>{story}<figure><pre>x = 1</pre><figcaption>A listing.</figcaption></figure>{story}</article>"
+    assert own_text(figure) == f"{told} x = 1 A listing. {told}"
+    assert own_text(f"<article>{story}<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p></article>") == f"{told} so x=2 holds"
+    label = 'We <span class="tag">X</span> and <em class="notice">Y</em> here'
+    assert own_text(f"<article>{story}<p>{label}</p></article>") == f"{told} We X and Y here"
+    edge = '<p><span class="tag">News</span> The day was long and the night was longer <span class="share">Share</span></p>'
+    assert own_text(f"<article>{story}{edge}</article>") == f"{told} The day was long and the night was longer"
+    assert own_text(f'<article>{story}<p><span class="tag">News</span></p></article>') == told
+
+
+def test_quotes_and_comments_that_do_not_close():
+    assert own_text('<div><p class=x">FIRST paragraph</p><p class="y">second one</p></div>') == "FIRST paragraph second one"
+    assert own_text("<div><p title='a > b' class=\"z > w\">kept text</p><!-- no --!><p>after it</p><!--><p>and more</p></div>") == "kept text after it and more"
+    assert own_text('<div><p data-x="never closed>lost? no</p><p>more text</p></div>') == "lost? no more text"
+
+
+def test_deep_pages_take_little_time():
+    import time
+
+    page = "".join(f"<div class=a{i}b><p>text number {i} of a deep page" for i in range(2000))
+    start = time.perf_counter()
+    assert html.best_container(html.blocks(page))[1] > 0
+    assert time.perf_counter() - start < 10
+
+
+def test_large_hosts_are_dealt_over_keys(spark):
+    rows = spark.createDataFrame([("a",)] * 900 + [("b",)] * 99 + [("",)] * 50, "_host string")
+    keys = dict(html._large_hosts(rows).collect())
+    assert keys == {"a": 900, "b": 99}  # as many as pages, at most
+    few = spark.range(20_000).selectExpr("CASE WHEN id < 10000 THEN 'hot' ELSE CONCAT('h', id) END AS _host")
+    assert html._large_hosts(few).where("_host = 'hot'").first()["_keys"] == 2048 and html._large_hosts(few).count() == 1
+
+
 def test_warc_round_trip(spark, tmp_path):
     big = "long payload é " * 200_000
     rows = [(1, "http://a/1", "same"), (5, "http://a/5", "same"), (3, None, "same"), (2, "http://b\r\nX: y/é", None), (4, "u", ""), (6, "v", big), (7, "w", "a\r\n\r\nb"), (None, "n", "same"), (5, "again", "same")]
