@@ -308,6 +308,39 @@ def test_clusters_are_stable_and_nearest(spark):
     assert len({(u % 3, first[f"u{u}"]) for u in range(30)}) == 3
 
 
+def test_silhouettes_of_all_k_equal_those_one_by_one(spark):
+    from pyspark.ml.evaluation import ClusteringEvaluator
+
+    rng = np.random.default_rng(3)
+    rows = [(f"u{i:03d}", f"c{(i % 4) * 2 + int(j)}", int(rng.integers(1, 9))) for i in range(80) for j in range(2)] + [("alone", "far", 900)]
+    vectors = C.city_vectors(spark.createDataFrame(rows, "user_id string, city string, visits long"))
+    ks = [2, 3, 5]
+    assigned, want = vectors, {}
+    for k in ks:
+        model = C._fit(vectors.select("user_id", "features"), k, 42, 50)
+        assigned = model.transform(assigned)
+        judge = ClusteringEvaluator(featuresCol="features", predictionCol=f"raw_{k}")
+        want[k] = judge.evaluate(model.transform(vectors.select("user_id", "features")))
+    got = C.silhouette(assigned.select("at", "x", F.array(*[f"raw_{k}" for k in ks]).alias("raw")), ks)
+    assert got == pytest.approx(want, abs=1e-9)
+    scanned = C.scan_k(spark.createDataFrame(rows, "user_id string, city string, visits long"), ks).collect()
+    assert [r.k for r in scanned] == ks and all(r.cost >= 0 for r in scanned)
+
+
+def test_principal_components(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 3)) @ np.array([[5.0, 1, 0], [0, 2, 1], [0, 0, 0.5]])
+    rows = [(i, *map(float, v)) for i, v in enumerate(x)] + [(99, None, 1.0, 2.0)]
+    df = spark.createDataFrame(rows, "id int, a double, b double, c double")
+    got = {r.id: r.components for r in X.pca(df, "id", ["a", "b", "c"], 2).collect()}
+    centred = x - x.mean(axis=0)
+    axes = np.linalg.svd(centred)[2][:2]
+    axes = np.array([v if v[np.abs(v).argmax()] > 0 else -v for v in axes])
+    assert got.pop(99) is None
+    assert np.allclose([got[i] for i in range(60)], centred @ axes.T)
+    assert X.pca(df.limit(0), "id", ["a", "b", "c"]).count() == 0
+
+
 def test_hash_split_keeps_small_and_odd_fractions(spark):
     df = spark.range(100_000)
     for fractions in ({"a": 0.004, "b": 0.996}, {"a": 0.125, "b": 0.125, "c": 0.75}):
