@@ -92,7 +92,7 @@ def over_features(t):
     )
 
 
-@query("error_feature_join", f"SELECT * REPLACE ({r('avg_useful_score')} AS avg_useful_score) FROM over_feats", f"{OVER}, {FEATS}")
+@query("error_feature_join", f"SELECT * REPLACE ({r('avg_useful_score')} AS avg_useful_score) FROM over_feats", f"{OVER}, {FEATS}", inline=True)
 def error_feature_join(t):
     return over_features(t).withColumn("avg_useful_score", rounded("avg_useful_score"))
 

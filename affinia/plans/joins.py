@@ -43,7 +43,7 @@ def features(t):
     return J.feature_rows(t.pairs, given_scores(t), transform_users(t.users), transform_businesses(t.businesses))
 
 
-@query("feature_rows", f"""SELECT * REPLACE ({r('score')} AS score, {r('affinity_score', 4)} AS affinity_score) FROM features""", GIVEN)
+@query("feature_rows", f"""SELECT * REPLACE ({r('score')} AS score, {r('affinity_score', 4)} AS affinity_score) FROM features""", GIVEN, inline=True)
 def feature_rows(t):
     return features(t).withColumns({"score": rounded("score"), "affinity_score": rounded("affinity_score", 4)})
 
@@ -83,7 +83,7 @@ def anti_join_negatives(t):
 
 
 @query("composite_key_join", f"""SELECT p.user_id, p.business_id, t.stars, p.prediction, {r('p.prediction - t.stars', 4)} AS error
-  FROM predictions p JOIN pairs t USING (user_id, business_id)""")
+  FROM predictions p JOIN pairs t USING (user_id, business_id)""", inline=True)
 def composite_key_join(t):
     both = t.pairs.join(t.predictions.drop("stars"), ["user_id", "business_id"])
     return residuals(both).withColumn("error", rounded("error", 4))

@@ -32,22 +32,25 @@ def relations(text: str) -> list[tuple[str, str]]:
     return found
 
 
-def with_relations(sql: str, ctes: str) -> str:
-    """The SQL with those relations alone that it needs; relations read twice are computed once."""
+def with_relations(sql: str, ctes: str, inline: bool = False) -> str:
+    """The SQL with those relations alone that it needs; relations read twice are computed once, or with `inline` each time."""
     listed = [*relations(CTES), *relations(ctes)]
     needed, kept = sql, []
     for name, body in reversed(listed):
         uses = len(re.findall(rf"\b{name}\b", needed))
         if uses:
             head, rest = re.match(r"(.*?\bAS)\s+(?:MATERIALIZED\s+)?(\(.*)", body, re.S).groups()
-            kept.insert(0, f"{head} MATERIALIZED {rest}" if uses > 1 else f"{head} {rest}")
+            kept.insert(0, f"{head} {'NOT ' if inline else ''}MATERIALIZED {rest}" if uses > 1 else f"{head} {rest}")
             needed += f"\n{body[len(name):]}"
     recursive = "RECURSIVE " if re.search(r"\bRECURSIVE\b", ctes) else ""
     return f"WITH {recursive}{', '.join(kept)}\n{sql.strip()}" if kept else sql.strip()
 
 
-def query(name: str, sql: str | None = None, ctes: str = "", plain: bool = False):
-    """Register `fn(tables)` under `name`; `ctes` extends the shared relations."""
+def query(name: str, sql: str | None = None, ctes: str = "", plain: bool = False, inline: bool = False):
+    """Register `fn(tables)` under `name`; `ctes` extends the shared relations.
+
+    `inline` is for SQL that joins a relation with another one made from it.
+    """
 
     def register(fn: Callable[[Tables], DataFrame]):
         if name in QUERIES:
@@ -59,7 +62,7 @@ def query(name: str, sql: str | None = None, ctes: str = "", plain: bool = False
         run.__doc__ = fn.__doc__
         QUERIES[name] = run
         if sql is not None:
-            ORACLES[name] = sql.strip() if plain else with_relations(sql, ctes)
+            ORACLES[name] = sql.strip() if plain else with_relations(sql, ctes, inline)
         return fn
 
     return register
