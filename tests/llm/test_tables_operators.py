@@ -272,5 +272,5 @@ def test_query_matches_sql(spark, name):
 
 def test_registered():
     names = entry_points.queries()
-    assert {n.split("_")[0] for n in names if n.startswith("op")} >= {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in names if n.startswith("op")} >= {f"op{k}" for k in range(1, 14)}
     assert "pipeline" in names
