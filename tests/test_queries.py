@@ -19,6 +19,7 @@ SAMPLE = [
     "pair_affinity", "similar_businesses", "jaccard_exact", "embedding_top_k", "cosine_by_category", "standard_scale",
     "text_embed", "important_cities", "random_negatives", "category_negatives", "nearest_negatives", "ndcg_at_k",
     "contrastive_loss", "rmse_by_cluster", "feature_box_stats", "prediction_histogram", "read_jsonl", "write_similar_pairs",
+    "lsh_candidates", "pca_2d", "assemble_features", "text_idf",
 ]
 NAMES = list(ORACLES) if os.environ.get("AFFINIA_ALL") else SAMPLE
 
