@@ -7,7 +7,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,13 +36,6 @@ def multi_hot(businesses: DataFrame) -> DataFrame:
     return exploded_categories(businesses).where("category <> ''").distinct().withColumn("value", F.lit(1))
 
 
-def multi_hot_vectors(df: DataFrame, tokens: str, out: str = "category_vector") -> DataFrame:
-    """The same as one sparse 0/1 vector per row, with a position for every token there is."""
-    different = df.select(F.explode(tokens).alias("t")).agg(F.count_distinct("t")).first()[0]
-    model = CountVectorizer(inputCol=tokens, outputCol=out, binary=True, vocabSize=max(1, different), minDF=1).fit(df)
-    return model.transform(df)
-
-
 def assemble(cols: list[str | Column]) -> Column:
     """Numbers and vectors joined into one array<double>, in the given order."""
     return F.concat(*[F.col(c).cast("array<double>") if isinstance(c, str) else c for c in cols])
