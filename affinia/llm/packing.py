@@ -38,6 +38,8 @@ CAPACITY = 4096
 END = 1
 # Words whose ids a Python worker remembers; white space separates words for these tokenizers.
 REMEMBERED = 1_500_000
+# New words are encoded some at a time, each followed by a mark that stands alone and has an id of its own.
+TOGETHER, MARK = 64, b"\x1e"
 
 
 class WordIds:
@@ -47,22 +49,36 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        mark = self._encode(MARK)
+        self.mark = mark[0] if len(mark) == 1 else None
         self._clear()
 
     def _clear(self) -> None:
         self.known, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.begin, self.flat = np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
-    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
-        got = [self.tokenizer.encode(w, add_special_tokens=False).ids for w in words]
-        size = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter((i for ids in got for i in ids), np.uint32, int(size.sum()))
-        slots = np.arange(len(got)) + len(self.begin) - 1
+    def _encode(self, word: bytes) -> np.ndarray:
+        return np.array(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32)
+
+    def _encode_all(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words in a row and their number for each word."""
+        if self.mark is not None:
+            ids = self._encode(b"".join(w + b" " + MARK + b" " for w in words))
+            at = np.flatnonzero(ids == self.mark)
+            if len(at) == len(words):  # else a word holds the mark itself
+                return np.delete(ids, at), np.diff(at, prepend=-1) - 1
+        each = [self._encode(w) for w in words]
+        return np.concatenate(each), np.array([len(ids) for ids in each], np.int64)
+
+    def _learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
+        """Encode words that are not known, in ascending order of their hashes."""
+        got = [self._encode_all(words[i : i + TOGETHER]) for i in range(0, len(words), TOGETHER)]
+        flat, size = (np.concatenate(x) for x in zip(*got))
+        slots = np.arange(len(size)) + len(self.begin) - 1
         self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(size)])
         self.flat = np.concatenate([self.flat, flat])
-        known, slot = np.concatenate([self.known, hashes]), np.concatenate([self.slot, slots])
-        order = np.argsort(known, kind="stable")
-        self.known, self.slot = known[order], slot[order]
+        places = np.searchsorted(self.known, hashes)
+        self.known, self.slot = np.insert(self.known, places, hashes), np.insert(self.slot, places, slots)
 
     def ids(self, data: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and the n + 1 borders between the texts."""
@@ -74,7 +90,7 @@ class WordIds:
         new = self.known[near] != different if len(self.known) else np.ones(len(different), bool)
         if new.any():
             places = at[new]
-            self._learn(different[new], [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(words.start[places], words.end[places])])
+            self._learn(different[new], [data[a:b].tobytes() for a, b in zip(words.start[places], words.end[places])])
         slot = self.slot[np.searchsorted(self.known, different)][back]
         begin, size = self.begin[slot], self.begin[slot + 1] - self.begin[slot]
         ends = np.cumsum(size)
