@@ -3,6 +3,7 @@
 import pytest
 
 from affinia.operators import aggregates as A
+from affinia.operators import models as R
 from affinia.plans import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -27,3 +28,19 @@ def test_category_sets_without_the_map(spark):
     got = A.visited_category_sets(businesses, pairs)
     assert got.columns == want.columns and sorted(got.collect()) == sorted(want.collect())
     assert "Expand" not in plan_of(got)
+
+
+def test_a_fit_gets_partitions_by_rows(spark, monkeypatch):
+    seen = []
+
+    class Tree:
+        def fit(self, rows):
+            seen.append(rows.rdd.glom().map(len).collect())
+            assert rows.columns == ["features", "stars"]
+
+    monkeypatch.setattr(R, "gbt", lambda params, seed: Tree())
+    rows = spark.range(1000).selectExpr("array(double(id)) AS features", "double(id % 5) AS stars", "id AS user_id").coalesce(1)
+    R.fit_gbt(rows)
+    monkeypatch.setattr(R, "FIT_ROWS", 50)
+    R.fit_gbt(rows)
+    assert seen[0] == [1000] and len(seen[1]) == 20 and sum(seen[1]) == 1000 and max(seen[1]) <= 100
