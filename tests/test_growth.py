@@ -1,10 +1,12 @@
 """Queries on large tables: the big tables are joined once, and what a task holds does not grow."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from affinia.operators import aggregates as A
 from affinia.operators import models as R
 from affinia.plans import QUERIES
+from affinia.session import tune
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -44,3 +46,16 @@ def test_a_fit_gets_partitions_by_rows(spark, monkeypatch):
     monkeypatch.setattr(R, "FIT_ROWS", 50)
     R.fit_gbt(rows)
     assert seen[0] == [1000] and len(seen[1]) == 20 and sum(seen[1]) == 1000 and max(seen[1]) <= 100
+
+
+def test_partitions_after_a_shuffle_stay_small(spark):
+    """random_split_builtin sorts whole partitions: these are bounded by bytes, not by the number of cores alone."""
+    tune(spark)
+    usual = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 64)
+    try:
+        rows = spark.range(10_000_000).selectExpr("rand(1) AS a", "rand(2) AS b", "rand(3) AS c").repartition("a")
+        sizes = rows.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.max("a"), F.max("b"), F.max("c")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", usual)
+    assert max(r["n"] for r in sizes) < 800_000 and sum(r["n"] for r in sizes) == 10_000_000
