@@ -115,7 +115,9 @@ def ranking_job(spark: SparkSession, data_dir: str, train_path: str, test_path:
     """
     places = materialise(files.read_jsonl(spark, os.path.join(data_dir, "business.json"), schemas.BUSINESSES), "businesses")
     reviews = files.read_jsonl(spark, os.path.join(data_dir, "review_train.json"), schemas.REVIEWS).select("business_id", "text")
-    found = blocks.business_blocks(places, reviews.where("text is not null"), _photo_vectors(spark, data_dir), PHOTO_DIM)
+    found = blocks.business_blocks(
+        places, lambda: places, lambda: reviews.where("text is not null"), lambda: _photo_vectors(spark, data_dir), PHOTO_DIM
+    )
     dims = {part: min(width, PHOTO_DIM) for part, _, width in found.layout}
     slices = found.slices(dims)
     vectors = materialise(found.dense(dims, places), "business-vectors")

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from affinia.operators import aggregates as A
+from affinia.operators import blocks as B
 from affinia.operators import models as R
 from affinia.plans import QUERIES
 from affinia.session import tune
@@ -59,3 +60,14 @@ def test_partitions_after_a_shuffle_stay_small(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", usual)
     assert max(r["n"] for r in sizes) < 800_000 and sum(r["n"] for r in sizes) == 10_000_000
+
+
+def test_the_layout_asks_for_categories_alone(spark):
+    places = spark.createDataFrame([("b1", "x, y"), ("b2", "y, z"), ("b3", None)], "business_id string, categories string")
+
+    def unread():
+        raise AssertionError("read for the layout")
+
+    found = B.business_blocks(places, unread, unread, unread, 8)
+    want = [("numbers", 0, 4), ("categories", 4, 3), ("text", 7, 8), ("photo", 15, 8)]
+    assert found.layout == want and [tuple(r) for r in found.layout_table().collect()] == want
