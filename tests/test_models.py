@@ -285,6 +285,33 @@ def test_folds_are_packed_by_their_bytes(rated, monkeypatch):
     assert trials.best_of([{}, {}, {}], [None, 2.0, 2.0]) == 1 and trials.best_of([{}], [None]) == 0
 
 
+def test_the_last_fit_takes_all_cores(rated, tips, monkeypatch):
+    monkeypatch.setattr(trials, "LONE_BYTES", 500)
+    cores, spark = rated.sparkSession.sparkContext.defaultParallelism, rated.sparkSession
+    cut = trials.Folds.write(searched(rated), 2, 42)
+    assert cut.all().rdd.getNumPartitions() == 1 and cut.all_spread().rdd.getNumPartitions() == cores
+    assert cut.all_spread().columns == ["stars", "features"] and cut.all_spread().count() == 600
+    seen = []
+
+    class Kept:
+        def fit(self, rows, params):
+            seen.append(rows.rdd.getNumPartitions())
+            return R.gbt({"maxIter": 1}).fit(rows)
+
+        def getParam(self, name):
+            return name
+
+    R.grid_search(Kept(), searched(rated), {"maxDepth": [1, 2]}, folds=2)
+    assert seen == [1] * 4 + [cores]
+    blocks, als = [], M.als
+    monkeypatch.setattr(M, "als", lambda **s: blocks.append(s["blocks"]) or als(**s | {"max_iter": 1}))
+    monkeypatch.setattr(M, "RATINGS_WORTH_A_BLOCK", 30)
+    users, businesses = index_ids(tips, "user_id"), index_ids(tips, "business_id")
+    ratings = implicit_ratings(interaction_counts(tips), users, businesses)
+    _, log = M.tune_als(ratings, {"rank": [2, 3]}, reg=0.1, alpha=1.0)
+    assert log.count() == 2 and blocks[:2] == [1, 1] and blocks[2] == min(cores, -(-ratings.count() // 30)) > 1
+
+
 def test_blocks_follow_the_ratings():
     assert [M.block_count(n, 8) for n in (0, 50_000, 250_000, 10_000_000)] == [1, 1, 3, 8]
     assert M.block_count(10**10, 1000) == 2000 and M.block_count(10**9, 4000) == 4000
