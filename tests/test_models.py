@@ -312,6 +312,17 @@ def test_the_last_fit_takes_all_cores(rated, tips, monkeypatch):
     assert log.count() == 2 and blocks[:2] == [1, 1] and blocks[2] == min(cores, -(-ratings.count() // 30)) > 1
 
 
+def test_base_fits_of_a_stack_run_side_by_side(rated, monkeypatch):
+    seen, run_all = [], R.run_all
+    monkeypatch.setattr(R, "run_all", lambda spark, jobs, at_once: seen.append((sorted(jobs), at_once)) or run_all(spark, jobs, at_once))
+    monkeypatch.setattr(R, "gbt", lambda seed, gbt=R.gbt: gbt({"maxIter": 3}, seed))
+    scored = R.fit_stack(rated, NAMES, folds=2)(rated)
+    assert seen[0][0] == sorted(f"{n}-{f}" for n in ("gbt", "forest", "linear") for f in (0, 1, None)) and seen[0][1] > 1
+    spread = rated.agg(F.stddev_pop("stars")).scalar()
+    found = scored.agg(F.count("*").alias("n"), rmse_of("prediction").alias("rmse"), spread.alias("spread")).first()
+    assert found.n == 600 and found.rmse < 0.8 * found.spread
+
+
 def test_blocks_follow_the_ratings():
     assert [M.block_count(n, 8) for n in (0, 50_000, 250_000, 10_000_000)] == [1, 1, 3, 8]
     assert M.block_count(10**10, 1000) == 2000 and M.block_count(10**9, 4000) == 4000
