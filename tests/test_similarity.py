@@ -56,6 +56,24 @@ def test_jaccard_all(spark, tiny_buckets, seed, t):
     assert collect(L.jaccard_all(edges(spark, sets), t)) == pytest.approx(brute(sets, t))
 
 
+@pytest.mark.parametrize("seed,t", [(2, 0.5), (5, 0.17), (9, 0.05)])
+def test_jaccard_all_in_short_lists(spark, tiny_buckets, monkeypatch, seed, t):
+    """Users with more sets than a list holds, and sets dealt to several tasks."""
+    monkeypatch.setattr(L, "MEMBERS", 3)
+    sets = random_sets(seed)
+    assert collect(L.jaccard_all(edges(spark, sets), t)) == pytest.approx(brute(sets, t))
+
+
+def test_lists_are_shuffled_instead_of_pairs(spark):
+    """A pair of sets is counted where the lists of one of them arrive: no exchange goes by pairs."""
+    rows = [(b, 4, u, 5, u + 1) for b in range(5) for u in range(4)]
+    plan = L._prefix_overlap(spark.createDataFrame(rows, "business_id long, size long, token long, f long, pos long"), 0.5)
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    keys = [line for line in text.splitlines() if "Exchange hashpartitioning(" in line]
+    assert keys and not any("business_id" in k or "hashpartitioning(s#" in k or ", s#" in k for k in keys)
+    assert [r.met for r in plan.collect()] == [4] * 10
+
+
 def test_only_users_of_all_sets(spark):
     sets = {f"b{i}": {1, 2, 3} | ({10 + i} if i < 3 else set()) for i in range(6)}
     assert collect(L.jaccard_all(edges(spark, sets), 0.6)) == pytest.approx(brute(sets, 0.6))
