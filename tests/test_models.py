@@ -137,6 +137,22 @@ def test_early_stopping_waits_for_a_late_best_round(rated, monkeypatch):
     assert R.fit_until_flat(flagged, "held", patience=4).getNumTrees == 1
 
 
+def test_early_stopping_repeats_few_rounds_while_the_error_falls(rated, monkeypatch):
+    """An error that falls without a pause is followed by one fit of all rounds, with the trees that doubled fits end at."""
+    class Fitted:
+        def __init__(self, trees):
+            self.getNumTrees = trees
+
+        def evaluateEachIteration(self, rows, loss):
+            return [1.0 - 0.001 * min(i, 429) for i in range(self.getNumTrees)]
+
+    fits = []
+    monkeypatch.setattr(R, "fit_gbt", lambda rows, params, seed: fits.append(params["maxIter"]) or Fitted(params["maxIter"]))
+    monkeypatch.setattr(R, "first_trees", lambda model, n: Fitted(n))
+    flagged = rated.withColumn("held", F.col("stars") > 4)
+    assert R.fit_until_flat(flagged, "held").getNumTrees == 430 and fits == [40, 480]
+
+
 def test_registered_learners_use_full_settings(rated, monkeypatch):
     from affinia.plans import factorization, learning
 
