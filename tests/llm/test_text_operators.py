@@ -468,6 +468,22 @@ def test_pipeline_catches_copies_that_line_dedup_emptied(spark, tmp_path):
     assert {(r["doc_id"], r["text"]) for r in third.collect()} == {r for r in rows if r[1] and (r[0] >= 900 or r[0] % 10 == 0)}
 
 
+def test_pipeline_catches_copies_that_line_dedup_made(spark, tmp_path):
+    """Documents that differ only in lines that line dedup takes out are near copies of each other afterwards."""
+    import corpus_pipeline as cp
+
+    rng = __import__("random").Random(33)
+    frames = [[prose(rng, 14) for _ in range(12)] for _ in range(3)]
+    body, other = prose(rng, 80).split(), prose(rng, 80)
+    edited = [*body[:40], "changed", *body[41:]]
+    rows = [(i, "\n".join(f)) for i, f in enumerate(frames)]
+    rows += [(10, "\n".join([*frames[0], " ".join(body)])), (11, "\n".join([*frames[1], " ".join(edited)])), (12, "\n".join([*frames[2], other]))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    left = cp.drop_near_duplicates(spark, cp.drop_repeated_lines(spark, docs, str(tmp_path)), str(tmp_path))
+    assert {(r["doc_id"], r["text"]) for r in left.collect()} == {*rows[:3], (10, " ".join(body)), (12, other)}
+
+
 def test_pipeline_of_an_empty_table(spark, tmp_path):
     import corpus_pipeline as cp
 
