@@ -4,11 +4,13 @@ import os
 
 import numpy as np
 import pytest
+from pyspark.ml.linalg import DenseVector
 from pyspark.ml.regression import LinearRegressionModel
 from pyspark.sql import functions as F
 
 from affinia.functions.vectors import zeros
 from affinia.operators import aggregates as A
+from affinia.operators import boosting
 from affinia.operators import factors as M
 from affinia.operators import models as R
 from affinia.operators import quality as Q
@@ -262,6 +264,62 @@ def test_trials_equal_fits_one_by_one(rated):
     assert (model.getOrDefault("maxDepth"), model.getOrDefault("stepSize")) == (depth, step)
 
 
+@pytest.fixture(scope="module")
+def many(spark):
+    """More rows than the sample of the split candidates has places for bins, in several partitions."""
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(4000, 3))
+    v[:, 2] = rng.integers(0, 5, 4000)
+    stars = 3 + v[:, 0] - 0.5 * v[:, 1] + (v[:, 2] == 2) + rng.normal(scale=0.2, size=4000)
+    rows = [(float(y), DenseVector(x)) for x, y in zip(v, stars)]
+    return spark.createDataFrame(rows, ["stars", "features"]).repartition(5).persist()
+
+
+def test_boosted_trees_equal_those_of_spark(many, monkeypatch):
+    """Models grown side by side over binned rows predict what Spark ML's fits predict, and weigh the columns alike."""
+    spark = many.sparkSession
+    settings = [{"maxDepth": 3, "maxIter": 5}, {"maxDepth": 5, "maxIter": 4, "stepSize": 0.3, "minInstancesPerNode": 40}, {"maxDepth": 1, "maxIter": 3}]
+    estimators = [R.gbt({"subsamplingRate": 1.0} | {k: v for k, v in s.items() if k != "minInstancesPerNode"}) for s in settings]
+    estimators[1].setMinInstancesPerNode(40)
+    binned = boosting.Binned.write(many, estimators[0])
+    for direct in (32, 1):
+        monkeypatch.setattr(boosting, "DIRECT", direct)
+        models = boosting.fit_many(estimators, binned, spark)
+        errors = boosting.squares(models, many)
+        for estimator, model, (n, total) in zip(estimators, models, errors):
+            own, want = model.to_spark(), estimator.fit(many)
+            got = np.array([r.prediction for r in own.transform(many).select("prediction").collect()])
+            assert got == pytest.approx(np.array([r.prediction for r in want.transform(many).select("prediction").collect()]), abs=1e-9)
+            assert own.treeWeights == want.treeWeights and own.getOrDefault("maxDepth") == estimator.getMaxDepth()
+            assert [t.numNodes for t in own.trees] == [t.numNodes for t in want.trees]
+            assert own.featureImportances.toArray() == pytest.approx(want.featureImportances.toArray(), abs=1e-3)
+            assert n == 4000 and (total / n) ** 0.5 == pytest.approx(rmse(own.transform(many)), rel=1e-9)
+
+
+def test_a_fit_of_drawn_rows_is_repeated_and_as_good(many, monkeypatch):
+    """Draws follow seed, tree and block, not the tasks; trees not yet written count as those written do."""
+    first, second = (R.fit_gbt(many.coalesce(1), {"maxIter": 6}) for _ in range(2))
+    monkeypatch.setattr(boosting, "TREES_A_WRITE", 4)
+    third = R.fit_gbt(many.coalesce(1), {"maxIter": 6})
+    found = [[r.prediction for r in m.transform(many).select("prediction").collect()] for m in (first, second, third)]
+    assert found[0] == found[1] and found[2] == pytest.approx(found[0], abs=1e-9)
+    assert rmse(first.transform(many)) == pytest.approx(rmse(R.gbt({"maxIter": 6}).fit(many).transform(many)), rel=0.05)
+    assert not boosting.fits(R.gbt().setValidationIndicatorCol("v")) and not boosting.fits(trials) and boosting.fits(R.gbt())
+
+
+def test_settings_of_boosted_trees_share_a_pass(many, monkeypatch):
+    """A search makes one pass a level and fold for all settings, and fits only what its log lacks."""
+    passes, level = [], boosting._level
+    monkeypatch.setattr(boosting, "_level", lambda *a: passes.append(len(a[8])) or level(*a))
+    path, grid = scratch_path(many.sparkSession, "search"), {"maxDepth": [2, 3], "stepSize": [0.1, 0.2]}
+    _, log = R.grid_search(R.gbt({"maxIter": 2}), many, grid, folds=3, log_path=path)
+    # three folds and the last fit, two trees, three levels at most; two models go on to the third
+    assert len(passes) <= 24 and passes.count(4) == 3 * 2 * 2 and log.count() == 4
+    passes.clear()
+    _, again = R.grid_search(R.gbt({"maxIter": 2}), many, grid | {"maxDepth": [2, 3, 1]}, folds=3, log_path=path)
+    assert max(passes) == 2 and {r.rmse for r in log.collect()} <= {r.rmse for r in again.collect()} and again.count() == 6
+
+
 def test_a_search_goes_on_where_it_was_ended(spark, rated):
     path, rows = scratch_path(spark, "search"), searched(rated)
     fitted = []
